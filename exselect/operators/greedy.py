@@ -34,9 +34,15 @@ def cosine_similarity(vectors: np.ndarray) -> np.ndarray:
     return unit @ unit.T
 
 
+def cosine_distance(vectors: np.ndarray) -> np.ndarray:
+    distance = 1.0 - cosine_similarity(vectors)
+    np.fill_diagonal(distance, 0.0)
+    return distance
+
+
 def redundancy_similarity(vectors: np.ndarray) -> np.ndarray:
     """max(D) - D of the cosine distances D, so that nothing is negative."""
-    distance = 1.0 - cosine_similarity(vectors)
+    distance = cosine_distance(vectors)
     return distance.max() - distance
 
 
@@ -157,9 +163,7 @@ def divine(
 
     def solve(table: pa.Table) -> pa.Table:
         sort_type, test_id, ids, score, vectors = _group(table)
-        cosine = cosine_similarity(vectors)
-        distance = 1.0 - cosine
-        np.fill_diagonal(distance, 0.0)
+        distance = cosine_distance(vectors)
         similarity = distance.max() - distance
         importance = scaled(-COSTS[sort_type](score), 0.0, 1.0)
         orders = [divine_picks(similarity, importance, ks[-1], gamma, digits) for gamma in gammas]
