@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # A fenced block, and the scripts that count as CJK or Cyrillic.
 FENCE = "(?s)(`{3,}.*?\\n)(.*?)(\\n`{3,})"
 WIDE_SCRIPT = "[\\x{4e00}-\\x{9fff}\\x{0400}-\\x{04ff}]"
-# Two private-use characters in a row stand for "a segment starts here" and "it is code".
-CUT, CODE = "", ""
+# Private-use characters: a segment starts here, and it is code.
+CUT, CODE = "\ue000\ue001", "\ue002"
 
 
 def _column(text: Column | str) -> Column:
