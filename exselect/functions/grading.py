@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Number patterns, choice letters and which corpora expect what.
 NUMBER = "[+-]? *(?:\\d+(?:\\.\\d*)?|\\.\\d+)(?:[eE][+-]?\\d+)?"
@@ -87,7 +88,7 @@ def strip_latex(text: Column | str) -> Column:
     return F.regexp_replace(s, "^(0|-?[1-9]\\d*)/(0|-?[1-9]\\d*)$", "\\\\frac{$1}{$2}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _braced(text: pd.Series) -> pd.Series:
     """Inside of the brace a text starts with, nested braces kept; an open brace runs to the end."""
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 ROWS_PER_BUCKET = 1_000_000
 HOT_SHARE = 1000  # a value is hot if it holds more than 1/HOT_SHARE of the rows
@@ -90,7 +91,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return sums.select(*keys, F.when((n >= 2) & (spread > 0), cov / spread).alias("rho"), "n")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(-v / math.sqrt(2.0)))
 
@@ -109,7 +110,7 @@ def student_upper(t: float, freedom: float) -> float:
     return float(min(1.0, area * math.exp(log_scale)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _student_p(t: pd.Series, freedom: pd.Series) -> pd.Series:
     return pd.Series([
         math.nan if t_ is None or f is None or f < 1 else student_upper(t_, f)
