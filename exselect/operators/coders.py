@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exselect.operators.scoring import as_matrix, doubles
+from exselect.operators.scoring import as_matrix, doubles, with_scalar
 
 GRAM_FIELDS = (
     "width int, size int, r array<double>, c array<double>, s array<double>, "
@@ -63,6 +63,8 @@ def gram(
             out["rest"].append(float(np.square(g - q @ c).sum()))
         return _gram_table(key, left["test_id"].to_pylist(), left[key].to_pylist(), out)
 
+    # Fresh columns: both sides stem from the same selections.
+    rows = rows.toDF(*rows.columns)
     return picks.groupBy("test_id").cogroup(rows.groupBy("test_id")).applyInArrow(
         build, f"test_id bigint, {key} string, {GRAM_FIELDS}"
     )
@@ -97,23 +99,26 @@ def gram_products(records: DataFrame) -> DataFrame:
 
 
 def project_simplex(column):
-    """Column expression: nearest point of {t >= 0, sum t = 1}, by sorting."""
-    desc = F.reverse(F.array_sort(column))
+    """Column expression: nearest point of {t >= 0, sum t = 1}, by sorting.
 
-    def threshold(i):
-        head = F.aggregate(F.slice(desc, 1, i), F.lit(0.0), lambda total, x: total + x)
-        return (head - 1.0) / i
+    One pass over the sorted entries tracks (sum - 1) / count; it rises while entries still exceed it,
+    so its largest value is the shift.
+    """
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(float("-inf")).alias("tau"))
+
+    def step(acc, x):
+        total, n = acc["sum"] + x, acc["n"] + 1
+        return F.struct(total.alias("sum"), n.alias("n"), F.greatest(acc["tau"], (total - 1.0) / n).alias("tau"))
 
-    # The threshold rises while entries still exceed it, so the largest one is the right one.
-    tau = F.array_max(F.transform(F.sequence(F.lit(1), F.size(column)), threshold))
-    return F.transform(column, lambda x: F.greatest(x - tau, F.lit(0.0)))
+    tau = F.aggregate(F.reverse(F.array_sort(column)), start, step, lambda acc: acc["tau"])
+    return with_scalar(column, tau, lambda x, shift: F.greatest(x - shift, F.lit(0.0)))
 
 
 def soft_threshold(column, weight: float = 0.5):
     """Column expression: shrink every entry by weight * sum(t); the sum may be negative."""
     total = F.aggregate(column, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(
-        column, lambda x: F.signum(x) * F.greatest(F.abs(x) - F.lit(weight) * total, F.lit(0.0))
+    return with_scalar(
+        column, total * weight, lambda x, cut: F.signum(x) * F.greatest(F.abs(x) - cut, F.lit(0.0))
     )
 
 

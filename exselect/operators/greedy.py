@@ -256,6 +256,7 @@ def nearest_ground_point(ground: DataFrame, points: DataFrame, metric: str = "co
         })
 
     fields = ["test_id", "rank", "train_id", "vec"]
+    # Fresh columns: both sides may stem from the same ranking.
     return ground.select(*fields).groupBy("test_id").cogroup(
-        points.select(*fields).groupBy("test_id")
+        points.select(*fields).toDF(*fields).groupBy("test_id")
     ).applyInArrow(solve, "test_id bigint, rank int, train_id bigint, nearest_id bigint, distance double")

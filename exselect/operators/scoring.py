@@ -50,12 +50,15 @@ def doubles(column: str = "vec"):
     return F.col(column).cast("array<double>")
 
 
+def with_scalar(array, scalar, fn):
+    """transform(array, x -> fn(x, scalar)) with the scalar computed once per row, not per entry."""
+    return F.zip_with(array, F.array_repeat(scalar, F.size(array)), fn)
+
+
 def normalized(df: DataFrame, column: str = "vec", eps: float = 1e-10) -> DataFrame:
     """Unit vectors: v / (|v| + eps)."""
     norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda total, x: total + x * x)) + F.lit(eps)
-    return df.withColumn("_norm", norm).withColumn(
-        column, F.transform(column, lambda x: x / F.col("_norm"))
-    ).drop("_norm")
+    return df.withColumn(column, with_scalar(column, norm, lambda x, n: x / n))
 
 
 def adam_precondition(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from exselect.operators.scoring import with_scalar
+
 LOG_EPS = 1e-12  # fixed value inside every logarithm
 
 
@@ -63,9 +65,8 @@ def divergences(token_probs: DataFrame, variant: str = "reference") -> DataFrame
 
 def softmax(column: str) -> Column:
     """Distribution of an array of scores, shifted by its maximum."""
-    top = F.array_max(column)
-    powers = F.transform(column, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / _total(powers))
+    powers = with_scalar(column, F.array_max(column), lambda x, top: F.exp(x - top))
+    return with_scalar(powers, _total(powers), lambda x, total: x / total)
 
 
 def validation_scores(pairs: DataFrame) -> DataFrame:

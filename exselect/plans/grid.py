@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,11 @@ def full_grid(spark: SparkSession, models: list[str], signed: list[str], signles
         return grid
 
     return spread(settings(spark), signed).unionByName(spread(settings(spark, signed=False), signless))
+
+
+def settings_of_tests(tests: DataFrame, grid: DataFrame) -> DataFrame:
+    """Every setting for every test row. The grid is parameters, a few hundred rows, so it is a constant."""
+    rows = json.dumps([row.asDict() for row in grid.collect()])
+    kind = "array<struct<" + ", ".join(f"`{n}`: {t}" for n, t in grid.dtypes) + ">>"
+    each = F.explode(F.from_json(F.lit(rows), kind))
+    return tests.select("test_id", each.alias("s")).select("test_id", "s.*")
