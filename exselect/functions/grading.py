@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from exselect.functions.bind import let
 
 # Number patterns, choice letters and which corpora expect what.
 NUMBER = "[+-]? *(?:\\d+(?:\\.\\d*)?|\\.\\d+)(?:[eE][+-]?\\d+)?"
@@ -79,55 +78,68 @@ def strip_latex(text: Column | str) -> Column:
     s = F.regexp_replace(s, "^\\.", "0.")
     s = F.regexp_replace(s, "^[^=]{0,2}=([^=]*)$", "$1")
     s = F.regexp_replace(s, "\\\\sqrt(?!\\{|\\\\sqrt)(.)", "\\\\sqrt{$1}")
-    s = _literal(s, " ", "")
-    # A one-letter tail after \frac leaves the whole text as it is.
+    s = let(_literal(s, " ", ""), _brace_fractions)
+    return F.regexp_replace(s, "^(0|-?[1-9]\\d*)/(0|-?[1-9]\\d*)$", "\\\\frac{$1}{$2}")
+
+
+def _brace_fractions(s: Column) -> Column:
+    r"""Braces around the two characters after \frac; a one-letter tail leaves the whole text as it is."""
     cut_short = s.rlike("\\\\frac(?!\\\\frac)[^{](?=\\\\frac|$)")
     braced = F.regexp_replace(s, "\\\\frac(?!\\{|\\\\frac)(.)\\{", "\\\\frac{$1}{")
     braced = F.regexp_replace(braced, "\\\\frac(?!\\{|\\\\frac)(.)(.)", "\\\\frac{$1}{$2}")
-    s = F.when(cut_short, s).otherwise(braced)
-    return F.regexp_replace(s, "^(0|-?[1-9]\\d*)/(0|-?[1-9]\\d*)$", "\\\\frac{$1}{$2}")
+    return F.when(cut_short, s).otherwise(braced)
 
 
-@F.pandas_udf(StringType())
-def _braced(text: pd.Series) -> pd.Series:
+def _braced(text: Column) -> Column:
     """Inside of the brace a text starts with, nested braces kept; an open brace runs to the end."""
+    pieces = F.regexp_extract_all(text, F.lit("[{}]|[^{}]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("out"))
 
-    def inside(value):
-        if value is None:
-            return None
-        depth = 0
-        for brace in re.finditer(r"[{}]", value):
-            depth += 1 if brace.group() == "{" else -1
-            if depth == 0:
-                return value[1:brace.start()]
-        return value[1:]
+    def step(acc, piece):
+        move = F.when(piece == "{", F.lit(1)).when(piece == "}", F.lit(-1)).otherwise(F.lit(0))
+        depth = acc["depth"] + move
+        done = acc["done"] | (depth == 0)
+        outer = (acc["depth"] == 0) | done
+        return F.struct(
+            depth.alias("depth"), done.alias("done"),
+            F.when(outer, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"),
+        )
 
-    return text.map(inside)
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
 def boxed_content(text: Column | str) -> Column:
     """What follows the last "boxed": its brace, or the text up to a dollar sign; cleaned."""
-    tail = F.element_at(F.split(_column(text), "boxed"), -1)
-    inner = F.when(tail.startswith("{"), _braced(tail)).otherwise(_strip(F.substring_index(tail, "$", 1)))
-    return F.when(tail == "", F.lit("")).otherwise(strip_latex(inner))
+
+    def content(tail: Column) -> Column:
+        inner = F.when(tail.startswith("{"), _braced(tail)).otherwise(_strip(F.substring_index(tail, "$", 1)))
+        return strip_latex(inner)
+
+    return let(F.element_at(F.split(_column(text), "boxed"), -1), content)
 
 
 def _trim_end(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\\.$", ""), "/$", "")
 
 
+def _after(text: Column, words: str) -> Column:
+    return _strip(F.element_at(F.split(text, words), -1))
+
+
 def extract_math_answer(text: Column | str) -> Column:
     """After "The answer is", else inside the last box, else the last number."""
     text = _column(text)
     numbers = F.regexp_extract_all(text, F.lit(LAST_NUMBER), F.lit(0))
     first = (
-        F.when(text.contains("The answer is "), _strip(F.element_at(F.split(text, "The answer is "), -1)))
-        .when(text.contains("the answer is "), _strip(F.element_at(F.split(text, "the answer is "), -1)))
+        F.when(text.contains("The answer is "), _after(text, "The answer is "))
+        .when(text.contains("the answer is "), _after(text, "the answer is "))
         .when(text.contains("boxed"), boxed_content(text))
         .otherwise(F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.lit("")))
     )
-    clean = strip_latex(_trim_end(first))
-    return F.when(clean.contains("boxed"), boxed_content(clean)).otherwise(clean)
+    return let(
+        strip_latex(_trim_end(first)),
+        lambda clean: F.when(clean.contains("boxed"), boxed_content(clean)).otherwise(clean),
+    )
 
 
 def answer_clean(dataset: Column | str, triggers: Iterable[str], text: Column | str) -> Column:
@@ -138,26 +150,34 @@ def answer_clean(dataset: Column | str, triggers: Iterable[str], text: Column |
         seen = (F.length(text) - F.length(_literal(text, trigger, ""))) / len(trigger)
         few_shot = few_shot | (seen > 1)
     chunk = F.when(few_shot, F.substring_index(text, "\n\n", 1)).otherwise(text)
-    pieces = F.split(chunk, "|".join(triggers))
-    triggered = F.size(pieces) > 1
-    tail = F.element_at(pieces, -1)
-    tail = F.when(tail.contains("="), _strip(F.element_at(F.split(tail, "="), -1))).otherwise(tail)
-
-    letters = F.regexp_extract_all(F.upper(tail), F.lit(LETTER), F.lit(1))
-    plain = F.array(F.regexp_replace(_strip(tail), "^\\.+|\\.+$", ""))
-    numbers = F.transform(
-        F.regexp_extract_all(_literal(tail, ",", ""), F.lit(PLAIN_NUMBER), F.lit(0)), delete_extra_zero
-    )
-    found = (
-        F.when(dataset.isin(*CHOICE_SETS), F.when(F.size(letters) > 0, letters).otherwise(plain))
-        .when(dataset.isin(*NUMBER_SETS), numbers)
-        .when(dataset.isin(*MIXED_SETS), F.when(F.size(letters) > 0, letters).otherwise(numbers))
-    )
-    chosen = F.when(triggered, F.try_element_at(found, F.lit(1))).otherwise(
-        F.try_element_at(found, F.lit(-1))
-    )
-    other = F.when(found.isNotNull(), _trim_end(F.coalesce(chosen, F.lit(""))))
-    return F.when(dataset == "math", F.when(text == "", text).otherwise(extract_math_answer(text))).otherwise(other)
+
+    def candidates(tail: Column) -> Column:
+        letters = F.regexp_extract_all(F.upper(tail), F.lit(LETTER), F.lit(1))
+        plain = F.array(F.regexp_replace(_strip(tail), "^\\.+|\\.+$", ""))
+        numbers = F.transform(
+            F.regexp_extract_all(_literal(tail, ",", ""), F.lit(PLAIN_NUMBER), F.lit(0)), delete_extra_zero
+        )
+        return (
+            F.when(dataset.isin(*CHOICE_SETS), let(letters, lambda x: F.when(F.size(x) > 0, x).otherwise(plain)))
+            .when(dataset.isin(*NUMBER_SETS), numbers)
+            .when(dataset.isin(*MIXED_SETS), let(letters, lambda x: F.when(F.size(x) > 0, x).otherwise(numbers)))
+        )
+
+    def choose(pieces: Column) -> Column:
+        tail = let(
+            F.element_at(pieces, -1),
+            lambda t: F.when(t.contains("="), _strip(F.element_at(F.split(t, "="), -1))).otherwise(t),
+        )
+        place = F.when(F.size(pieces) > 1, F.lit(1)).otherwise(F.lit(-1))
+        return let(
+            let(tail, candidates),
+            lambda found: F.when(
+                found.isNotNull(), _trim_end(F.coalesce(F.try_element_at(found, place), F.lit("")))
+            ),
+        )
+
+    math = F.when(text == "", text).otherwise(extract_math_answer(text))
+    return F.when(dataset == "math", math).otherwise(let(F.split(chunk, "|".join(triggers)), choose))
 
 
 def floatify(text: Column | str) -> Column:
@@ -192,8 +212,7 @@ def compare_two_numbers(value: Column | str, gold: Column | str) -> Column:
 def grade(answer: Column | str, gold_text: Column | str, gold_number: Column | str) -> Column:
     """Equal text, else equal numbers."""
     answer, gold_text, gold_number = _column(answer), _column(gold_text), _column(gold_number)
-    number = number_it(answer)
-    numeric = F.when(
+    numeric = let(number_it(answer), lambda number: F.when(
         gold_number.isNotNull() & number.isNotNull(), compare_two_numbers(number, gold_number)
-    ).otherwise(False)
+    ).otherwise(False))
     return F.coalesce((answer == gold_text), F.lit(False)) | numeric

@@ -13,6 +13,7 @@ from exselect.plans.select_and_score import (
 )
 from exselect.sources.readers import read_table
 from exselect.sources.results import pending
+from exselect.session import cut_lineage
 
 M = 20  # ground set of the greedy queries
 COST_SQL = {"most_helpful": "score", "most_harmful": "-score", "most_influential": "-abs(score)",
@@ -382,7 +383,7 @@ SELECT linear_coder, (SELECT sum(n) * (SELECT count(*) FROM te) FROM sets)::BIGI
 def grid_score_records(spark, sf):
     """Every coder on every selection of the grid; no score may be missing."""
     test, train = vectors(spark, sf)
-    chosen = select_all(stored_ground_sets(test, train), train, test)
+    chosen = cut_lineage(select_all(stored_ground_sets(test, train), train, test))
     scored = coders.require_complete(score_selections(chosen, train, test), ["pred_gain", "mse", "l1", "l2"])
     return scored.groupBy("linear_coder").agg(
         F.count("*").alias("records"), F.min(F.col("pred_gain") > 0).alias("complete")
