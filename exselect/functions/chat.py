@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from exselect.functions.bind import let
+
 # Roles that are rendered, the masked label and the ASCII whitespace class.
 ROLES = ("system", "user", "assistant")
 MASKED = -100
@@ -95,33 +97,36 @@ def assistant_labels(
         )
     if mode != "first_match":
         raise ValueError(f"unknown mode {mode!r}")
-    both = chats.select(
-        "conv_id",
-        F.slice(terms_of(rendered("messages", eos=eos)), 1, max_len).alias("tokens"),
-        F.filter(
-            F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: terms_of(m["text"])),
-            lambda answer: F.size(answer) > 0,
-        ).alias("answers"),
+    answers = F.filter(
+        F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: terms_of(m["text"])),
+        lambda answer: F.size(answer) > 0,
     )
+    tokens = F.slice(terms_of(rendered("messages", eos=eos)), 1, max_len)
+    marked = let(tokens, lambda t: F.struct(t.alias("tokens"), _first_matches(t, answers).alias("unmasked")))
+    return chats.select("conv_id", marked.alias("m")).select("conv_id", "m.tokens", "m.unmasked")
+
+
+def _first_matches(tokens: Column, answers: Column) -> Column:
+    """Flags of the tokens that lie in the first occurrence of an answer."""
 
     def first_place(answer: Column) -> Column:
         places = F.filter(
-            F.sequence(F.lit(1), F.size("tokens")),
-            lambda at: (F.get("tokens", at - 1) == F.get(answer, F.lit(0)))
-            & (F.slice("tokens", at, F.size(answer)) == answer),
+            F.sequence(F.lit(1), F.size(tokens)),
+            lambda at: (F.get(tokens, at - 1) == F.get(answer, F.lit(0)))
+            & (F.slice(tokens, at, F.size(answer)) == answer),
         )
         return F.struct(F.get(places, F.lit(0)).alias("at"), F.size(answer).alias("size"))
 
-    spans = both.withColumn("spans", F.transform("answers", first_place))
-    inside = F.transform(
-        F.sequence(F.lit(1), F.size("tokens")),
-        lambda at: F.exists("spans", lambda s: (at >= s["at"]) & (at < s["at"] + s["size"])),
-    )
-    empty = F.array().cast("array<boolean>")
-    return spans.select(
-        "conv_id", "tokens",
-        F.when(F.size("tokens") > 0, F.transform(inside, lambda x: F.coalesce(x, F.lit(False))))
-        .otherwise(empty).alias("unmasked"),
+    def inside(spans: Column) -> Column:
+        return F.transform(
+            tokens,
+            lambda _, i: F.coalesce(
+                F.exists(spans, lambda s: (i + 1 >= s["at"]) & (i + 1 < s["at"] + s["size"])), F.lit(False)
+            ),
+        )
+
+    return F.when(F.size(tokens) > 0, let(F.transform(answers, first_place), inside)).otherwise(
+        F.array().cast("array<boolean>")
     )
 
 

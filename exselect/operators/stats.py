@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from exselect.session import cut_lineage
+
 ROWS_PER_BUCKET = 1_000_000
 HOT_SHARE = 1000  # a value is hot if it holds more than 1/HOT_SHARE of the rows
 
@@ -25,9 +27,12 @@ def value_ranks(
     counts: DataFrame, keys: list[str], x: str, n: str, edges: list[float]
 ) -> DataFrame:
     """Add `rank`, the average rank of x within keys, to distinct counts(keys, x, n)."""
+    middle = (F.col(n) + 1) / 2
+    if not edges:
+        ahead = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("rank", F.coalesce(F.sum(n).over(ahead), F.lit(0)) + middle)
     splits = [-math.inf, *sorted(set(edges)), math.inf]
-    bucket = Bucketizer(splits=splits, inputCol=x, outputCol="_bucket", handleInvalid="keep")
-    placed = bucket.transform(counts)
+    placed = Bucketizer(splits=splits, inputCol=x, outputCol="_bucket").transform(counts)
     own = Window.partitionBy(*keys, "_bucket").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.coalesce(F.sum(n).over(own), F.lit(0)))
     ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,50 +43,60 @@ def value_ranks(
     )
     return (
         local.join(totals, [*keys, "_bucket"])
-        .withColumn("rank", F.col("_before") + F.col("_local") + (F.col(n) + 1) / 2)
+        .withColumn("rank", F.col("_before") + F.col("_local") + middle)
         .drop("_before", "_local", "_bucket")
     )
 
 
-def bucket_edges(df: DataFrame, x: str, rows: int) -> list[float]:
-    """Global quantiles of x, as many as buckets of ROWS_PER_BUCKET rows are needed."""
-    buckets = max(1, -(-rows // ROWS_PER_BUCKET))
+def bucket_edges(df: DataFrame, x: str, rows: int, per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
+    """Global quantiles of x, as many as buckets of `per_bucket` rows are needed."""
+    buckets = max(1, -(-rows // per_bucket))
     if buckets == 1:
         return []
     steps = [i / buckets for i in range(1, buckets)]
     return df.approxQuantile(x, steps, 0.1 / buckets)
 
 
-def _join_ranks(pairs: DataFrame, ranks: DataFrame, keys: list[str], x: str, out: str, rows: int) -> DataFrame:
-    """Attach the rank of x to pairs(keys, x, ...). Hot values, at most HOT_SHARE of them by the
-    definition of hot, are broadcast; only the others are shuffled."""
-    ranks = ranks.select(*keys, x, "_n", F.col("rank").alias(out))
-    on = [*keys, x]
-    if rows < HOT_SHARE:
-        return pairs.join(ranks.drop("_n"), on)
-    is_hot = F.col("_n") * HOT_SHARE > rows
-    hot = F.broadcast(ranks.where(is_hot).drop("_n"))
-    cold = ranks.where(~is_hot).drop("_n")
-    return pairs.join(hot, on).unionByName(pairs.join(hot.select(*on), on, "left_anti").join(cold, on))
-
+def _join_ranks(pairs: DataFrame, ranks: DataFrame, keys: list[str], x: str, out: str, total: int) -> DataFrame:
+    """Attach the rank of x to pairs(keys, x, ...).
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    `ranks._m` is the number of pairs of a value. A value with more than 1/HOT_SHARE of all pairs is
+    hot; there are at most HOT_SHARE of those, so they are broadcast and only the others shuffled.
+    """
+    on = [*keys, x]
+    ranks = ranks.select(*on, "_m", F.col("rank").alias(out))
+    most = ranks.agg(F.max("_m")).first()[0] or 0
+    if most * HOT_SHARE <= max(total, HOT_SHARE * ROWS_PER_BUCKET):
+        return pairs.join(ranks.drop("_m"), on)
+    is_hot = F.col("_m") * HOT_SHARE > total
+    hot = F.broadcast(ranks.where(is_hot).drop("_m"))
+    cold = ranks.where(~is_hot).drop("_m")
+    joined = pairs.join(hot, on).unionByName(pairs.join(hot.select(*on), on, "left_anti").join(cold, on))
+    return cut_lineage(joined)
+
+
+def spearman(
+    df: DataFrame, keys: list[str], x: str, y: str, per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """(keys, rho, n) over rows where both values are present; rho is null for fewer than two rows.
 
-    Pairs (x, y) are counted first, ranks are joined to distinct pairs, and Pearson's formula is a sum
-    with weights, so all steps combine in the tasks.
+    Pairs (x, y) are counted and kept, ranks are joined to distinct pairs, and Pearson's formula is a
+    sum with weights, so all steps combine in the tasks.
     """
     present = df.where(F.col(x).isNotNull() & ~F.isnan(x) & F.col(y).isNotNull() & ~F.isnan(y))
     if not keys:
-        return spearman(present.withColumn("_all", F.lit(0)), ["_all"], x, y).drop("_all")
-    pairs = present.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_w"))
-    rows = present.count()
+        return spearman(present.withColumn("_all", F.lit(0)), ["_all"], x, y, per_bucket).drop("_all")
+    pairs = cut_lineage(
+        present.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_w"))
+    )
+    total = pairs.count()
+    ranked = pairs
     for side, out in (("_x", "_rx"), ("_y", "_ry")):
-        counts = pairs.groupBy(*keys, side).agg(F.sum("_w").alias("_n"))
-        edges = bucket_edges(pairs, side, rows)
-        pairs = _join_ranks(pairs, value_ranks(counts, keys, side, "_n", edges), keys, side, out, rows)
+        counts = pairs.groupBy(*keys, side).agg(F.sum("_w").alias("_n"), F.count("*").alias("_m"))
+        ranks = value_ranks(counts, keys, side, "_n", bucket_edges(pairs, side, total, per_bucket))
+        ranked = _join_ranks(ranked, ranks, keys, side, out, total)
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
-    sums = pairs.groupBy(*keys).agg(
+    sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"),
         F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"), F.sum(w * a * b).alias("sab"),
     )
@@ -131,7 +146,9 @@ def paired_t(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> Da
     ).drop("_mean", "_sd")
 
 
-def wilcoxon(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
+def wilcoxon(
+    df: DataFrame, a: str, b: str, keys: list[str] | None = None, per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Signed-rank test, alternative a > b, zeros dropped, tie-corrected normal p-value.
 
     (keys, n, w_plus, z, p_value). Everything is a sum over distinct |a - b|, so no rank goes back to
@@ -143,10 +160,10 @@ def wilcoxon(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> Da
     signed = df.withColumn("_d", F.col(a) - F.col(b)).where(
         F.col("_d").isNotNull() & ~F.isnan("_d") & (F.col("_d") != 0)
     ).withColumn("_abs", F.abs("_d"))
-    counts = signed.groupBy(*keys, "_abs").agg(
+    counts = cut_lineage(signed.groupBy(*keys, "_abs").agg(
         F.count("*").alias("_n"), F.sum((F.col("_d") > 0).cast("bigint")).alias("_plus")
-    )
-    ranks = value_ranks(counts, keys, "_abs", "_n", bucket_edges(signed, "_abs", signed.count()))
+    ))
+    ranks = value_ranks(counts, keys, "_abs", "_n", bucket_edges(counts, "_abs", counts.count(), per_bucket))
     size = F.col("_n").cast("double")
     sums = ranks.groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.sum(F.col("rank") * F.col("_plus")).alias("w_plus"),

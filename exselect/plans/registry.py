@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exselect.functions import chat
-from exselect.functions.labels import MODELS, ORDER_TEXT, SANITY_TEXT
+from exselect.functions.labels import MODELS, ORDER_TEXT, SANITY_TEXT, describe
 from exselect.sources.readers import read_table
 from exselect.sources.splits import hash_split
 
@@ -105,10 +106,10 @@ _KEYS = f"""l_orderkey AS document_idx, {_MODEL} AS model, {_ESTIMATOR} AS estim
   {_TEXT} AS explanation_type"""
 SCORING_SELECT = f"""{_KEYS},
   CASE l_returnflag WHEN 'A' THEN 'MSECoderProjUSimp' WHEN 'N' THEN 'MSECoder' ELSE 'KLTCoder' END AS linear_coder,
-  l_extendedprice / 20000.0 AS pred_gain, l_discount AS mse, l_quantity AS l1, l_tax * l_quantity AS l2,
+  l_extendedprice / 23457.0 AS pred_gain, l_discount AS mse, l_quantity AS l1, l_tax * l_quantity AS l2,
   l_discount - 0.05 AS t0, l_tax AS t1, l_tax - l_discount AS t2"""
 VALIDATION_SELECT = f"""{_KEYS},
-  l_extendedprice / 20000.0 - l_quantity / 10.0 AS delta_log_p, l_tax + 0.01 AS jsd, l_discount AS kld"""
+  l_extendedprice / 23457.0 - l_quantity / 10.0 AS delta_log_p, l_tax + 0.01 AS jsd, l_discount AS kld"""
 
 
 def sql_records(name: str, select: str) -> str:
@@ -119,9 +120,33 @@ SCORING_SQL = sql_records("scoring", SCORING_SELECT)
 VALIDATION_SQL = sql_records("validation", VALIDATION_SELECT)
 
 
+_SETTING_KEYS = {"l_linenumber": range(1, 8), "l_orderkey % 4": range(4), "l_partkey % 4": range(4),
+                 "l_suppkey % 10": range(10)}
+
+
+def _descriptions(spark: SparkSession) -> DataFrame:
+    """The 1120 settings an order line can have, with their descriptions: a dimension table."""
+    rows = []
+    for line, k, order, supplier in itertools.product(*_SETTING_KEYS.values()):
+        method = ("random", "top_k", "facility_location", "facility_location", "divine", "aide",
+                  "top_k" if supplier % 2 else "self")[line - 1]
+        rows.append((line, k, order, supplier, method, list(ORDER_TEXT)[order], (1, 5, 10, 25)[k], 100,
+                     (0.0, 0.25, 0.5, 0.75, 1.0)[supplier % 5], (42, 10, 3, 9, 6)[supplier % 5]))
+    table = spark.createDataFrame(
+        rows, "s0 int, s1 int, s2 int, s3 int, method string, sort_type string, k int, m int, lambda double, seed int"
+    )
+    text = describe(*[F.col(c) for c in ("method", "sort_type", "k", "m", "lambda", "seed")])
+    # One kind of line carries the stray prefix that older results have.
+    text = F.when(F.col("s0") == 4, F.concat(F.lit("Top-"), text)).otherwise(text)
+    return table.select("s0", "s1", "s2", "s3", text.alias("explanation_type"))
+
+
 def _records(spark: SparkSession, sf: str, select: str) -> DataFrame:
-    read_table(spark, sf, "lineitem").createOrReplaceTempView("_lines")
-    return spark.sql(f"SELECT {select} FROM _lines")
+    keys = [f"CAST({key} AS INT) AS s{i}" for i, key in enumerate(_SETTING_KEYS)]
+    lines = read_table(spark, sf, "lineitem").selectExpr("*", *keys)
+    joined = lines.join(F.broadcast(_descriptions(spark)), ["s0", "s1", "s2", "s3"])
+    joined.createOrReplaceTempView("_lines")
+    return spark.sql(f"SELECT {select.replace(_TEXT + ' AS explanation_type', 'explanation_type')} FROM _lines")
 
 
 def scoring_records(spark: SparkSession, sf: str) -> DataFrame:
