@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from exselect.functions import labels
 from exselect.operators.scoring import doubles, normalized
+from exselect.session import cut_lineage, small_side
 
 DATASET_KEYS = ["train_dataset", "train_split", "test_dataset", "test_split"]
 PAIR_KEYS = ["model", "estimator", *DATASET_KEYS, "k", "document_idx"]
@@ -20,17 +21,52 @@ def _means(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def with_derived_columns(records: DataFrame) -> DataFrame:
-    """Columns the reports need, read from the description of each record."""
-    text = F.col("explanation_type")
-    return (
-        records.withColumn("k", labels.extract_k(text))
+DESCRIPTION_BYTES = 1024
+
+
+def description_table(records: DataFrame) -> DataFrame:
+    """Every distinct description with the columns that reports read from it.
+
+    Records share a few hundred descriptions, so they are parsed once each, not once per record. The
+    table is kept and counted; it is broadcast only if it is as small as expected.
+    """
+    text = F.col("raw")
+    parsed = (
+        records.select(F.col("explanation_type").alias("raw")).distinct()
+        .withColumn("k", labels.extract_k(text))
         .withColumn("explanation_type_no_k", labels.replace_k(text, "k"))
         .withColumn("explanation_type", labels.facility_location_hotfix(text, with_aide=True))
-        .withColumn("sort_type", labels.get_sort_type("explanation_type"))
-        .withColumn("seed", F.coalesce(labels.extract_seed("explanation_type"), F.lit(-1)))
-        .withColumn("nmse", labels.nmse("pred_gain"))
     )
+    parsed = with_setting(cut_lineage(parsed))
+    table = cut_lineage(
+        parsed.withColumn("sort_type", labels.get_sort_type("explanation_type"))
+        .withColumn("seed", F.coalesce(labels.extract_seed(text), F.lit(-1)))
+        .withColumn("lambda", labels.get_lambda(text))
+        .withColumn("category", labels.categorize(text))
+    )
+    return small_side(table, table.count(), DESCRIPTION_BYTES)
+
+
+def with_derived_columns(records: DataFrame) -> DataFrame:
+    """Records with the columns of their description and the NMSE."""
+    raw = records.withColumnRenamed("explanation_type", "raw")
+    return raw.join(description_table(records), "raw").drop("raw").withColumn("nmse", labels.nmse("pred_gain"))
+
+
+def with_setting(rows: DataFrame) -> DataFrame:
+    """Typed columns (method, order) of a description, the keys of the pairing with naive top-k."""
+    text = F.col("explanation_type")
+    method = (
+        F.when(text.contains("by facility location"), F.lit("facility_location"))
+        .when(text.contains("by DIVINE"), F.lit("divine"))
+        .when(text.contains("by AIDE"), F.lit("aide"))
+        .when(text.startswith("Top-"), F.lit("top_k"))
+    )
+    order = F.coalesce(
+        *[F.when(text.contains(words), F.lit(name)) for name, words in labels.ORDER_TEXT.items()],
+        F.when(text.contains("by AIDE"), F.lit("most_influential")),
+    )
+    return rows.withColumn("method", method).withColumn("order", order)
 
 
 def coefficient_shares(records: DataFrame, column: str = "t") -> DataFrame:
@@ -126,31 +162,14 @@ def auc_table(records: DataFrame, with_model: bool = True, value: str = "pred_ga
     return _means(areas, ["model", *group] if with_model else group, [f"auc_{value}"])
 
 
-def with_setting(records: DataFrame) -> DataFrame:
-    """Typed columns (method, order) of a description, the keys of the pairing with naive top-k."""
-    text = F.col("explanation_type")
-    method = (
-        F.when(text.contains("by facility location"), F.lit("facility_location"))
-        .when(text.contains("by DIVINE"), F.lit("divine"))
-        .when(text.contains("by AIDE"), F.lit("aide"))
-        .when(text.startswith("Top-"), F.lit("top_k"))
-    )
-    order = F.coalesce(
-        *[F.when(text.contains(words), F.lit(name)) for name, words in labels.ORDER_TEXT.items()],
-        F.when(method == "aide", F.lit("most_influential")),
-    )
-    return records.withColumn("method", method).withColumn("order", order)
-
-
 def gain_ratio(records: DataFrame, keys: list[str], value: str = "pred_gain") -> DataFrame:
     """Mean gain of every setting beside its naive top-k of the same k and order, with both ratios.
 
     One grouped mean over all settings, then an equi-join of the group table with its naive rows:
-    the settings are never scanned one by one.
+    the settings are never scanned one by one. The records carry the columns of their description.
     """
     means = _means(
-        with_setting(records).where(F.col("method").isNotNull()),
-        [*keys, "method", "order", "explanation_type"], [value],
+        records.where(F.col("method").isNotNull()), [*keys, "method", "order", "explanation_type"], [value]
     )
     naive = means.where(F.col("method") == "top_k").select(*keys, "order", F.col(value).alias("naive"))
     return (

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from exselect.functions.labels import categorize, decibel, extract_k
+from exselect.functions.labels import decibel, extract_k
 from exselect.operators import analytics, checks, ranking, stats, validation
 from exselect.plans.registry import (
     ESTIMATORS, SCORING_SQL, VALIDATION_SQL, VECTORS_SQL, query, scoring_records, validation_records, vectors,
@@ -250,7 +250,7 @@ def fisher_z_by_lambda(spark, sf):
 
 
 def _fisher(spark, sf):
-    rows = derived(spark, sf).where("pred_gain > 1").withColumn("cat", categorize("explanation_type"))
+    rows = derived(spark, sf).where("pred_gain > 1").withColumnRenamed("category", "cat")
     rho = stats.spearman(rows.where(~F.col("cat").isin("Other", "Naive")), ["estimator", "cat"], "pred_gain", "l1")
     return stats.fisher_z(rho, ["estimator"], "cat", "0.0")
 
