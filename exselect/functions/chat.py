@@ -15,9 +15,17 @@ MASKED = -100
 WHITESPACE = "[ \\t\\n\\r\\f\\x0b]+"
 
 
+def _column(text: Column | str) -> Column:
+    return F.col(text) if isinstance(text, str) else text
+
+
 def terms_of(text: Column | str) -> Column:
-    """Terms of a text: split on ASCII whitespace, empty terms dropped."""
-    return F.filter(F.split(text, WHITESPACE), lambda term: term != "")
+    """Terms of a text: split on ASCII whitespace, no empty terms.
+
+    Trimming first leaves nothing to filter out of the split.
+    """
+    inner = F.btrim(_column(text), F.lit(" \t\n\r\f\x0b"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WHITESPACE))
 
 
 def tokenize(df: DataFrame, text_col: str = "text", max_len: int | None = 4096) -> DataFrame:

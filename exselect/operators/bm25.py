@@ -62,30 +62,35 @@ def query_postings(queries: DataFrame, corpus: DataFrame, total_docs: int) -> Da
 
 
 class _QueryIndex:
-    """Query postings grouped by term, as flat arrays for vectorised scoring."""
+    """Distinct query terms grouped by term, as flat arrays for vectorised scoring."""
 
-    def __init__(self, test_ids: np.ndarray, postings: pa.Table):
+    def __init__(self, test_ids: np.ndarray, pairs: pa.Table):
         self.test_ids = test_ids
-        terms = postings["term"].to_numpy(zero_copy_only=False).astype(str)
-        self.terms, first, code = np.unique(terms, return_index=True, return_inverse=True)
-        self.idf = postings["idf"].to_numpy()[first] if len(first) else np.empty(0)
+        coded = pairs["term"].combine_chunks().dictionary_encode()
+        self.terms = coded.dictionary
+        code = coded.indices.to_numpy()
         order = np.argsort(code, kind="stable")
-        self.query = np.searchsorted(test_ids, postings["test_id"].to_numpy())[order]
+        self.query = np.searchsorted(test_ids, pairs["test_id"].to_numpy())[order]
         self.count = np.bincount(code, minlength=len(self.terms))
         self.start = np.concatenate([[0], np.cumsum(self.count)[:-1]]).astype(np.int64)
+        self.idf = np.zeros(len(self.terms))
+
+    def occurrences(self, terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term code, tf) of the query terms in a batch of documents."""
+        size = len(self.terms)
+        if not size:
+            return (np.empty(0, np.int64),) * 3
+        lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+        code = pc.fill_null(pc.index_in(terms.flatten(), value_set=self.terms), -1).to_numpy()
+        known = np.flatnonzero(code >= 0)
+        doc = np.repeat(np.arange(len(terms), dtype=np.int64), lengths)[known]
+        pair, tf = np.unique(doc * size + code[known], return_counts=True)
+        return *np.divmod(pair, size), tf
 
     def scores(self, terms: pa.ListArray, norm: np.ndarray, k1: float) -> np.ndarray:
         """Documents x queries; `norm` is the length part of each document's denominator."""
         shape = (len(terms), len(self.test_ids))
-        if not len(self.terms):
-            return np.zeros(shape)
-        lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
-        code = pc.index_in(terms.flatten(), value_set=pa.array(self.terms, pa.string()))
-        code = pc.fill_null(code, -1).to_numpy().astype(np.int64)
-        doc = np.repeat(np.arange(shape[0]), lengths)
-        known = code >= 0
-        pair, tf = np.unique(doc[known] * len(self.terms) + code[known], return_counts=True)
-        doc, code = np.divmod(pair, len(self.terms))
+        doc, code, tf = self.occurrences(terms)
         weight = self.idf[code] * tf * (k1 + 1.0) / (tf + norm[doc])
         fan = self.count[code]
         ends = np.cumsum(fan)
@@ -97,27 +102,55 @@ class _QueryIndex:
         ).reshape(shape)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _corpus_counts(corpus: DataFrame, shared, slice_rows: int) -> tuple[int, float, pa.Table]:
+    """(documents, mean length, df by term code) in one scan: each task adds up its own counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        df = np.zeros(len(index.terms), np.int64)
+        docs = length = 0
+        for part in _slices(batches, slice_rows):
+            df += np.bincount(index.occurrences(part["terms"])[1], minlength=len(df))
+            docs += part.num_rows
+            length += len(part["terms"].flatten())
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({
+            "code": np.concatenate([[-2, -1], seen]), "n": np.concatenate([[length, docs], df[seen]]),
+        })
+
+    counts = corpus.select("terms").mapInArrow(count, "code bigint, n bigint")
+    table = counts.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    special = dict(zip(table["code"].to_pylist(), table["n"].to_pylist()))
+    docs = special.get(-1, 0)
+    return docs, (special.get(-2, 0) / docs if docs else 1.0) or 1.0, table.filter(pc.field("code") >= 0)
+
+
 def _scan(queries, corpus, k1, b, variant, consume, schema, slice_rows=512):
     """Shared-postings scan, or None when the queries do not fit the broadcast limit."""
     spark = corpus.sparkSession
-    tests, terms = queries.agg(F.count("*"), F.sum(F.size(F.array_distinct("terms")))).first()
+    pairs = queries.select("test_id", F.explode(F.array_distinct("terms")).alias("term"))
+    tests, terms = queries.agg(F.count("*"), F.sum(F.size("terms"))).first()
     if tests * 8 + (terms or 0) * POSTING_BYTES > broadcast_limit(spark):
         return None
-    total, avgdl = corpus_stats(corpus)
     ids = np.sort(queries.select("test_id").toArrow()["test_id"].to_numpy())
-    index = _QueryIndex(ids, query_postings(queries, corpus, total).toArrow())
+    index = _QueryIndex(ids, pairs.toArrow())
+    total, avgdl, known = _corpus_counts(corpus, spark.sparkContext.broadcast(index), slice_rows)
+    df = known["n"].to_numpy()
+    index.idf[known["code"].to_numpy()] = np.log((total - df + 0.5) / (df + 0.5) + 1.0)
     shared = spark.sparkContext.broadcast(index)
     extra = VARIANTS[variant]
 
     def scored(batches: Iterator[pa.RecordBatch]):
-        index = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
-                terms = part["terms"]
-                length = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
-                norm = extra + k1 * (1.0 - b + b * length / avgdl)
-                yield part["train_id"].to_numpy(), index.scores(terms, norm, k1)
+        for part in _slices(batches, slice_rows):
+            length = pc.list_value_length(part["terms"]).to_numpy(zero_copy_only=False)
+            norm = extra + k1 * (1.0 - b + b * length / avgdl)
+            yield part["train_id"].to_numpy(), shared.value.scores(part["terms"], norm, k1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from consume(shared.value.test_ids, scored(batches))

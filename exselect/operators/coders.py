@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exselect.operators.scoring import as_matrix, doubles, with_scalar
+from exselect.session import spread
 
 GRAM_FIELDS = (
     "width int, size int, r array<double>, c array<double>, s array<double>, "
@@ -44,42 +45,42 @@ def gram(
     )
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {name: [] for name in ("width", "size", "r", "c", "s", "sum_g", "var_g", "rest")}
         if not left.num_rows:
-            return _gram_table(key, [], [], out)
+            return _gram_table(key, left, [], [])
         ids = right["train_id"].to_pylist()
         place = {i: at for at, i in enumerate(ids)}
         vectors = as_matrix(right["vec"])
         g = vectors[place[None]]
+        parts, numbers = [], []
         for chosen in left["ids"].to_pylist():
             a = vectors[[place[i] for i in chosen]]
             q, r = np.linalg.qr(a.T)
             c = q.T @ g
-            out["width"].append(len(g))
-            out["size"].append(len(chosen))
-            out["r"].append(r.ravel())
-            out["c"].append(c)
-            out["s"].append(a.sum(axis=1))
-            out["sum_g"].append(g.sum())
-            out["var_g"].append(g.var())
-            out["rest"].append(float(np.square(g - q @ c).sum()))
-        return _gram_table(key, left["test_id"].to_pylist(), left[key].to_pylist(), out)
+            off = g - q @ c
+            parts.append((r.ravel(), c, a.sum(axis=1)))
+            numbers.append((len(g), len(chosen), g.sum(), g.var(), off @ off))
+        return _gram_table(key, left, parts, numbers)
 
     # Fresh columns: both sides stem from the same selections.
-    rows = rows.toDF(*rows.columns)
-    return picks.groupBy("test_id").cogroup(rows.groupBy("test_id")).applyInArrow(
+    rows = spread(rows.toDF(*rows.columns), "test_id")
+    return spread(picks, "test_id").groupBy("test_id").cogroup(rows.groupBy("test_id")).applyInArrow(
         build, f"test_id bigint, {key} string, {GRAM_FIELDS}"
     )
 
 
-def _gram_table(key: str, tests: list, keys: list, out: dict) -> pa.Table:
-    lists = pa.list_(pa.float64())
+def _gram_table(key: str, left: pa.Table, parts: list, numbers: list) -> pa.Table:
+    width, size, sum_g, var_g, rest = np.array(numbers).T if numbers else np.empty((5, 0))
+    r, c, s = zip(*parts) if parts else ((), (), ())
+
+    def lists(rows):
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0)))
+
     return pa.table({
-        "test_id": pa.array(tests, pa.int64()), key: pa.array(keys, pa.string()),
-        "width": pa.array(out["width"], pa.int32()), "size": pa.array(out["size"], pa.int32()),
-        "r": pa.array(out["r"], lists), "c": pa.array(out["c"], lists), "s": pa.array(out["s"], lists),
-        "sum_g": pa.array(out["sum_g"], pa.float64()), "var_g": pa.array(out["var_g"], pa.float64()),
-        "rest": pa.array(out["rest"], pa.float64()),
+        "test_id": left["test_id"].cast(pa.int64()) if numbers else pa.array([], pa.int64()),
+        key: left[key].cast(pa.string()) if numbers else pa.array([], pa.string()),
+        "width": width.astype(np.int32), "size": size.astype(np.int32), "r": lists(r), "c": lists(c),
+        "s": lists(s), "sum_g": sum_g, "var_g": var_g, "rest": rest,
     })
 
 
@@ -179,13 +180,41 @@ def ridge(p: Problem, lam: float = 0.7) -> np.ndarray:
     return np.linalg.solve(p.k + lam * np.eye(len(p.b)), p.b)
 
 
-def nonnegative(design: np.ndarray, target: np.ndarray, rounds: int = 0) -> np.ndarray:
-    """min |design t - target| over t >= 0 by an active set; exact for a full-rank design."""
+def _pivoted_support(design: np.ndarray, target: np.ndarray) -> np.ndarray | None:
+    """Support of the non-negative solution by exchanging all wrong entries at once; None if it cycles."""
+    normal, right = design.T @ design, design.T @ target
+    free = np.linalg.solve(design, target) > 0 if design.shape[0] == design.shape[1] else right > 0
+    tol = 1e-10 * max(np.abs(right).max(), 1e-300)
+    for _ in range(20):
+        t = np.zeros(len(right))
+        if free.any():
+            t[free] = np.linalg.solve(normal[np.ix_(free, free)], right[free])
+        slope = normal @ t - right
+        wrong = (free & (t < 0)) | (~free & (slope < -tol))
+        if not wrong.any():
+            return free
+        free = free ^ wrong
+    return None
+
+
+def nonnegative(design: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """min |design t - target| over t >= 0; exact for a full-rank design."""
+    free = _pivoted_support(design, target)
+    if free is None:
+        return _active_set(design, target)
+    t = np.zeros(design.shape[1])
+    if free.any():
+        t[free] = np.maximum(np.linalg.lstsq(design[:, free], target, rcond=None)[0], 0.0)
+    return t
+
+
+def _active_set(design: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The same, entry by entry: slower, but it always ends."""
     size = design.shape[1]
     t, free = np.zeros(size), np.zeros(size, bool)
     gradient = design.T @ target
     tol = 10 * np.finfo(float).eps * np.abs(design).sum(axis=0).max() * size * max(np.abs(target).max(), 1e-300)
-    for _ in range(rounds or 3 * size + 10):
+    for _ in range(3 * size + 10):
         if free.all() or gradient[~free].max() <= tol:
             break
         free[np.argmax(np.where(free, -np.inf, gradient))] = True
@@ -255,38 +284,49 @@ ACTIVE_CODERS = (
 )
 
 
+def _ragged(column: pa.ListArray):
+    """Row accessor of a list column without leaving numpy."""
+    flat = column.flatten().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    return lambda at: flat[ends[at]:ends[at + 1]]
+
+
 def fit(records: DataFrame, coders: Iterable[str] = ACTIVE_CODERS, key: str = "selection") -> DataFrame:
     """One row per (record, coder) with t, pred_gain, mse, l1, l2 and the cosine of the rebuilt vector."""
     names = tuple(coders)
 
     def solve(batches):
         for batch in batches:
-            out = {name: [] for name in ("linear_coder", "t", "pred_gain", "mse", "l1", "l2", "cosine")}
-            source = []
-            for at, row in enumerate(batch.to_pylist()):
-                r = np.array(row["r"]).reshape(-1, row["size"])
-                p = Problem(r, np.array(row["c"]), row["width"])
-                s = np.array(row["s"])
+            if not batch.num_rows:
+                continue
+            r_all, c_all, s_all = (_ragged(batch[name]) for name in ("r", "c", "s"))
+            width, size = batch["width"].to_numpy(), batch["size"].to_numpy()
+            sum_g, var_g, rest = (batch[name].to_numpy() for name in ("sum_g", "var_g", "rest"))
+            found, scores = [], []
+            for at in range(batch.num_rows):
+                r = r_all(at).reshape(-1, size[at])
+                p = Problem(r, c_all(at), int(width[at]))
+                s = s_all(at)
+                square_g = p.c @ p.c + rest[at]
                 for name in names:
                     t = CODERS[name](p)
-                    mse = (np.square(p.c - r @ t).sum() + row["rest"]) / p.width
-                    mean = (row["sum_g"] - t @ s) / p.width
-                    variance = max(mse - mean * mean, 0.0)
-                    length = np.sqrt((np.square(p.c).sum() + row["rest"]) * (t @ p.k @ t))
-                    values = (name, t, row["var_g"] / (variance + GAIN_EPS), mse,
-                              np.abs(t).sum(), np.square(t).sum(), t @ p.b / length if length else 0.0)
-                    for column, value in zip(out.values(), values):
-                        column.append(value)
-                    source.append(at)
-            take = pa.array(source, pa.int32())
+                    off = p.c - r @ t
+                    mse = (off @ off + rest[at]) / p.width
+                    mean = (sum_g[at] - t @ s) / p.width
+                    length = np.sqrt(square_g * (t @ p.k @ t))
+                    found.append(t)
+                    scores.append((
+                        var_g[at] / (max(mse - mean * mean, 0.0) + GAIN_EPS), mse, np.abs(t).sum(), t @ t,
+                        t @ p.b / length if length else 0.0,
+                    ))
+            source = pa.array(np.repeat(np.arange(batch.num_rows), len(names)))
+            gain, mse, l1, l2, cosine = np.array(scores).T
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in found])]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
-                "test_id": batch["test_id"].take(take), key: batch[key].take(take),
-                "linear_coder": pa.array(out["linear_coder"], pa.string()),
-                "pred_gain": pa.array(out["pred_gain"], pa.float64()),
-                "mse": pa.array(out["mse"], pa.float64()),
-                "l1": pa.array(out["l1"], pa.float64()), "l2": pa.array(out["l2"], pa.float64()),
-                "cosine": pa.array(out["cosine"], pa.float64()),
-                "t": pa.array(out["t"], pa.list_(pa.float64())),
+                "test_id": batch["test_id"].take(source), key: batch[key].take(source),
+                "linear_coder": pa.array(names * batch.num_rows, pa.string()),
+                "pred_gain": gain, "mse": mse, "l1": l1, "l2": l2, "cosine": cosine,
+                "t": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
             })
 
     return records.mapInArrow(

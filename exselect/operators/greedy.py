@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exselect.operators.scoring import as_matrix, doubles, gather_vectors
+from exselect.session import spread
 
 # Sign and shape of a score when it acts as a cost; importance is the opposite.
 COSTS = {
@@ -34,18 +35,12 @@ def cosine_similarity(vectors: np.ndarray) -> np.ndarray:
     return unit @ unit.T
 
 
-def cosine_distance(vectors: np.ndarray) -> np.ndarray:
-    distance = 1.0 - cosine_similarity(vectors)
+def cosine_distance(similarity: np.ndarray) -> np.ndarray:
+    distance = 1.0 - similarity
     np.fill_diagonal(distance, 0.0)
     return distance
 
 
-def redundancy_similarity(vectors: np.ndarray) -> np.ndarray:
-    """max(D) - D of the cosine distances D, so that nothing is negative."""
-    distance = cosine_distance(vectors)
-    return distance.max() - distance
-
-
 def scaled(values: np.ndarray, low: float, high: float) -> np.ndarray:
     span = values.max() - values.min()
     return np.full(len(values), float(low)) if span == 0 else low + (values - values.min()) / span * (high - low)
@@ -55,56 +50,68 @@ def _rounded(values: np.ndarray, digits: int | None) -> np.ndarray:
     return values if digits is None else np.round(values, digits)
 
 
-def _greedy(size: int, k: int, value_of, take, digits: int | None) -> list[int]:
-    """Repeatedly take the open candidate of the largest value."""
-    picks: list[int] = []
-    open_ = np.ones(size, bool)
-    for _ in range(min(k, size)):
-        best = int(np.argmax(np.where(open_, _rounded(value_of(), digits), -np.inf)))
-        picks.append(best)
-        open_[best] = False
+def _greedy(size: int, k: int, runs: int, value_of, take, digits: int | None) -> np.ndarray:
+    """Repeatedly take the open candidate of the largest value, for several parameters side by side.
+
+    `value_of()` gives a (runs, size) table of values; the result lists each run's picks in order.
+    """
+    k = min(k, size)
+    picks = np.empty((runs, k), np.int64)
+    closed = np.zeros((runs, size), bool)
+    for step in range(k):
+        values = _rounded(value_of(), digits)
+        values[closed] = -np.inf
+        best = values.argmax(axis=1)
+        picks[:, step] = best
+        closed[np.arange(runs), best] = True
         take(best)
     return picks
 
 
-def facility_picks(similarity, cost, k, lam, digits=None) -> list[int]:
-    """Largest (gain + 1)^lam / cost^(1 - lam); gain = sum_i max(sim_ij - covered_i, 0)."""
-    covered = np.zeros(len(similarity))
-    weight = cost ** (1.0 - lam)
+class _Coverage:
+    """Facility-location gains: sum_i max(sim_ij - covered_i, 0), one row of `covered` per run."""
 
-    def value():
-        gain = np.maximum(similarity - covered[:, None], 0.0).sum(axis=0)
-        return (gain + 1.0) ** lam / weight
+    def __init__(self, similarity: np.ndarray, runs: int):
+        self.similarity = similarity
+        self.covered = np.zeros((runs, len(similarity)))
 
-    def take(j):
-        np.maximum(covered, similarity[:, j], out=covered)
+    def gain(self) -> np.ndarray:
+        return np.maximum(self.similarity[None] - self.covered[:, :, None], 0.0).sum(axis=1)
 
-    return _greedy(len(cost), k, value, take, digits)
+    def take(self, best: np.ndarray) -> None:
+        np.maximum(self.covered, self.similarity[:, best].T, out=self.covered)
 
 
-def divine_picks(similarity, importance, k, gamma, digits=None) -> list[int]:
-    """Largest importance + gamma * redundancy gain, the gain being -(2 sum_{j in S} S_ij + S_ii)."""
-    overlap = np.diag(similarity).copy()
+def facility_picks(similarity, cost, k, lambdas, digits=None) -> np.ndarray:
+    """Largest (gain + 1)^lam / cost^(1 - lam), per lambda."""
+    lam = np.asarray(lambdas, float)[:, None]
+    coverage = _Coverage(similarity, len(lam))
+    weight = cost[None] ** (1.0 - lam)
+    return _greedy(len(cost), k, len(lam), lambda: (coverage.gain() + 1.0) ** lam / weight, coverage.take, digits)
 
-    def take(j):
-        np.add(overlap, 2.0 * similarity[:, j], out=overlap)
 
-    return _greedy(len(importance), k, lambda: importance - gamma * overlap, take, digits)
+def divine_picks(similarity, importance, k, gammas, digits=None) -> np.ndarray:
+    """Largest importance + gamma * redundancy gain, the gain being -(2 sum_{j in S} S_ij + S_ii)."""
+    gamma = np.asarray(gammas, float)[:, None]
+    overlap = np.repeat(np.diag(similarity)[None], len(gamma), axis=0)
 
+    def take(best):
+        np.add(overlap, 2.0 * similarity[best], out=overlap)
 
-def aide_picks(similarity, influence, closeness, k, alpha, beta, gamma, digits=None) -> list[int]:
-    """Largest alpha |s| + beta cos + gamma f(k) * facility gain, f(k) = 1 - 1/(k (k-1)), f(1) = 1."""
-    factor = 1.0 if k == 1 else 1.0 - 1.0 / (k * (k - 1))
-    covered = np.zeros(len(similarity))
-    fixed = alpha * influence + beta * closeness
+    return _greedy(len(importance), k, len(gamma), lambda: importance - gamma * overlap, take, digits)
 
-    def value():
-        return fixed + gamma * factor * np.maximum(similarity - covered[:, None], 0.0).sum(axis=0)
 
-    def take(j):
-        np.maximum(covered, similarity[:, j], out=covered)
+def aide_picks(similarity, influence, closeness, ks, alpha, beta, gamma, digits=None) -> np.ndarray:
+    """Largest alpha |s| + beta cos + gamma f(k) * facility gain, f(k) = 1 - 1/(k (k-1)), f(1) = 1.
 
-    return _greedy(len(influence), k, value, take, digits)
+    One run per k, all to the largest k; the caller cuts each run at its own k.
+    """
+    factor = np.array([1.0 if k == 1 else 1.0 - 1.0 / (k * (k - 1)) for k in ks])[:, None]
+    coverage = _Coverage(similarity, len(factor))
+    fixed = alpha * influence + beta * closeness
+    return _greedy(
+        len(influence), max(ks), len(factor), lambda: fixed + gamma * factor * coverage.gain(), coverage.take, digits
+    )
 
 
 def ground_sets(top: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -112,28 +119,63 @@ def ground_sets(top: DataFrame, vectors: DataFrame) -> DataFrame:
     return gather_vectors(top.select("sort_type", "test_id", "rank", "train_id", "score"), vectors)
 
 
-def _group(table: pa.Table):
-    table = table.sort_by("rank")
-    return (
-        table["sort_type"][0].as_py(), table["test_id"][0].as_py(),
-        table["train_id"].to_numpy(), table["score"].to_numpy(), as_matrix(table["vec"]),
-    )
-
-
-def _picks_table(sort_type, test_id, ids, found, extra: dict[str, pa.DataType]) -> pa.Table:
-    """`found` lists (picks, k, extra values...)."""
-    rows = [(k, rank + 1, ids[pick], *rest) for picks, k, *rest in found for rank, pick in enumerate(picks)]
-    columns = list(zip(*rows)) if rows else [[] for _ in range(3 + len(extra))]
-    data = {
-        "sort_type": pa.array([sort_type] * len(rows), pa.string()),
-        "test_id": pa.array([test_id] * len(rows), pa.int64()),
-        "k": pa.array(columns[0], pa.int32()),
-        "rank": pa.array(columns[1], pa.int32()),
-        "train_id": pa.array(columns[2], pa.int64()),
-    }
-    for at, (name, kind) in enumerate(extra.items()):
-        data[name] = pa.array(columns[3 + at], kind)
-    return pa.table(data)
+class _Group:
+    """One ground set in rank order."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table = table.sort_by("rank")
+        self.sort_type = table["sort_type"][0].as_py()
+        self.test_id = table["test_id"][0].as_py()
+        self.ids = table["train_id"].to_numpy()
+        self.score = table["score"].to_numpy()
+        self.vectors = as_matrix(table["vec"])
+        self.cosine = cosine_similarity(self.vectors)
+        self.distance = cosine_distance(self.cosine)
+
+    def picks(self, found, extra: dict[str, pa.DataType]) -> pa.Table:
+        """Rows of (picks, k, extra values...)."""
+        found = list(found)
+        sizes = [len(picks) for picks, *_ in found]
+        total = sum(sizes)
+
+        def repeated(values, kind):
+            return pa.array(values, kind).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
+
+        data = {
+            "sort_type": pa.array([self.sort_type], pa.string()).take(pa.array(np.zeros(total, np.int64))),
+            "test_id": np.full(total, self.test_id, np.int64),
+            "k": repeated([row[1] for row in found], pa.int32()),
+            "rank": np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes]),
+            "train_id": self.ids[np.concatenate([picks for picks, *_ in found])],
+        }
+        for at, (name, kind) in enumerate(extra.items()):
+            data[name] = repeated([row[2 + at] for row in found], kind)
+        return pa.table(data)
+
+
+def _facility(group, ks, lambdas, m, digits):
+    cost = scaled(COSTS[group.sort_type](group.score), 1.0, m)
+    for lam, order in zip(lambdas, facility_picks(group.cosine, cost, ks[-1], lambdas, digits)):
+        yield from ((order[:k], k, lam) for k in ks)
+
+
+def _divine(group, ks, gammas, digits):
+    distance = group.distance
+    importance = scaled(-COSTS[group.sort_type](group.score), 0.0, 1.0)
+    orders = divine_picks(distance.max() - distance, importance, ks[-1], gammas, digits)
+    for k in ks:
+        picks = orders[:, :k]
+        apart = distance[picks[:, :, None], picks[:, None, :]].mean(axis=(1, 2))
+        best = int(np.argmax(_rounded(apart, 9 if digits is None else digits)))
+        yield orders[best][:k], k, gammas[best]
+
+
+def _aide(group, query, ks, weights, digits):
+    norms = np.linalg.norm(group.vectors, axis=1) * np.linalg.norm(query) + 1e-10
+    closeness = group.vectors @ query / norms
+    similarity = group.distance.max() - group.distance
+    for k, order in zip(ks, aide_picks(similarity, np.abs(group.score), closeness, ks, *weights, digits)):
+        yield order[:k], k
 
 
 def facility_location(
@@ -143,16 +185,12 @@ def facility_location(
     ks, lambdas = sorted(ks), tuple(float(x) for x in lambdas)
 
     def solve(table: pa.Table) -> pa.Table:
-        sort_type, test_id, ids, score, vectors = _group(table)
-        similarity = cosine_similarity(vectors)
-        cost = scaled(COSTS[sort_type](score), 1.0, m)
-        found = []
-        for lam in lambdas:
-            order = facility_picks(similarity, cost, ks[-1], lam, digits)
-            found += [(order[:k], k, lam) for k in ks]
-        return _picks_table(sort_type, test_id, ids, found, {"lambda": pa.float64()})
+        group = _Group(table)
+        return group.picks(_facility(group, ks, lambdas, m, digits), {"lambda": pa.float64()})
 
-    return ground.groupBy("sort_type", "test_id").applyInArrow(solve, PICKS + ", lambda double")
+    return spread(ground, "sort_type", "test_id").groupBy("sort_type", "test_id").applyInArrow(
+        solve, PICKS + ", lambda double"
+    )
 
 
 def divine(
@@ -162,19 +200,12 @@ def divine(
     ks, gammas = sorted(ks), tuple(float(x) for x in gammas)
 
     def solve(table: pa.Table) -> pa.Table:
-        sort_type, test_id, ids, score, vectors = _group(table)
-        distance = cosine_distance(vectors)
-        similarity = distance.max() - distance
-        importance = scaled(-COSTS[sort_type](score), 0.0, 1.0)
-        orders = [divine_picks(similarity, importance, ks[-1], gamma, digits) for gamma in gammas]
-        found = []
-        for k in ks:
-            spread = np.array([distance[np.ix_(o[:k], o[:k])].mean() for o in orders])
-            best = int(np.argmax(_rounded(spread, 9 if digits is None else digits)))
-            found.append((orders[best][:k], k, gammas[best]))
-        return _picks_table(sort_type, test_id, ids, found, {"gamma": pa.float64()})
+        group = _Group(table)
+        return group.picks(_divine(group, ks, gammas, digits), {"gamma": pa.float64()})
 
-    return ground.groupBy("sort_type", "test_id").applyInArrow(solve, PICKS + ", gamma double")
+    return spread(ground, "sort_type", "test_id").groupBy("sort_type", "test_id").applyInArrow(
+        solve, PICKS + ", gamma double"
+    )
 
 
 def aide(
@@ -192,33 +223,62 @@ def aide(
     default, or any other table with those ids.
     """
     ks = sorted(ks)
-    queries = query_vectors.select("test_id", doubles().alias("query"))
-    only = ground.where(F.col("sort_type") == "most_influential").join(queries, "test_id")
+    only = ground.where(F.col("sort_type") == "most_influential")
+
+    def solve(table: pa.Table) -> pa.Table:
+        group = _Group(table)
+        query = as_matrix(group.table["query"].slice(0, 1))[0]
+        return group.picks(_aide(group, query, ks, (alpha, beta, gamma), digits), {})
+
+    return spread(_with_query(only, query_vectors), "sort_type", "test_id").groupBy(
+        "sort_type", "test_id"
+    ).applyInArrow(solve, PICKS)
+
+
+def _with_query(ground: DataFrame, query_vectors: DataFrame) -> DataFrame:
+    """Put the query vector on the first row of each ground set only."""
+    queries = query_vectors.select("test_id", F.lit(1).alias("rank"), doubles().alias("query"))
+    return ground.join(queries, ["test_id", "rank"], "left")
+
+
+def all_methods(
+    ground: DataFrame,
+    query_vectors: DataFrame,
+    ks: Iterable[int],
+    lambdas: Iterable[float],
+    m: int,
+    gammas: Iterable[float] = GAMMAS,
+    aide_weights: tuple[float, float, float] = (0.2, 0.8, 0.5),
+    digits: int | None = None,
+) -> DataFrame:
+    """Facility location, DIVINE and AIDE of each ground set in one pass: the vectors travel once.
+
+    Adds `method` and `parameter`, which is lambda or gamma and null for AIDE.
+    """
+    ks, lambdas, gammas = sorted(ks), tuple(map(float, lambdas)), tuple(map(float, gammas))
 
     def solve(table: pa.Table) -> pa.Table:
-        sort_type, test_id, ids, score, vectors = _group(table)
-        query = as_matrix(table["query"].slice(0, 1))[0]
-        norms = np.linalg.norm(vectors, axis=1) * np.linalg.norm(query) + 1e-10
-        closeness = vectors @ query / norms
-        similarity = redundancy_similarity(vectors)
-        found = [
-            (aide_picks(similarity, np.abs(score), closeness, k, alpha, beta, gamma, digits), k)
-            for k in ks
-        ]
-        return _picks_table(sort_type, test_id, ids, found, {})
+        group = _Group(table)
+        found = [(*f, "facility_location") for f in _facility(group, ks, lambdas, m, digits)]
+        found += [(*f, "divine") for f in _divine(group, ks, gammas, digits)]
+        if group.sort_type == "most_influential":
+            query = as_matrix(group.table["query"].slice(0, 1))[0]
+            found += [(*f, None, "aide") for f in _aide(group, query, ks, aide_weights, digits)]
+        return group.picks(found, {"parameter": pa.float64(), "method": pa.string()})
 
-    return only.groupBy("sort_type", "test_id").applyInArrow(solve, PICKS)
+    return spread(_with_query(ground, query_vectors), "sort_type", "test_id").groupBy(
+        "sort_type", "test_id"
+    ).applyInArrow(solve, PICKS + ", parameter double, method string")
 
 
 def ground_similarity(ground: DataFrame) -> DataFrame:
     """Per ground set: mean cosine over all pairs and the largest cosine distance, for inspection."""
 
     def solve(table: pa.Table) -> pa.Table:
-        sort_type, test_id, _, _, vectors = _group(table)
-        cosine = cosine_similarity(vectors)
+        group = _Group(table)
         return pa.table({
-            "sort_type": [sort_type], "test_id": pa.array([test_id], pa.int64()),
-            "mean_similarity": [float(cosine.mean())], "max_distance": [float(1.0 - cosine.min())],
+            "sort_type": [group.sort_type], "test_id": pa.array([group.test_id], pa.int64()),
+            "mean_similarity": [float(group.cosine.mean())], "max_distance": [float(group.distance.max())],
         })
 
     return ground.groupBy("sort_type", "test_id").applyInArrow(

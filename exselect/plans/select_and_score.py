@@ -55,13 +55,14 @@ def select_all(
     orders = SORT_TYPES if signed else SIGNLESS_ORDERS
     top = top.where(F.col("sort_type").isin(*orders))
     ground = greedy.ground_sets(top.where(F.col("rank") <= m), train)
+    queries = query_vectors if query_vectors is not None else test
+    picked = greedy.all_methods(ground, queries, fitting, lambdas, m, digits=digits).withColumn(
+        "lambda", F.when(F.col("method") == "facility_location", F.col("parameter"))
+    )
     found = [
         _shaped(ranking.self_selection(test), method="self", k=1),
         _shaped(prefixes(top, ks), method="top_k"),
-        _shaped(greedy.facility_location(ground, fitting, lambdas, m, digits), method="facility_location", m=m),
-        _shaped(greedy.divine(ground, fitting, digits=digits), method="divine", m=m),
-        _shaped(greedy.aide(ground, query_vectors if query_vectors is not None else test, fitting, digits=digits),
-                method="aide", m=m),
+        _shaped(picked, m=m),
     ]
     for seed in seeds:
         drawn = ranking.random_k(train, test, ks[-1], seed)

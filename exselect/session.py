@@ -41,6 +41,15 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= broadcast_limit(df.sparkSession) else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys into the full number of shuffle partitions.
+
+    Groups that are small in bytes but heavy in work must not be coalesced into a few tasks, which is
+    what the adaptive planner does by size. Grouping by the same keys needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder named by spark.checkpoint.dir.
 
