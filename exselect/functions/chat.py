@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exselect.functions.bind import let
@@ -39,8 +39,15 @@ def token_ids(terms: Column | str) -> Column:
     return F.transform(terms, lambda term: F.xxhash64(term))
 
 
-def as_messages(conversations: DataFrame) -> DataFrame:
-    """Long turns (conv_id, turn, role, text) to one row per chat with ordered messages."""
+def as_messages(conversations: DataFrame, first: int | None = None) -> DataFrame:
+    """Long turns (conv_id, turn, role, text) to one row per chat with ordered messages.
+
+    `first` keeps the first turns only; tasks drop the others before the shuffle, so that a chat of any
+    length brings a bounded group.
+    """
+    if first is not None:
+        order = Window.partitionBy("conv_id").orderBy("turn")
+        conversations = conversations.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= first)
     return conversations.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")
     )
@@ -82,11 +89,12 @@ def assistant_labels(
 
     mode "offset" marks every answer where it stands. mode "first_match" marks, per answer, the first
     place where its terms occur, so a repeated answer marks one span and a cut answer marks none.
+    Every turn that is rendered has a token, so max_len of those turns are enough.
     """
-    chats = as_messages(conversations)
+    chats = as_messages(conversations.where(F.col("role").isin(*ROLES)), first=max_len)
     if mode == "offset":
         turn = F.transform(
-            F.filter("messages", lambda m: m["role"].isin(*ROLES)),
+            "messages",
             lambda m: F.struct(
                 F.concat(F.array(F.concat(F.lit("<|"), m["role"], F.lit("|>"))), terms_of(m["text"])).alias("tokens"),
                 F.concat(

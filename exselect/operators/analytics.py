@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exselect.functions import labels
+from exselect.functions.chat import as_messages
 from exselect.operators.scoring import doubles, normalized
 from exselect.session import cut_lineage, small_side
 
@@ -345,9 +346,10 @@ def linear_map(vectors: DataFrame, id_col: str, components: int = 2, normalize:
     return model.transform(centred).select(id_col, coords.alias("coords"))
 
 
-def selected_chats(selections: DataFrame, chats: DataFrame, turns: int = 2) -> DataFrame:
-    """The first turns of each selected chat, `chats(train_id, messages)`, in pick order."""
-    return selections.join(chats, "train_id").withColumn("messages", F.slice("messages", 1, turns))
+def selected_chats(selections: DataFrame, conversations: DataFrame, turns: int = 2) -> DataFrame:
+    """The first turns of each selected chat, in pick order; other turns never leave the scan."""
+    chats = as_messages(conversations, first=turns).withColumnRenamed("conv_id", "train_id")
+    return selections.join(chats, "train_id")
 
 
 def sampled_rows(df: DataFrame, id_col: str, draws: int, seed: int) -> DataFrame:

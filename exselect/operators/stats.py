@@ -242,16 +242,39 @@ def reliability_bins(
     )
 
 
-def percentile_filter(df: DataFrame, x: str, low: float, high: float, exact: bool = True) -> DataFrame:
-    """Rows between two linearly interpolated percentiles (shares from 0 to 1).
+def percentiles(df: DataFrame, x: str, shares: list[float], per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
+    """Exact linearly interpolated percentiles of a column (shares from 0 to 1).
 
-    The exact percentile keeps a count per distinct value in one place; for continuous data at scale
-    `exact=False` uses quantile sketches.
+    The positions are looked up in the counts of distinct values; at most two values per share leave
+    the cluster.
     """
-    if exact:
-        first, last = df.agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("p")).first()["p"]
-    else:
-        first, last = df.approxQuantile(x, [low, high], 0.0001)
+    counts = cut_lineage(
+        df.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    ).withColumn("_all", F.lit(0))
+    total, distinct = counts.agg(F.sum("_n"), F.count("*")).first()
+    if not total:
+        return [math.nan] * len(shares)
+    places = [share * (total - 1) for share in shares]
+    wanted = sorted({int(p) for p in places} | {min(int(p) + 1, total - 1) for p in places})
+    ranked = value_ranks(counts, ["_all"], "_x", "_n", bucket_edges(counts, "_x", distinct, per_bucket))
+    first = F.col("rank") - (F.col("_n") + 1) / 2
+    spans = ranked.select("_x", first.alias("_from"), (first + F.col("_n")).alias("_to"))
+    hit = F.exists(F.array(*[F.lit(float(w)) for w in wanted]), lambda w: (w >= F.col("_from")) & (w < F.col("_to")))
+    found = [tuple(row) for row in spans.where(hit).collect()]
+
+    def at(place: int) -> float:
+        return next(value for value, low, high in found if low <= place < high)
+
+    out = []
+    for p in places:
+        low = at(int(p))
+        out.append(low + (p - int(p)) * (at(min(int(p) + 1, total - 1)) - low))
+    return out
+
+
+def percentile_filter(df: DataFrame, x: str, low: float, high: float) -> DataFrame:
+    """Rows between two linearly interpolated percentiles (shares from 0 to 1)."""
+    first, last = percentiles(df, x, [low, high])
     return df.where((F.col(x) >= first) & (F.col(x) <= last))
 
 
@@ -285,8 +308,8 @@ def marginals(cells: DataFrame) -> DataFrame:
 
 def describe_column(df: DataFrame, x: str) -> DataFrame:
     """One row: count, mean, std, min, quartiles and max of a column."""
+    quartiles = percentiles(df, x, [0.25, 0.5, 0.75])
     return df.where(F.col(x).isNotNull()).agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-        F.percentile(x, F.lit(0.25)).alias("p25"), F.percentile(x, F.lit(0.5)).alias("p50"),
-        F.percentile(x, F.lit(0.75)).alias("p75"), F.max(x).alias("max"),
+        *[F.lit(q).alias(name) for name, q in zip(("p25", "p50", "p75"), quartiles)], F.max(x).alias("max"),
     )

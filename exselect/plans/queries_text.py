@@ -399,8 +399,7 @@ SELECT label, vec_id AS conv_id FROM embeddings) e JOIN t USING (conv_id)""",
 def case_study_chats(spark, sf):
     """Selected ids with the first two turns of their chats."""
     chosen = read_table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("train_id"))
-    chats = chat.as_messages(conversations(spark, sf)).withColumnRenamed("conv_id", "train_id")
-    return analytics.selected_chats(chosen, chats).select(
+    return analytics.selected_chats(chosen, conversations(spark, sf)).select(
         "label", F.col("train_id").alias("conv_id"), F.size("messages").cast("bigint").alias("turns"),
         F.md5(F.get("messages", F.lit(0))["text"]).alias("first_text"),
     )
