@@ -110,13 +110,13 @@ def batched_map(spark, sf):
 
 @query(
     "exact_conversation_lookup",
-    f"WITH {RENDER_SQL} SELECT a.conv_id AS target_id, b.conv_id FROM chats a JOIN chats b ON a.text = b.text WHERE a.conv_id <> b.conv_id",
+    f"WITH {RENDER_SQL} SELECT a.conv_id AS target_id, b.conv_id FROM chats a JOIN chats b ON a.text = b.text",
 )
 def exact_conversation_lookup(spark, sf):
-    """Other chats with the very same messages."""
+    """Every chat looked up by its whole text: itself and the chats with the very same messages."""
     chats = chat.render_chat(conversations(spark, sf), "<s>", "</s>")
     targets = chats.select(F.col("conv_id").alias("target_id"), "text")
-    return chat.find_conversations(chats, targets).where("target_id <> conv_id")
+    return chat.find_conversations(chats, targets)
 
 
 FENCED = "concat(text, '\n```py\nx = ', n_chars, '\n```\n', lang, '\n````\n\n```` tail')"
@@ -177,8 +177,7 @@ def instruction_tags(spark, sf):
 
 @query(
     "answer_choices",
-    """SELECT p_partkey, [p_name, p_brand, p_type, p_size::VARCHAR] AS options FROM part WHERE p_size % 2 = 0
-UNION ALL SELECT p_partkey, [p_name, p_brand, p_type, p_size::VARCHAR, 'none'] FROM part WHERE p_size % 2 = 1""",
+    """SELECT p_partkey, concat_ws('|', p_name, p_brand, p_type, p_size, CASE WHEN p_size % 2 = 1 THEN 'none' END) AS options FROM part""",
 )
 def answer_choices(spark, sf):
     """Questions built from parts, with and without a fifth choice."""
@@ -187,7 +186,7 @@ def answer_choices(spark, sf):
         "CASE WHEN p_size % 2 = 1 THEN ' (E) none' ELSE '' END, ' Let\\'s think.')"
     )
     parts = read_table(spark, sf, "part")
-    return parts.select("p_partkey", text.recover_options(question).alias("options"))
+    return parts.select("p_partkey", F.array_join(text.recover_options(question), "|").alias("options"))
 
 
 # --- grading -----------------------------------------------------------------------------------------
