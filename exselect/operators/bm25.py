@@ -2,8 +2,9 @@
 
 The corpus grows, the queries are few. Only corpus terms that occur in a query matter, so the query
 postings (with idf) are measured, shared with the tasks, and the corpus is scored in one scan without
-a shuffle: a term held by a third of all documents costs arithmetic, not a hot partition. Queries too
-large to share are joined with the corpus on the term instead.
+a shuffle: a term held by a third of all documents costs arithmetic, not a hot partition. Queries
+beyond the broadcast limit take one scan per block that fits; `bm25_join`, an equi-join on the salted
+term, has no limit at all.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exselect.operators.scoring import CANDIDATE_SCHEMA, SCORE_SCHEMA, TopK, rank_candidates
-from exselect.session import broadcast_limit, small_side
+from exselect.session import broadcast_limit, cut_lineage, small_side, union_all
 
 POSTING_BYTES = 64  # test id, position and an average term, generously
 SALTS = 16
@@ -133,12 +134,31 @@ def _corpus_counts(corpus: DataFrame, shared, slice_rows: int) -> tuple[int, flo
 
 
 def _scan(queries, corpus, k1, b, variant, consume, schema, slice_rows=512):
-    """Shared-postings scan, or None when the queries do not fit the broadcast limit."""
+    """Shared-postings scans: one, or one per block of queries that fits the broadcast limit.
+
+    None if even a single query does not fit.
+    """
+    tests, terms, longest = queries.agg(
+        F.count("*"), F.sum(F.size("terms")), F.max(F.size("terms"))
+    ).first()
+    limit = broadcast_limit(corpus.sparkSession)
+    if not tests or (longest or 0) * POSTING_BYTES > limit:
+        return None
+    blocks = -(-(tests * 8 + (terms or 0) * POSTING_BYTES) // limit)
+    if blocks <= 1:
+        return _scan_block(queries, corpus, k1, b, variant, consume, schema, slice_rows)[0]
+    done = []
+    for block in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("test_id"), F.lit(blocks)) == block)
+        found, shared = _scan_block(part, corpus, k1, b, variant, consume, schema, slice_rows)
+        done.append(cut_lineage(found))
+        shared.destroy()
+    return union_all(done)
+
+
+def _scan_block(queries, corpus, k1, b, variant, consume, schema, slice_rows):
     spark = corpus.sparkSession
     pairs = queries.select("test_id", F.explode(F.array_distinct("terms")).alias("term"))
-    tests, terms = queries.agg(F.count("*"), F.sum(F.size("terms"))).first()
-    if tests * 8 + (terms or 0) * POSTING_BYTES > broadcast_limit(spark):
-        return None
     ids = np.sort(queries.select("test_id").toArrow()["test_id"].to_numpy())
     index = _QueryIndex(ids, pairs.toArrow())
     total, avgdl, known = _corpus_counts(corpus, spark.sparkContext.broadcast(index), slice_rows)
@@ -156,7 +176,7 @@ def _scan(queries, corpus, k1, b, variant, consume, schema, slice_rows=512):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from consume(shared.value.test_ids, scored(batches))
 
-    return corpus.select("train_id", "terms").mapInArrow(scan, schema)
+    return corpus.select("train_id", "terms").mapInArrow(scan, schema), shared
 
 
 def bm25_join(

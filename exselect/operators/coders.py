@@ -17,8 +17,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exselect.operators.scoring import as_matrix, doubles, with_scalar
-from exselect.session import spread
+from exselect.operators.scoring import as_matrix, doubles, gather_vectors, with_scalar
+from exselect.session import cut_lineage, spread
 
 GRAM_FIELDS = (
     "width int, size int, r array<double>, c array<double>, s array<double>, "
@@ -35,8 +35,8 @@ def gram(
 
     The distinct (test, train) pairs pick up their vectors once; a group holds one test row's pairs.
     """
-    pairs = selections.select("test_id", "train_id").distinct()
-    vectors = pairs.join(train.select("train_id", doubles().alias("vec")), "train_id")
+    selections = cut_lineage(selections.select("test_id", key, "rank", "train_id"))
+    vectors = gather_vectors(selections.select("test_id", "train_id").distinct(), train)
     own = test.select("test_id", F.lit(None).cast("bigint").alias("train_id"), doubles().alias("vec"))
     rows = vectors.select("test_id", "train_id", "vec").unionByName(own)
     picks = selections.groupBy("test_id", key).agg(
@@ -339,7 +339,7 @@ def fit(records: DataFrame, coders: Iterable[str] = ACTIVE_CODERS, key: str = "s
 def reconstruction(fitted: DataFrame, selections: DataFrame, train: DataFrame, key: str = "selection") -> DataFrame:
     """Rebuilt vectors A't, for inspection: weighted vectors added by the JVM summarizer."""
     weights = fitted.select("test_id", key, "linear_coder", F.posexplode("t").alias("pos", "w"))
-    picked = selections.join(train.select("train_id", doubles().alias("vec")), "train_id").withColumn(
+    picked = gather_vectors(selections.select("test_id", key, "rank", "train_id"), train).withColumn(
         "pos", F.col("rank") - 1
     )
     return (

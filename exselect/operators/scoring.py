@@ -1,9 +1,10 @@
 """Scoring of every (test, train) pair and top-k selection fused into the scan of the train side.
 
-The train side is the one that grows: it is scanned once, in place. The test side is measured first;
-if it fits the broadcast limit each task multiplies its train batches with the whole test matrix.
-Beyond the limit both sides are cut into hashed blocks and each (test block, train block) tile is one
-task. Top-k keeps at most k rows per test and order in each task, so the dense matrix never exists.
+The train side is the one that grows: it is scanned in place and never shuffled. The test side is
+measured first; if it fits the broadcast limit each task multiplies its train batches with the whole
+test matrix. Beyond the limit the test side is cut into hashed blocks that fit, one scan each, and
+every block's result is stored before the next block is shared. Top-k keeps at most k rows per test
+and order in each task, so the dense matrix never exists.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from exselect.session import broadcast_limit
+from exselect.session import broadcast_limit, cut_lineage, small_side, union_all
 
 # Order of each selection family: what makes a score come first.
 SORT_KEYS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
@@ -30,6 +31,8 @@ SORT_TYPES = tuple(SORT_KEYS)
 Batches = Iterable[tuple[np.ndarray, np.ndarray]]
 Work = Callable[[np.ndarray, np.ndarray, Batches], Iterator[pa.RecordBatch]]
 
+# Upper sizes of a selection row and of an id in a broadcast table.
+SELECTION_BYTES, ID_BYTES = 128, 32
 SCORE_SCHEMA = "test_id bigint, train_id bigint, score double"
 CANDIDATE_SCHEMA = "sort_type string, test_id bigint, train_id bigint, score double, sort_key double"
 
@@ -77,12 +80,10 @@ def adam_precondition(
     )
 
 
-def scan_against(
-    test: DataFrame, train: DataFrame, work: Work, schema: str, tile_rows: int = 4096
-) -> DataFrame:
+def scan_against(test: DataFrame, train: DataFrame, work: Work, schema: str) -> DataFrame:
     """Run `work(test_ids, test_matrix, train_batches)` over all pairs of the two vector tables.
 
-    `test(test_id, vec)`, `train(train_id, vec)`. See the module text for the two strategies.
+    `test(test_id, vec)`, `train(train_id, vec)`. See the module text for the two ways.
     """
     spark = train.sparkSession
     test = test.select("test_id", doubles().alias("vec"))
@@ -92,51 +93,29 @@ def scan_against(
         return spark.createDataFrame([], schema)
     blocks = math.ceil(rows * width * 8 / broadcast_limit(spark))
     if blocks <= 1:
-        side = test.orderBy("test_id").toArrow()
-        shared = spark.sparkContext.broadcast((side["test_id"].to_numpy(), as_matrix(side["vec"])))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
+        return _scan_block(test, train, work, schema)[0]
+    done = []
+    for block in range(blocks):
+        part = test.where(F.pmod(F.xxhash64("test_id"), F.lit(blocks)) == block)
+        found, shared = _scan_block(part, train, work, schema)
+        done.append(cut_lineage(found))
+        shared.destroy()
+    return union_all(done)
+
+
+def _scan_block(test: DataFrame, train: DataFrame, work: Work, schema: str):
+    """One scan of the train side against a test block within the broadcast limit."""
+    side = test.orderBy("test_id").toArrow()
+    matrix = as_matrix(side["vec"]) if side.num_rows else np.empty((0, 0))
+    shared = train.sparkSession.sparkContext.broadcast((side["test_id"].to_numpy(), matrix))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        if len(ids):
             pairs = ((b["train_id"].to_numpy(), as_matrix(b["vec"])) for b in batches if b.num_rows)
             yield from work(ids, matrix, pairs)
 
-        return train.mapInArrow(scan, schema)
-
-    parts = max(1, math.ceil(train.count() / tile_rows))
-    left = test.withColumn("block", F.pmod(F.xxhash64("test_id"), F.lit(blocks))).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    )
-    right = train.withColumn("part", F.pmod(F.xxhash64("train_id"), F.lit(parts))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-
-    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return empty.to_table()
-        pair = (b["train_id"].to_numpy(), as_matrix(b["vec"]))
-        found = list(work(a["test_id"].to_numpy(), as_matrix(a["vec"]), [pair]))
-        return pa.Table.from_batches(found) if found else empty.to_table()
-
-    empty = _Empty(schema)
-    return (
-        left.withColumn("part", F.col("part").cast("bigint"))
-        .groupBy("block", "part")
-        .cogroup(right.withColumn("block", F.col("block").cast("bigint")).groupBy("block", "part"))
-        .applyInArrow(tile, schema)
-    )
-
-
-class _Empty:
-    """Zero-row Arrow table of a DDL schema, built where it is used."""
-
-    types = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(),
-             "array<double>": pa.list_(pa.float64())}
-
-    def __init__(self, schema: str):
-        self.fields = [field.strip().split(" ", 1) for field in schema.split(",")]
-
-    def to_table(self) -> pa.Table:
-        return pa.table({name: pa.array([], self.types[kind]) for name, kind in self.fields})
+    return train.mapInArrow(scan, schema), shared
 
 
 class TopK:
@@ -279,5 +258,16 @@ def explanation_rows(influence: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def gather_vectors(selections: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Vectors of selected train rows, keyed as in `selections`; `rank` keeps the pick order."""
-    return selections.join(vectors.select("train_id", doubles().alias("vec")), "train_id")
+    """Vectors of selected train rows, keyed as in `selections`; `rank` keeps the pick order.
+
+    The selections are ids, few against the vectors: they are kept and counted, and the vectors are
+    only scanned, not shuffled, if the ids fit the broadcast limit. Beyond it the distinct train ids,
+    smaller again, thin out the vectors before the join.
+    """
+    vectors = vectors.select("train_id", doubles().alias("vec"))
+    kept = cut_lineage(selections)
+    rows = kept.count()
+    if rows * SELECTION_BYTES > broadcast_limit(vectors.sparkSession):
+        ids = kept.select("train_id").distinct()
+        vectors = vectors.join(small_side(ids, rows, ID_BYTES), "train_id", "left_semi")
+    return vectors.join(small_side(kept, rows, SELECTION_BYTES), "train_id")

@@ -63,3 +63,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="exselect-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def measured(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Keep a derived frame, count it, and hint a broadcast if that count proves it small."""
+    kept = cut_lineage(df)
+    return small_side(kept, kept.count(), row_bytes)
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -175,7 +175,7 @@ def as_matrix(df):
 
 
 @pytest.mark.parametrize("variant, extra", [("reference", 1.0), ("standard", 0.0)])
-@pytest.mark.parametrize("limit", [None, 100])
+@pytest.mark.parametrize("limit", [None, 100, 250])
 def test_bm25(texts, small_broadcast, variant, extra, limit):
     if limit:
         small_broadcast(limit)
@@ -187,7 +187,7 @@ def test_bm25(texts, small_broadcast, variant, extra, limit):
     np.testing.assert_allclose(as_matrix(sparse), bm25_by_loop(extra), rtol=1e-12)
 
 
-@pytest.mark.parametrize("limit", [None, 100])
+@pytest.mark.parametrize("limit", [None, 100, 250])
 def test_bm25_top_counts_absent_pairs(texts, small_broadcast, limit):
     if limit:
         small_broadcast(limit)
