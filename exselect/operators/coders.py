@@ -132,17 +132,28 @@ class Problem:
         self.r, self.c, self.width = r, c, width
         self.k = r.T @ r
         self.b = r.T @ c
-        self._least = None
+        self._least = self._pinv = None
 
-    def pinv(self) -> np.ndarray:
-        return np.linalg.pinv(self.r, rcond=max(self.width, self.r.shape[1]) * np.finfo(float).eps)
+    def solve(self, target: np.ndarray) -> np.ndarray:
+        """Least squares of smallest norm, R t ~ target; R is triangular unless k exceeds the width."""
+        r = self.r
+        if r.shape[0] == r.shape[1] and _clearly_full_rank(r):
+            return np.linalg.solve(r, target)
+        if self._pinv is None:
+            self._pinv = np.linalg.pinv(r, rcond=max(self.width, r.shape[1]) * np.finfo(float).eps)
+        return self._pinv @ target
 
     def least(self) -> np.ndarray:
         if self._least is None:
-            self._least = self.pinv() @ self.c
+            self._least = self.solve(self.c)
         return self._least
 
 
+def _clearly_full_rank(triangle: np.ndarray, share: float = 1e-6) -> bool:
+    pivots = np.abs(np.diag(triangle))
+    return bool(pivots.min() > share * pivots.max())
+
+
 def simplex(t: np.ndarray) -> np.ndarray:
     desc = np.sort(t)[::-1]
     tau = ((np.cumsum(desc) - 1.0) / np.arange(1, len(t) + 1)).max()
@@ -168,44 +179,53 @@ def sparse_simplex(t: np.ndarray, keep: float = 0.5) -> np.ndarray:
 
 
 def klt(p: Problem) -> np.ndarray:
-    """Fit the part of g inside the span of the centred selection; the null direction is dropped."""
-    centred = p.r - p.r.mean(axis=1, keepdims=True)
-    u, sigma, _ = np.linalg.svd(centred, full_matrices=False)
-    tol = max(p.width, len(sigma)) * np.finfo(float).eps * max(sigma.max(initial=0.0), np.linalg.norm(p.r))
-    basis = u[:, sigma > tol]
-    return p.pinv() @ (basis @ (basis.T @ p.c))
+    """Fit the part of g inside the span of the centred selection; the null direction is dropped.
+
+    The differences to the last vector span the same space as the centred vectors.
+    """
+    if p.r.shape[1] == 1:
+        return np.zeros(1)
+    steps = p.r[:, :-1] - p.r[:, -1:]
+    if steps.shape[0] >= steps.shape[1]:
+        basis, triangle = np.linalg.qr(steps)
+    if steps.shape[0] < steps.shape[1] or not _clearly_full_rank(triangle):
+        u, sigma, _ = np.linalg.svd(p.r - p.r.mean(axis=1, keepdims=True), full_matrices=False)
+        tol = max(p.width, len(sigma)) * np.finfo(float).eps * max(sigma.max(initial=0.0), np.linalg.norm(p.r))
+        basis = u[:, sigma > tol]
+    return p.solve(basis @ (basis.T @ p.c))
 
 
 def ridge(p: Problem, lam: float = 0.7) -> np.ndarray:
     return np.linalg.solve(p.k + lam * np.eye(len(p.b)), p.b)
 
 
-def _pivoted_support(design: np.ndarray, target: np.ndarray) -> np.ndarray | None:
-    """Support of the non-negative solution by exchanging all wrong entries at once; None if it cycles."""
+def _pivoted(design: np.ndarray, target: np.ndarray) -> np.ndarray | None:
+    """Non-negative solution by exchanging all wrong entries at once; None if that cycles.
+
+    The normal equations pick the support; one refinement step on it restores their lost digits.
+    """
     normal, right = design.T @ design, design.T @ target
     free = np.linalg.solve(design, target) > 0 if design.shape[0] == design.shape[1] else right > 0
     tol = 1e-10 * max(np.abs(right).max(), 1e-300)
     for _ in range(20):
         t = np.zeros(len(right))
         if free.any():
-            t[free] = np.linalg.solve(normal[np.ix_(free, free)], right[free])
+            block = normal[np.ix_(free, free)]
+            t[free] = np.linalg.solve(block, right[free])
         slope = normal @ t - right
         wrong = (free & (t < 0)) | (~free & (slope < -tol))
         if not wrong.any():
-            return free
+            if free.any():
+                t[free] += np.linalg.solve(block, (design.T @ (target - design @ t))[free])
+            return np.maximum(t, 0.0)
         free = free ^ wrong
     return None
 
 
 def nonnegative(design: np.ndarray, target: np.ndarray) -> np.ndarray:
     """min |design t - target| over t >= 0; exact for a full-rank design."""
-    free = _pivoted_support(design, target)
-    if free is None:
-        return _active_set(design, target)
-    t = np.zeros(design.shape[1])
-    if free.any():
-        t[free] = np.maximum(np.linalg.lstsq(design[:, free], target, rcond=None)[0], 0.0)
-    return t
+    t = _pivoted(design, target)
+    return _active_set(design, target) if t is None else t
 
 
 def _active_set(design: np.ndarray, target: np.ndarray) -> np.ndarray:
