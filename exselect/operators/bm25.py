@@ -17,11 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exselect.operators.scoring import CANDIDATE_SCHEMA, SCORE_SCHEMA, TopK, rank_candidates
+from exselect.operators.scoring import (
+    CANDIDATE_BYTES, CANDIDATE_SCHEMA, SCORE_SCHEMA, SCORES_PER_STEP, TopK, rank_candidates, row_slices,
+)
 from exselect.session import broadcast_limit, cut_lineage, small_side, union_all
 
 POSTING_BYTES = 64  # test id, position and an average term, generously
 SALTS = 16
+DOCS_PER_STEP = 512
 VARIANTS = {"reference": 1.0, "standard": 0.0}  # constant added to the denominator
 
 
@@ -104,20 +107,14 @@ class _QueryIndex:
         ).reshape(shape)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def _corpus_counts(corpus: DataFrame, shared, slice_rows: int) -> tuple[int, float, pa.Table]:
+def _corpus_counts(corpus: DataFrame, shared, step: int) -> tuple[int, float, pa.Table]:
     """(documents, mean length, df by term code) in one scan: each task adds up its own counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         df = np.zeros(len(index.terms), np.int64)
         docs = length = 0
-        for part in _slices(batches, slice_rows):
+        for part in row_slices(batches, step):
             df += np.bincount(index.occurrences(part["terms"])[1], minlength=len(df))
             docs += part.num_rows
             length += len(part["terms"].flatten())
@@ -133,10 +130,10 @@ def _corpus_counts(corpus: DataFrame, shared, slice_rows: int) -> tuple[int, flo
     return docs, (special.get(-2, 0) / docs if docs else 1.0) or 1.0, table.filter(pc.field("code") >= 0)
 
 
-def _scan(queries, corpus, k1, b, variant, consume, schema, slice_rows=512):
+def _scan(queries, corpus, k1, b, variant, consume, schema, state_bytes=0):
     """Shared-postings scans: one, or one per block of queries that fits the broadcast limit.
 
-    None if even a single query does not fit.
+    `state_bytes` is what `consume` keeps per query. None if even a single query does not fit.
     """
     tests, terms, longest = queries.agg(
         F.count("*"), F.sum(F.size("terms")), F.max(F.size("terms"))
@@ -144,31 +141,34 @@ def _scan(queries, corpus, k1, b, variant, consume, schema, slice_rows=512):
     limit = broadcast_limit(corpus.sparkSession)
     if not tests or (longest or 0) * POSTING_BYTES > limit:
         return None
-    blocks = -(-(tests * 8 + (terms or 0) * POSTING_BYTES) // limit)
+    blocks = -(-(tests * (8 + state_bytes) + (terms or 0) * POSTING_BYTES) // limit)
     if blocks <= 1:
-        return _scan_block(queries, corpus, k1, b, variant, consume, schema, slice_rows)[0]
+        return _scan_block(queries, corpus, k1, b, variant, consume, schema)[0]
     done = []
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("test_id"), F.lit(blocks)) == block)
-        found, shared = _scan_block(part, corpus, k1, b, variant, consume, schema, slice_rows)
+        found, shared = _scan_block(part, corpus, k1, b, variant, consume, schema)
         done.append(cut_lineage(found))
         shared.destroy()
     return union_all(done)
 
 
-def _scan_block(queries, corpus, k1, b, variant, consume, schema, slice_rows):
+def _scan_block(queries, corpus, k1, b, variant, consume, schema):
     spark = corpus.sparkSession
     pairs = queries.select("test_id", F.explode(F.array_distinct("terms")).alias("term"))
     ids = np.sort(queries.select("test_id").toArrow()["test_id"].to_numpy())
     index = _QueryIndex(ids, pairs.toArrow())
-    total, avgdl, known = _corpus_counts(corpus, spark.sparkContext.broadcast(index), slice_rows)
+    step = min(DOCS_PER_STEP, max(1, SCORES_PER_STEP // max(1, len(ids))))
+    counting = spark.sparkContext.broadcast(index)
+    total, avgdl, known = _corpus_counts(corpus, counting, step)
+    counting.destroy()
     df = known["n"].to_numpy()
     index.idf[known["code"].to_numpy()] = np.log((total - df + 0.5) / (df + 0.5) + 1.0)
     shared = spark.sparkContext.broadcast(index)
     extra = VARIANTS[variant]
 
     def scored(batches: Iterator[pa.RecordBatch]):
-        for part in _slices(batches, slice_rows):
+        for part in row_slices(batches, step):
             length = pc.list_value_length(part["terms"]).to_numpy(zero_copy_only=False)
             norm = extra + k1 * (1.0 - b + b * length / avgdl)
             yield part["train_id"].to_numpy(), shared.value.scores(part["terms"], norm, k1)
@@ -274,7 +274,7 @@ def bm25_top(
             kept.add(train_ids, scores if digits is None else np.round(scores, digits))
         yield from kept.batches()
 
-    found = _scan(queries, corpus, k1, b, variant, best, CANDIDATE_SCHEMA)
+    found = _scan(queries, corpus, k1, b, variant, best, CANDIDATE_SCHEMA, k * len(names) * CANDIDATE_BYTES)
     if found is not None:
         return rank_candidates(found, k)
     scores = densify(bm25_join(queries, corpus, k1, b, variant), queries, corpus)

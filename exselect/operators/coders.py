@@ -285,6 +285,7 @@ def penalised_net(p: Problem, l1: float = 0.3, l2: float = 0.7, weight: float =
     return _coordinate_fit(p, l1, l2, (gradient, 4.0 * weight))
 
 
+# The names under which records carry each coder.
 CODERS = {
     "MSECoderProjUSimpSparse": lambda p: sparse_simplex(p.least()),
     "MSECoderProjUSimp": lambda p: simplex(p.least()),

@@ -33,6 +33,8 @@ Work = Callable[[np.ndarray, np.ndarray, Batches], Iterator[pa.RecordBatch]]
 
 # Upper sizes of a selection row and of an id in a broadcast table.
 SELECTION_BYTES, ID_BYTES = 128, 32
+# A kept candidate in a task, and the scores a task computes at a time.
+CANDIDATE_BYTES, SCORES_PER_STEP = 32, 1 << 23
 SCORE_SCHEMA = "test_id bigint, train_id bigint, score double"
 CANDIDATE_SCHEMA = "sort_type string, test_id bigint, train_id bigint, score double, sort_key double"
 
@@ -53,6 +55,13 @@ def doubles(column: str = "vec"):
     return F.col(column).cast("array<double>")
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows; nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_scalar(array, scalar, fn):
     """transform(array, x -> fn(x, scalar)) with the scalar computed once per row, not per entry."""
     return F.zip_with(array, F.array_repeat(scalar, F.size(array)), fn)
@@ -80,10 +89,13 @@ def adam_precondition(
     )
 
 
-def scan_against(test: DataFrame, train: DataFrame, work: Work, schema: str) -> DataFrame:
+def scan_against(
+    test: DataFrame, train: DataFrame, work: Work, schema: str, state_bytes: int = 0
+) -> DataFrame:
     """Run `work(test_ids, test_matrix, train_batches)` over all pairs of the two vector tables.
 
-    `test(test_id, vec)`, `train(train_id, vec)`. See the module text for the two ways.
+    `test(test_id, vec)`, `train(train_id, vec)`. See the module text for the two ways. `state_bytes`
+    is what `work` keeps per test row; it counts towards the size of a block.
     """
     spark = train.sparkSession
     test = test.select("test_id", doubles().alias("vec"))
@@ -91,7 +103,7 @@ def scan_against(test: DataFrame, train: DataFrame, work: Work, schema: str) ->
     rows, width = test.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not rows:
         return spark.createDataFrame([], schema)
-    blocks = math.ceil(rows * width * 8 / broadcast_limit(spark))
+    blocks = math.ceil(rows * (width * 8 + state_bytes) / broadcast_limit(spark))
     if blocks <= 1:
         return _scan_block(test, train, work, schema)[0]
     done = []
@@ -112,8 +124,8 @@ def _scan_block(test: DataFrame, train: DataFrame, work: Work, schema: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         if len(ids):
-            pairs = ((b["train_id"].to_numpy(), as_matrix(b["vec"])) for b in batches if b.num_rows)
-            yield from work(ids, matrix, pairs)
+            steps = row_slices(batches, max(1, SCORES_PER_STEP // len(ids)))
+            yield from work(ids, matrix, ((b["train_id"].to_numpy(), as_matrix(b["vec"])) for b in steps))
 
     return train.mapInArrow(scan, schema), shared
 
@@ -237,7 +249,9 @@ def top_influence(
             best.add(train_ids, _round(-(vectors @ matrix.T), digits))
         yield from best.batches()
 
-    return rank_candidates(scan_against(test, train, work, CANDIDATE_SCHEMA), k)
+    return rank_candidates(
+        scan_against(test, train, work, CANDIDATE_SCHEMA, k * len(names) * CANDIDATE_BYTES), k
+    )
 
 
 def top_k(influence: DataFrame, k: int, sort_type: str) -> DataFrame:

@@ -331,12 +331,13 @@ def simplex_projection(spark, sf):
 @query(
     "soft_thresholding",
     """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS t FROM embeddings), s AS (SELECT vec_id, sum(t) AS s FROM x GROUP BY vec_id)
-SELECT vec_id, round(sum(sign(t) * greatest(abs(t) - 0.1 * s, 0)), 9) AS total FROM x JOIN s USING (vec_id) GROUP BY vec_id""",
+SELECT vec_id, round(sum(sign(t) * greatest(abs(t) - 0.1 * s, 0)), 9) + 0.0 AS total FROM x JOIN s USING (vec_id) GROUP BY vec_id""",
 )
 def soft_thresholding(spark, sf):
     rows = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("t"))
     shrunk = rows.select("vec_id", coders.soft_threshold(F.col("t"), 0.1).alias("p"))
-    return shrunk.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
+    total = F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 9) + 0.0
+    return shrunk.select("vec_id", total.alias("total"))
 
 
 @query(

@@ -85,6 +85,7 @@ def _case(key: str, values: list[str]) -> str:
 
 
 _MODEL = _case("l_orderkey % 3", [f"'{m}'" for m in MODELS])
+# Estimator names as records carry them.
 ESTIMATORS = ("LESSEstimator: normalize=True", "DataInfEstimator: fast_implementation=True",
               "BM25Estimator: k1=1.5, b=0.75")
 _ESTIMATOR = _case("(l_orderkey % 9 - l_orderkey % 3) % 7", [f"'{ESTIMATORS[0]}'", "''", "''", f"'{ESTIMATORS[1]}'",

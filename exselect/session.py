@@ -22,6 +22,7 @@ def local_session(cpus: int = 8, app: str = "exselect", memory: str = "12g") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -65,12 +66,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def measured(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Keep a derived frame, count it, and hint a broadcast if that count proves it small."""
-    kept = cut_lineage(df)
-    return small_side(kept, kept.count(), row_bytes)
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
