@@ -48,7 +48,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Groups that are small in bytes but heavy in work must not be coalesced into a few tasks, which is
     what the adaptive planner does by size. Grouping by the same keys needs no further shuffle.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    context = df.sparkSession.sparkContext
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if context.master.startswith("local"):  # a few tasks per core are enough on one machine
+        tasks = min(tasks, 4 * context.defaultParallelism)
+    return df.repartition(tasks, *keys)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
