@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exselect.llm.exact_dedup import filed
 from exselect.llm.tables import parts, stored
 from exselect.session import small_side
 
@@ -310,20 +311,15 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, keep_row) of (doc_id, row, text); row must tell rows apart that matter.
 
-    Documents are linked when their sets of `width`-word shingles have 100 x intersection >= percent x union; a
-    component is named by its smallest doc_id and the row with that id is kept. Null or empty text and text without
-    words has no shingles, links with nothing and is kept. Null ids never name a component that holds another id.
-    Repeated rows are members like any other; rows that share the smallest id are all kept. Other columns are not carried.
+    Of a component the row with the smallest (id, row) stays, null ids last.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     rows = stored(signed(docs, width), "near-signed")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "n_shingles", "signature")).alias("one")
     classes = stored(rows.where("n_shingles > 0").groupBy("class").agg(one).select(
-        F.monotonically_increasing_id().alias("id"), "class", "one.doc_id", "one.row", "one.n_shingles", "one.signature"), "near-classes")
+        F.monotonically_increasing_id().alias("id"), "class", "one.no_id", "one.doc_id", "one.row", "one.n_shingles", "one.signature"), "near-classes")
     forest = entries(classes)
     pairs = stored(neighbours(forest, percent), "near-pairs")
     sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), classes, docs, width)
@@ -333,12 +329,37 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     if not rest.isEmpty():
         links = links.unionByName(settled(rest, shingle_sets(rest, classes, docs, width), percent))
         labels = components(links)
-    named = classes.select("id", "class", "doc_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = stored(named.join(least, "component").select("class", "component_id"), "near-components")
-    out = rows.drop("signature", "row").join(by_class, "class", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.select("id", "class", "no_id", "doc_id", "row").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "row")).alias("least"))
+    by_class = stored(named.select("class", "component").join(least, "component").select(
+        "class", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keep_row")), "near-components")
+    out = rows.drop("signature").join(by_class, "class", "left")
+    empty = F.col("n_shingles") == 0
+    return out.select("doc_id", "row", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                      F.when(empty, F.col("row")).otherwise(F.col("keep_row")).alias("keep_row"))
+
+
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when their sets of `width`-word shingles have 100 x intersection >= percent x union; a
+    component is named by its smallest doc_id and the row with that id is kept. Null or empty text and text without
+    words has no shingles, links with nothing and is kept. Null ids never name a component that holds another id.
+    Repeated rows are members like any other; rows that share the smallest id are all kept. Other columns are not carried.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = grouped(docs.withColumn("row", F.xxhash64("doc_id", "text")), width, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, one per component, with all their columns. Only the places of dropped rows move."""
+    docs = filed(docs)
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    out = grouped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), place.alias("row")), width, percent)
+    dropped = stored(out.where("row != keep_row").select(F.col("row").alias("_row")), "near-dropped")
+    placed = docs.select(F.struct("*").alias("whole"), place.alias("_row"))
+    return placed.join(small_side(dropped, dropped.count(), 16), "_row", "left_anti").select("whole.*")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
