@@ -17,8 +17,12 @@ from pyspark.sql.utils import AnalysisException
 from exselect.llm.tables import shared_folder, stored, written
 from exselect.session import small_side
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; its changes are written to the checkpoint, and no files are allocated ahead of their content.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 ROWS_PER_SALT = 512
 PLACE_BYTES = 400  # a digest and a file name, at most
 
@@ -48,8 +52,9 @@ def located(docs: DataFrame) -> DataFrame:
 def keyed_state(spark: SparkSession, path: str, bytes_per_batch: int) -> DataFrame:
     """Run stored arrivals through the stream; return (digest, keep, group_size), keep = (no_id, doc_id, _file, _row)."""
     checkpoint = shared_folder(spark, "dedup-state")
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         stream = (
             spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", bytes_per_batch)
@@ -61,11 +66,12 @@ def keyed_state(spark: SparkSession, path: str, bytes_per_batch: int) -> DataFra
         query = (stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
         query.awaitTermination()
+        state = spark.read.format("statestore").load(checkpoint)
+        keep, size = (F.col(f"value.{name}") for name in state.schema["value"].dataType.names[:2])
+        return stored(state.select(F.col("key.digest").alias("digest"), keep.alias("keep"), size.alias("group_size")), "dedup-groups")
     finally:
-        spark.conf.set(PROVIDER, before)
-    state = spark.read.format("statestore").load(checkpoint)
-    keep, size = (F.col(f"value.{name}") for name in state.schema["value"].dataType.names[:2])
-    return state.select(F.col("key.digest").alias("digest"), keep.alias("keep"), size.alias("group_size"))
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def salted(size: Column) -> Column:
@@ -86,7 +92,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by
     source = located(filed(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     clean = normalised("text")
     path = written(source.select(digest(clean).alias("digest"), "doc_id", "_file", "_row"), "dedup-arrivals")
-    state = stored(keyed_state(spark, path, bytes_per_batch), "dedup-groups")
+    state = keyed_state(spark, path, bytes_per_batch)
     grouped = spark.read.parquet(path).join(state, "digest")
 
     # Full bytes on hits: the text at the locator goes to its group, a large group in slices.
