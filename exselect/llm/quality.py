@@ -149,7 +149,7 @@ def site_priors(docs: DataFrame, labels: DataFrame, host: str, path: str) -> tup
     by_path = sites.join(marks, "doc_id").groupBy("host", "path").agg(*sums).persist()
     more = [F.sum(f"{t}_{n}").alias(f"{t}_{n}") for t in TARGETS for n in "an"]
     total = by_path.agg(*more).first()
-    world = {t: ((total[f"{t}_a"] or 0) + 0.5) / ((total[f"{t}_n"] or 0) + 1.0) for t in TARGETS}
+    world = {t: ((total[f"{t}_a"] or 0) + 0.5) / (total[f"{t}_n"] + 1.0) if total[f"{t}_n"] else 0.0 for t in TARGETS}
     hosts = by_path.groupBy("host").agg(*more)
     paths = by_path
     for t in TARGETS:
