@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from exselect.llm.exact_dedup import filed
 from exselect.llm.suffixes import repeated_starts
-from exselect.llm.tables import parts, stored
-from exselect.session import small_side
+from exselect.llm.tables import measured_side, parts, stored
 
 GRAM = 48
 SHARD_BYTES = 2 << 20
@@ -123,7 +122,7 @@ def occurrences(docs: DataFrame, chosen: DataFrame, length: int, gram: int, hot:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
 
-    texts = docs.select("row", "text").join(small_side(chosen, chosen.count(), 64), "row")
+    texts = docs.select("row", "text").join(measured_side(chosen, 4 * F.size("places")), "row")
     return texts.select("row", "text", "places").mapInArrow(
         run, "row long, start long, count int, gram long, content binary, text binary")
 
@@ -167,6 +166,23 @@ def repeated_in_segments(distinct: DataFrame, length: int) -> DataFrame:
     return dealt.select("gram", "content", "times", "text").mapInArrow(run, "content binary, ranges binary")
 
 
+def merged(spans: DataFrame, length: int) -> DataFrame:
+    """(row, removed): packed edges of the maximal removed runs of each text, from the repeated starts of its segments."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for found in batch.column(1).to_pylist():
+                pairs = np.concatenate([np.frombuffer(x["ranges"], "<u4").astype(np.int64).reshape(-1, 2) + x["start"] for x in found])
+                pairs = pairs[np.argsort(pairs[:, 0])]
+                ends = np.maximum.accumulate(pairs[:, 1] + length - 1)
+                opens = np.append(True, pairs[1:, 0] > ends[:-1])
+                last = np.append(np.flatnonzero(opens)[1:] - 1, len(ends) - 1)
+                out.append(np.stack([pairs[opens, 0], ends[last]], axis=1).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["row", "removed"])
+
+    return spans.select("row", "spans").mapInArrow(run, "row long, removed binary")
+
+
 def drop_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary).
 
@@ -195,7 +211,7 @@ def drop_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id: s
     repeated = repeated_in_segments(distinct, length)
     spans = seen.select("row", "start", "content").join(repeated, "content").groupBy("row").agg(
         F.collect_list(F.struct("start", "ranges")).alias("spans"))
-    spans = stored(spans, "repeat-spans")
+    spans = stored(merged(spans, length), "repeat-spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -206,20 +222,15 @@ def drop_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id: s
                     if not found:
                         out.append((doc, len(data), 0, 0, data))
                         continue
-                    change = np.zeros(len(data) + 1, np.int64)
-                    for span in found:
-                        edges = np.frombuffer(span["ranges"], "<u4").astype(np.int64) + span["start"]
-                        np.add.at(change, edges[0::2], 1)
-                        np.add.at(change, edges[1::2] + length - 1, -1)
-                    removed = np.cumsum(change[:-1]) > 0
-                    kept = np.frombuffer(data, np.uint8)[~removed].tobytes()
-                    out.append((doc, len(data), len(data) - len(kept), int(np.count_nonzero(np.diff(removed.astype(np.int8), prepend=0) > 0)), kept))
+                    edges = [0, *np.frombuffer(found, "<u4").tolist(), len(data)]
+                    kept = b"".join([data[a:b] for a, b in zip(edges[0::2], edges[1::2])])
+                    out.append((doc, len(data), len(data) - len(kept), len(edges) // 2 - 1, kept))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    marked = docs.join(small_side(spans, spans.count(), 1024), "row", "left")
-    return marked.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    marked = docs.join(measured_side(spans, F.octet_length("removed")), "row", "left")
+    return marked.select("doc_id", "text", "removed").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def stored_rows(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from exselect.session import small_side
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -37,3 +40,9 @@ def parts(spark: SparkSession) -> int:
 def shuffled(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows by key into the full number of shuffle partitions, whatever their bytes: the work per byte is high."""
     return df.repartition(parts(df.sparkSession), *keys)
+
+
+def measured_side(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """Hint a broadcast of a stored table only if its measured size, thrice over for the hash table, fits the limit."""
+    found = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
+    return small_side(df, 1, 3 * (48 * found[0] + found[1]))
