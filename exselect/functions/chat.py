@@ -89,9 +89,10 @@ def assistant_labels(
 
     mode "offset" marks every answer where it stands. mode "first_match" marks, per answer, the first
     place where its terms occur, so a repeated answer marks one span and a cut answer marks none.
-    Every turn that is rendered has a token, so max_len of those turns are enough.
+    Every turn that is rendered has a token, so max_len of those turns are enough for "offset"; "first_match" reads
+    the answers of all turns, since a late answer may occur early.
     """
-    chats = as_messages(conversations.where(F.col("role").isin(*ROLES)), first=max_len)
+    chats = as_messages(conversations.where(F.col("role").isin(*ROLES)), first=max_len if mode == "offset" else None)
     if mode == "offset":
         turn = F.transform(
             "messages",

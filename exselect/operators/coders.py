@@ -250,6 +250,8 @@ def _active_set(design: np.ndarray, target: np.ndarray) -> np.ndarray:
             t[~free] = 0.0
         t = trial
         gradient = design.T @ (target - design @ t)
+    else:
+        raise ArithmeticError("non-negative fit did not settle")
     return t
 
 
@@ -269,7 +271,7 @@ def _coordinate_fit(p: Problem, l1: float, l2: float, extra=None, tol: float = 1
         if np.abs(new - t).max(initial=0.0) < tol:
             return new
         t = new
-    return t
+    raise ArithmeticError("coordinate fit did not converge")
 
 
 def elastic_net(p: Problem, l1: float = 0.3, l2: float = 0.7) -> np.ndarray:

@@ -112,17 +112,42 @@ def normal_cdf(z: pd.Series) -> pd.Series:
 
 
 def student_upper(t: float, freedom: float) -> float:
-    """P(T > t) by numerical integration of the density over the angle atan(t / sqrt(freedom))."""
+    """P(T > t): half the regularised incomplete beta function, or Hill's normal expansion for large samples."""
     if math.isnan(t):
         return math.nan
     if math.isinf(t):
         return 0.0 if t > 0 else 1.0
-    low = math.atan(t / math.sqrt(freedom))
-    nodes, weights = np.polynomial.legendre.leggauss(200)
-    angles = low + (math.pi / 2 - low) * (nodes + 1) / 2
-    area = (math.pi / 2 - low) / 2 * (weights * np.cos(angles) ** (freedom - 1)).sum()
-    log_scale = math.lgamma((freedom + 1) / 2) - math.lgamma(freedom / 2) - 0.5 * math.log(math.pi)
-    return float(min(1.0, area * math.exp(log_scale)))
+    if t < 0:
+        return 1.0 - student_upper(-t, freedom)
+    if freedom > 1000:  # the expansion's error falls with the third power of the degrees of freedom
+        a = freedom - 0.5
+        b, y = 48.0 * a * a, a * math.log1p(t * t / freedom)
+        tail = (((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b) + y + 3.0
+        return 0.5 * math.erfc((tail / b + 1.0) * math.sqrt(y) / math.sqrt(2.0))
+    return 0.5 * _beta_share(freedom / 2, 0.5, freedom / (freedom + t * t), t * t / (freedom + t * t))
+
+
+def _beta_share(a: float, b: float, x: float, rest: float) -> float:
+    """Regularised incomplete beta function at x, rest = 1 - x, by its continued fraction."""
+    if x <= 0.0 or rest <= 0.0:
+        return 0.0 if x <= 0.0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_share(b, a, rest, x)
+    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(rest)) / a
+    c, k = 1.0, 1
+    fraction = d = 1.0 / (1.0 - (a + b) * x / (a + 1))
+    while True:
+        k += 1
+        m = k // 2
+        if k % 2:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d = 1.0 / (1.0 + term * d)
+        c = 1.0 + term / c
+        fraction *= c * d
+        if abs(c * d - 1.0) < 4e-16:
+            return scale * fraction
 
 
 @F.pandas_udf(DoubleType())
@@ -232,6 +257,8 @@ def reliability_bins(
     """
     rows = df.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(outcome).isNotNull() & ~F.isnan(outcome))
     low, high = rows.agg(F.min(score), F.max(score)).first()
+    if high is None or high <= 0:  # no rows, or none that logarithmic bins can hold
+        return df.sparkSession.createDataFrame([], "bin int, mean_score double, accuracy double, n long")
     edges = log_bin_edges(low, high, bins)
     edges[0], edges[-1] = min(edges[0], max(low, 1e-10)), max(edges[-1], high)
     agree = ((F.col(score) > 1) == (F.col(outcome) > threshold)).cast("double")
@@ -307,9 +334,10 @@ def marginals(cells: DataFrame) -> DataFrame:
 
 
 def describe_column(df: DataFrame, x: str) -> DataFrame:
-    """One row: count, mean, std, min, quartiles and max of a column."""
+    """One row: count, mean, std, min, quartiles and max of a column, without nulls and NaN."""
+    df = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
     quartiles = percentiles(df, x, [0.25, 0.5, 0.75])
-    return df.where(F.col(x).isNotNull()).agg(
+    return df.agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
         *[F.lit(q).alias(name) for name, q in zip(("p25", "p50", "p75"), quartiles)], F.max(x).alias("max"),
     )

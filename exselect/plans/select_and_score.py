@@ -95,6 +95,11 @@ def explained_share(test: DataFrame, train: DataFrame, k: int = 5, digits: int |
     return coders.require_complete(fitted, ["pred_gain", "mse", "l1", "l2"])
 
 
-def stored_ground_sets(test: DataFrame, train: DataFrame, m: int = GROUND_SIZE, **options) -> DataFrame:
-    """Ground sets of all four orders, ranked once and cut from their plan before many methods read them."""
-    return cut_lineage(top_influence(test, train, m, SORT_TYPES, **options))
+def stored_ground_sets(
+    test: DataFrame, train: DataFrame, m: int = GROUND_SIZE, ks: Iterable[int] = KS, **options
+) -> DataFrame:
+    """Ground sets of all four orders, ranked once and cut from their plan before many methods read them.
+
+    Ranks go on to the largest k, so top-k is full where k exceeds m; the greedy methods read the first m.
+    """
+    return cut_lineage(top_influence(test, train, max(m, *ks), SORT_TYPES, **options))

@@ -41,31 +41,41 @@ def pending(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(seen, match, "left_anti")
 
 
+def _damaged(spark: SparkSession, paths: list[str], schema: str | StructType) -> list[str]:
+    """Files that cannot be read to their end, found by halving: one scan if none is damaged."""
+    if not paths:
+        return []
+    try:
+        spark.read.schema(schema).option("ignoreCorruptFiles", False).parquet(*paths).write.format("noop").mode("overwrite").save()
+        return []
+    except Exception:  # Spark wraps a reader's error in many types; a lone file that fails is listed
+        if len(paths) == 1:
+            return paths
+        half = len(paths) // 2
+        return _damaged(spark, paths[:half], schema) + _damaged(spark, paths[half:], schema)
+
+
 def merge_small_files(
-    spark: SparkSession, source: str, target: str, schema: str | StructType, files: int = 1
+    spark: SparkSession, source: str, target: str, schema: str | StructType, files: int | None = None,
+    file_bytes: int = 256 << 20,
 ) -> DataFrame:
-    """Rewrite a tree of small Parquet files as `files` files; returns the unreadable paths.
+    """Rewrite a tree of small Parquet files as files of about `file_bytes`; returns the paths of damaged ones.
 
-    A readable file without rows contributes no path to the merged rows, so it is listed as well.
+    A file that breaks off anywhere is left out whole and listed. Values in folder names (`key=value`) are columns,
+    as in the tree that `append_records` writes. The list of paths is on the driver, as it is in any Spark scan.
     """
-    rows = (
-        spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-        .option("ignoreCorruptFiles", True).parquet(source)
-    )
-    rows.repartition(files).write.mode("overwrite").parquet(target)
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet").load(source).select("path")
+        .option("pathGlobFilter", "*.parquet").load(source).select("path", "length").collect()
     )
-    read = rows.select(F.col("_metadata.file_path").alias("path")).distinct()
-
-    def plain(column):
-        """One spelling of a local path, whether it came as file:/x or file:///x."""
-        return F.regexp_replace(column, "^file:/+", "/")
-
-    return listed.withColumn("key", plain("path")).join(
-        read.select(plain("path").alias("key")), "key", "left_anti"
-    ).select("path")
+    bad = _damaged(spark, [r.path for r in listed], schema)
+    good = [r.path for r in listed if r.path not in set(bad)]
+    if files is None:
+        files = max(1, -(-sum(r.length for r in listed) // file_bytes))
+    rows = (spark.read.schema(schema).option("basePath", source).parquet(*good) if good
+            else spark.createDataFrame([], schema))
+    rows.repartition(files).write.mode("overwrite").parquet(target)
+    return spark.createDataFrame([(path,) for path in bad], "path string")
 
 
 def upsert_values(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -14,15 +13,14 @@ def merge_arrivals(
 
     `state` is the query's checkpoint folder: it remembers the files and the keys already merged, so a
     later run adds only what is new. The keys are the settings and test rows of a result, as many as
-    the results themselves; they live in the state store, split by key.
+    the results themselves; they live in the state store, split by key. A null key is a value like any other.
     """
     arrived = (
         spark.readStream.schema(schema).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", True).parquet(source)
     )
     return (
-        arrived.where(F.col(keys[0]).isNotNull())
-        .dropDuplicates(keys)
+        arrived.dropDuplicates(keys)
         .writeStream.format("parquet").outputMode("append")
         .option("path", target).option("checkpointLocation", state)
         .trigger(availableNow=True)

@@ -26,6 +26,23 @@ def test_merge_of_small_files(spark, tmp_path):
     assert len(list(target.glob("*.parquet"))) == 2
 
 
+def test_merge_drops_broken_files_whole_and_keeps_partitions(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(200000).selectExpr("id", "concat('s', id % 3) AS setting", "id / 2.0D AS gain", "cast(id % 2 AS string) AS estimator")
+    results.append_records(rows.coalesce(1), source, ["estimator"])
+    results.append_records(spark.createDataFrame([(None, None, 1.0, "2")], RECORDS + ", estimator string"), source, ["estimator"])
+    broken = next((tmp_path / "in" / "estimator=1").glob("*.parquet"))
+    data = bytearray(broken.read_bytes())
+    data[len(data) // 2:len(data) // 2 + 4000] = b"\xff" * 4000
+    broken.write_bytes(bytes(data))
+    for crc in broken.parent.glob(".*.crc"):
+        crc.write_bytes(b"")
+    bad = results.merge_small_files(spark, source, target, RECORDS + ", estimator string")
+    assert [r.path.rsplit("/", 1)[-1] for r in bad.collect()] == [broken.name]
+    merged = spark.read.parquet(target)
+    assert {(r.estimator, r["count"]) for r in merged.groupBy("estimator").count().collect()} == {("0", 100000), ("2", 1)}
+
+
 def test_arrivals_are_merged_once(spark, tmp_path):
     source, target, state = (str(tmp_path / name) for name in ("in", "out", "state"))
     write_parts(spark, source, 0, 3)
