@@ -55,6 +55,20 @@ def _damaged(spark: SparkSession, paths: list[str], schema: str | StructType) ->
         return _damaged(spark, paths[:half], schema) + _damaged(spark, paths[half:], schema)
 
 
+def whole_files(
+    spark: SparkSession, paths: list[str], schema: str | StructType, base: str
+) -> tuple[DataFrame, list[str]]:
+    """Rows of the files that can be read to their end, and the paths of the others.
+
+    Values in folder names below `base` (`key=value`) are columns.
+    """
+    bad = _damaged(spark, paths, schema)
+    good = sorted(set(paths) - set(bad))
+    if not good:
+        return spark.createDataFrame([], schema), bad
+    return spark.read.schema(schema).option("basePath", base).parquet(*good), bad
+
+
 def merge_small_files(
     spark: SparkSession, source: str, target: str, schema: str | StructType, files: int | None = None,
     file_bytes: int = 256 << 20,
@@ -68,12 +82,9 @@ def merge_small_files(
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet").load(source).select("path", "length").collect()
     )
-    bad = _damaged(spark, [r.path for r in listed], schema)
-    good = [r.path for r in listed if r.path not in set(bad)]
     if files is None:
         files = max(1, -(-sum(r.length for r in listed) // file_bytes))
-    rows = (spark.read.schema(schema).option("basePath", source).parquet(*good) if good
-            else spark.createDataFrame([], schema))
+    rows, bad = whole_files(spark, [r.path for r in listed], schema, source)
     rows.repartition(files).write.mode("overwrite").parquet(target)
     return spark.createDataFrame([(path,) for path in bad], "path string")
 

@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from exselect.sources.results import pending, whole_files
+
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def merge_arrivals(
-    spark: SparkSession, source: str, target: str, state: str, schema: str, keys: list[str]
+    spark: SparkSession, source: str, target: str, state: str, schema: str, keys: list[str],
+    damaged: str | None = None, files_per_batch: int = 10_000,
 ) -> StreamingQuery:
     """Append new records of a folder tree to `target`, one per key, and stop when nothing is left.
 
-    `state` is the query's checkpoint folder: it remembers the files and the keys already merged, so a
-    later run adds only what is new. The keys are the settings and test rows of a result, as many as
-    the results themselves; they live in the state store, split by key. A null key is a value like any other.
+    `state` is the query's checkpoint folder: it remembers the files already merged. A key already in `target` is
+    left out by a join with the target, so no state grows with the results, and a batch that is run again after a
+    failure adds only what is missing. A null key is a value like any other. Values in folder names (`key=value`) are
+    columns. A file that breaks off anywhere is left out whole and listed in the table `damaged`
+    (by default next to the target). A batch holds the paths of at most `files_per_batch` files on the driver.
     """
+    damaged = damaged or target.rstrip("/") + "_damaged"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(target)
     arrived = (
-        spark.readStream.schema(schema).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", True).parquet(source)
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_per_batch).load(source).select("path")
     )
+
+    def merge(batch: DataFrame, _: int) -> None:
+        session = batch.sparkSession
+        rows, bad = whole_files(session, [r.path for r in batch.collect()], schema, source)
+        stored = session.read.schema(schema).parquet(target)
+        pending(rows.dropDuplicates(keys), stored, keys).write.mode("append").parquet(target)
+        if bad:
+            session.createDataFrame([(path,) for path in bad], "path string").write.mode("append").parquet(damaged)
+
     return (
-        arrived.dropDuplicates(keys)
-        .writeStream.format("parquet").outputMode("append")
-        .option("path", target).option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
+        arrived.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
     )

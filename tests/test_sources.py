@@ -53,6 +53,18 @@ def test_arrivals_are_merged_once(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [0, 1, 2, 3, 4]
 
 
+def test_arrivals_keep_null_keys_and_partitions_and_list_damaged_files(spark, tmp_path):
+    source, target, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    rows = [(None, "a", 1.0, "x"), (1, None, 2.0, "x"), (1, None, 2.0, "x"), (2, "b", 3.0, "y")]
+    schema = RECORDS + ", estimator string"
+    results.append_records(spark.createDataFrame(rows, schema), source, ["estimator"])
+    (tmp_path / "in" / "estimator=y" / "junk.parquet").write_bytes(b"not a parquet file")
+    for _ in range(2):
+        merge_arrivals(spark, source, target, state, schema, ["id", "setting"]).awaitTermination(120)
+    assert sorted(map(str, map(tuple, spark.read.parquet(target).collect()))) == sorted(map(str, {*rows}))
+    assert [r.path.rsplit("/", 1)[-1] for r in spark.read.parquet(target + "_damaged").collect()] == ["junk.parquet"]
+
+
 def test_resume_skips_stored_settings(spark, tmp_path):
     grid = spark.createDataFrame([("top_k", 5, None), ("top_k", 10, None), ("fl", 5, 0.5), ("fl", 5, 1.0)], "method string, k int, lambda double")
     stored = grid.where("k = 5 AND (lambda IS NULL OR lambda = 0.5)").withColumn("test_id", F.lit(1))
