@@ -10,16 +10,22 @@ from exselect.operators.scoring import with_scalar
 LOG_EPS = 1e-12  # fixed value inside every logarithm
 
 
-def document_log_p(tokens: DataFrame, value: str = "log_p") -> DataFrame:
-    """(doc_id, log_p): sum over unmasked tokens; sums combine before the shuffle."""
-    return tokens.groupBy("doc_id").agg(F.sum(value).alias("log_p"))
+def _counted(value: Column | str, mask: str | None) -> Column:
+    """The value where the boolean column `mask` is true (null is false); every value without a mask."""
+    value = F.col(value) if isinstance(value, str) else value
+    return value if mask is None else F.when(F.col(mask), value)
 
 
-def delta_log_p(tokens: DataFrame) -> DataFrame:
-    """(doc_id, log_p_before, log_p_after, delta_log_p) from per-token log-probabilities."""
+def document_log_p(tokens: DataFrame, value: str = "log_p", mask: str | None = None) -> DataFrame:
+    """(doc_id, log_p): sum over the tokens that `mask` keeps, null without any; sums combine before the shuffle."""
+    return tokens.groupBy("doc_id").agg(F.sum(_counted(value, mask)).alias("log_p"))
+
+
+def delta_log_p(tokens: DataFrame, mask: str | None = None) -> DataFrame:
+    """(doc_id, log_p_before, log_p_after, delta_log_p) from per-token log-probabilities of the tokens that `mask` keeps."""
     return (
         tokens.groupBy("doc_id")
-        .agg(F.sum("log_p_before").alias("log_p_before"), F.sum("log_p_after").alias("log_p_after"))
+        .agg(*[F.sum(_counted(name, mask)).alias(name) for name in ("log_p_before", "log_p_after")])
         .withColumn("delta_log_p", F.col("log_p_after") - F.col("log_p_before"))
     )
 
@@ -46,20 +52,21 @@ def token_jsd(before: str = "p_before", after: str = "p_after", variant: str = "
     raise ValueError(f"unknown variant {variant!r}")
 
 
-def jsd(token_probs: DataFrame, variant: str = "reference") -> DataFrame:
-    """(doc_id, jsd), averaged over the tokens of a document."""
-    return token_probs.groupBy("doc_id").agg(F.avg(token_jsd(variant=variant)).alias("jsd"))
+def jsd(token_probs: DataFrame, variant: str = "reference", mask: str | None = None) -> DataFrame:
+    """(doc_id, jsd), averaged over the tokens of a document that `mask` keeps."""
+    return token_probs.groupBy("doc_id").agg(F.avg(_counted(token_jsd(variant=variant), mask)).alias("jsd"))
 
 
-def kld(token_probs: DataFrame) -> DataFrame:
-    """(doc_id, kld) of before against after, averaged over the tokens of a document."""
-    return token_probs.groupBy("doc_id").agg(F.avg(kl("p_before", "p_after")).alias("kld"))
+def kld(token_probs: DataFrame, mask: str | None = None) -> DataFrame:
+    """(doc_id, kld) of before against after, averaged over the tokens of a document that `mask` keeps."""
+    return token_probs.groupBy("doc_id").agg(F.avg(_counted(kl("p_before", "p_after"), mask)).alias("kld"))
 
 
-def divergences(token_probs: DataFrame, variant: str = "reference") -> DataFrame:
+def divergences(token_probs: DataFrame, variant: str = "reference", mask: str | None = None) -> DataFrame:
     """Both averages in one pass."""
     return token_probs.groupBy("doc_id").agg(
-        F.avg(token_jsd(variant=variant)).alias("jsd"), F.avg(kl("p_before", "p_after")).alias("kld")
+        F.avg(_counted(token_jsd(variant=variant), mask)).alias("jsd"),
+        F.avg(_counted(kl("p_before", "p_after"), mask)).alias("kld"),
     )
 
 

@@ -270,3 +270,16 @@ def test_wide_long_and_samples(spark):
     numbered = spark.range(20).select(F.col("id").alias("doc"), F.col("id").alias("idx"))
     drawn = analytics.sampled_rows(numbered, "doc", 30, 1)
     assert drawn.count() == 30 and drawn.select("draw").distinct().count() == 30
+
+
+def test_masked_tokens_do_not_count(spark):
+    rows = [(1, True, -1.0, -0.5, [0.5, 0.5], [0.25, 0.75]), (1, False, -9.0, -9.0, [1.0, 0.0], [0.0, 1.0]),
+            (1, None, -9.0, -9.0, [1.0, 0.0], [0.0, 1.0]), (2, False, -1.0, -1.0, [0.5, 0.5], [0.5, 0.5])]
+    tokens = spark.createDataFrame(rows, "doc_id int, own boolean, log_p_before double, log_p_after double, p_before array<double>, p_after array<double>")
+    assert {r.doc_id: r.delta_log_p for r in validation.delta_log_p(tokens, mask="own").collect()} == {1: 0.5, 2: None}
+    assert {r.doc_id: r.log_p for r in validation.document_log_p(tokens, "log_p_before", "own").collect()} == {1: -1.0, 2: None}
+    both = {r.doc_id: r for r in validation.divergences(tokens, mask="own").collect()}
+    alone = validation.divergences(tokens.where("own")).first()
+    assert (both[1].jsd, both[1].kld) == (alone.jsd, alone.kld) and both[2].jsd is None
+    assert {r.doc_id: r.jsd for r in validation.jsd(tokens, mask="own").collect()}[1] == alone.jsd
+    assert {r.doc_id: r.kld for r in validation.kld(tokens, mask="own").collect()}[1] == alone.kld
