@@ -97,33 +97,41 @@ def fit_evidence(sample: DataFrame, least_documents: int = 8, least_g: float = 3
     places = {t: {r["feature"]: k for k, r in enumerate(x for x in kept if x[t] >= least_g)} for t in TARGETS}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *[pa.array([[places[t][f] for f in row if f in places[t]] for row in found], pa.list_(pa.int32())) for t in TARGETS]],
-                names=[*TARGETS, *[f"{t}_at" for t in TARGETS]])
-
-    rows = sample.mapInArrow(index, "low_quality int, toxic int, low_quality_at array<int>, toxic_at array<int>").collect()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                found = [features(t) for t in batch.column(0).to_pylist()]
+                for k, t in enumerate(TARGETS, 1):
+                    known = [([places[t][f] for f in row if f in places[t]], y)
+                             for row, y in zip(found, batch.column(k).to_pylist()) if y is not None]
+                    packed = [y for _, y in known], [len(x) for x, _ in known], [f for x, _ in known for f in x]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([t]), *(pa.array([np.array(x, "<i4").tobytes()], pa.binary()) for x in packed)],
+                        names=["target", "label", "n", "at"])
+
+    # Packed: the driver holds four bytes per feature of the sample, not an object.
+    rows = sample.mapInArrow(index, "target string, label binary, n binary, at binary").collect()
     out = {}
     for t in TARGETS:
-        known = [(r[f"{t}_at"], r[t]) for r in rows if r[t] is not None]
-        weights = _logistic(known, len(places[t]), penalty) if 0 < sum(y for _, y in known) < len(known) else None
+        y, lengths, at = (np.frombuffer(b"".join(r[c] for r in rows if r["target"] == t), "<i4") for c in ("label", "n", "at"))
+        weights = _logistic(y, lengths, at, len(places[t]), penalty) if 0 < y.sum() < len(y) else None
         out[t] = {} if weights is None else {INTERCEPT: weights[-1]} | {f: weights[k] for f, k in places[t].items()}
     return out
 
 
-def _logistic(rows: list[tuple[list[int], int]], size: int, penalty: float, rounds: int = 400) -> list[float]:
-    """Weights, then the intercept less the base rate's logit; full gradients, each weight with its own step."""
-    lengths = np.array([len(x) for x, _ in rows])
-    at = np.fromiter((k for x, _ in rows for k in x), np.int64, lengths.sum())
-    of, y = np.repeat(np.arange(len(rows)), lengths), np.array([v for _, v in rows], float)
+def _logistic(y: np.ndarray, lengths: np.ndarray, at: np.ndarray, size: int, penalty: float, rounds: int = 400) -> list[float]:
+    """Weights, then the intercept less the base rate's logit; full gradients, each weight with its own step.
+
+    y: label per row; lengths: features per row; at: the features of all rows, one row after the other.
+    """
+    y, at, of = y.astype(float), at.astype(np.intp), np.repeat(np.arange(len(y)), lengths)
     base = math.log(y.mean() / (1 - y.mean()))
     w, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = base
     for k in range(1, rounds + 1):
-        score = np.bincount(of, w[at], len(rows)) + w[-1]
+        score = np.bincount(of, w[at], len(y)) + w[-1]
         error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
-        slope = np.append(np.bincount(at, error[of], size) + penalty * w[:-1], error.sum()) / len(rows)
+        slope = np.append(np.bincount(at, error[of], size) + penalty * w[:-1], error.sum()) / len(y)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope ** 2
         w -= 0.1 / (1 + k / 100) * (first / (1 - 0.9 ** k)) / (np.sqrt(second / (1 - 0.99 ** k)) + 1e-9)
     w[-1] -= base
