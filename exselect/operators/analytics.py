@@ -332,23 +332,22 @@ def linear_map(vectors: DataFrame, id_col: str, components: int = 2, normalize:
     """(id, coords): principal components of the centred vectors, each with its largest weight positive."""
     rows = vectors.select(id_col, doubles().alias("vec"))
     rows = normalized(rows) if normalize else rows
-    # One vector of the data's width leaves the cluster.
-    centre = rows.select(Summarizer.mean(array_to_vector("vec")).alias("m")).first()["m"].toArray()
-    middle = F.array(*[F.lit(float(x)) for x in centre])
-    centred = rows.select(
-        id_col, array_to_vector(F.zip_with("vec", middle, lambda x, m: x - m)).alias("vec")
-    )
-    model = PCA(k=components, inputCol="vec", outputCol="pc").fit(centred)
+    rows = rows.select(id_col, array_to_vector("vec").alias("vec"))
+    # One vector of the data's width leaves the cluster; the plan holds its projection only.
+    centre = rows.select(Summarizer.mean(F.col("vec")).alias("m")).first()["m"].toArray()
+    model = PCA(k=components, inputCol="vec", outputCol="pc").fit(rows)
     weights = model.pc.toArray()
     signs = [1.0 if w[abs(w).argmax()] >= 0 else -1.0 for w in weights.T]
-    flip = F.array(*[F.lit(s) for s in signs])
-    coords = F.zip_with(vector_to_array("pc"), flip, lambda x, s: x * s)
-    return model.transform(centred).select(id_col, coords.alias("coords"))
+    middle = centre @ weights
+    moves = F.array(*[F.struct(F.lit(s).alias("sign"), F.lit(float(m)).alias("middle")) for s, m in zip(signs, middle)])
+    coords = F.zip_with(vector_to_array("pc"), moves, lambda x, move: (x - move["middle"]) * move["sign"])
+    return model.transform(rows).select(id_col, coords.alias("coords"))
 
 
 def selected_chats(selections: DataFrame, conversations: DataFrame, turns: int = 2) -> DataFrame:
-    """The first turns of each selected chat, in pick order; other turns never leave the scan."""
-    chats = as_messages(conversations, first=turns).withColumnRenamed("conv_id", "train_id")
+    """The first turns of each selected chat, in pick order; other chats are left out before turns are gathered."""
+    wanted = selections.select(F.col("train_id").alias("conv_id")).distinct()
+    chats = as_messages(conversations.join(wanted, "conv_id", "left_semi"), first=turns).withColumnRenamed("conv_id", "train_id")
     return selections.join(chats, "train_id")
 
 

@@ -24,9 +24,9 @@ Layout = list[tuple[str, int, int]]
 
 
 def even_layout(width: int, blocks: int) -> Layout:
-    """Equal slices b0, b1, ..."""
-    step = width // blocks
-    return [(f"b{i}", i * step, step) for i in range(blocks)]
+    """Equal slices b0, b1, ... over the whole width; the last one may be narrower."""
+    step = -(-width // blocks)
+    return [(f"b{i}", i * step, min(step, width - i * step)) for i in range(blocks) if i * step < width]
 
 
 def to_blocks(vectors: DataFrame, id_col: str, layout: Layout) -> DataFrame:
@@ -50,6 +50,11 @@ def to_flat(blocks: DataFrame, id_col: str, layout: Layout) -> DataFrame:
 
 def block_damping(train: DataFrame, layout: Layout, divisor: float = 10.0) -> DataFrame:
     """(block, lam): one JVM aggregation of squared columns, combined before the shuffle."""
+    return _damping(train, layout, divisor).drop("n")
+
+
+def _damping(train: DataFrame, layout: Layout, divisor: float) -> DataFrame:
+    """(block, lam, n) with the number of train rows."""
     stats = train.select(
         Summarizer.metrics("normL2", "count").summary(array_to_vector(doubles())).alias("s")
     ).select(vector_to_array("s.normL2").alias("norm"), F.col("s.count").alias("n"))
@@ -60,21 +65,29 @@ def block_damping(train: DataFrame, layout: Layout, divisor: float = 10.0) -> Da
     part = F.slice("norm", F.col("b.start") + 1, F.col("b.width"))
     squares = F.aggregate(part, F.lit(0.0), lambda total, x: total + x * x)
     return stats.select("norm", "n", each.alias("b")).select(
-        "b.block", (squares / (F.col("n") * F.col("b.width")) / divisor).alias("lam")
+        "b.block", (squares / (F.col("n") * F.col("b.width")) / divisor).alias("lam"), "n"
     )
 
 
+LEAST_TASKS = 4096
+ROWS_PER_SUM = 64
+
+
 def curvature_vectors(
-    test: DataFrame, train: DataFrame, layout: Layout, divisor: float = 10.0, tasks: int = 4096
+    test: DataFrame, train: DataFrame, layout: Layout, divisor: float = 10.0, tasks: int | None = None
 ) -> DataFrame:
     """(test_id, vec) with vec = h over all blocks.
 
-    Every task folds its train rows into one test-sized partial sum, so the train scan is coalesced
-    (without a shuffle) to at most `tasks` tasks; the partial sums are added by the JVM summarizer.
+    Every task folds its train rows into one test-sized partial sum, added by the JVM summarizer. The train scan
+    is coalesced (without a shuffle) so far that a sum stands for ROWS_PER_SUM times its own rows: what is
+    shuffled stays a small share of the scan, and the number of tasks grows with the data.
     """
     # One value per weight tensor and one count: constants of the scan.
-    damping = {row["block"]: row["lam"] for row in block_damping(train, layout, divisor).toLocalIterator()}
-    total = train.count()
+    found = list(_damping(train, layout, divisor).toLocalIterator())
+    damping = {row["block"]: row["lam"] for row in found}
+    total = found[0]["n"] if found else 0
+    if tasks is None:
+        tasks = max(LEAST_TASKS, total // (ROWS_PER_SUM * max(1, test.count())))
 
     def work(ids: np.ndarray, matrix: np.ndarray, batches: Batches) -> Iterator[pa.RecordBatch]:
         folded = np.zeros_like(matrix)

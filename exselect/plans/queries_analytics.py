@@ -11,6 +11,7 @@ from exselect.operators import analytics, checks, ranking, stats, validation
 from exselect.plans.registry import (
     ESTIMATORS, SCORING_SQL, VALIDATION_SQL, VECTORS_SQL, query, scoring_records, validation_records, vectors,
 )
+from exselect.session import union_all
 from exselect.sources.readers import read_table
 from exselect.sources.results import pending, upsert_values
 from exselect.sources.splits import with_index
@@ -35,12 +36,13 @@ def derived(spark, sf):
 
 TOKENS_SQL = """
 mean AS (SELECT list(m ORDER BY j) AS m FROM (SELECT j, avg(x) AS m FROM (
-  SELECT unnest(range(1, 65)) AS j, unnest(vec) AS x FROM tr) GROUP BY j)),
-sl AS (SELECT test_id AS doc_id, pos, te.vec[16 * pos + 1 : 16 * pos + 16] AS b, list_transform(range(16 * pos + 1, 16 * pos + 17), lambda i: (te.vec[i] + mean.m[i]) / 2) AS a
-  FROM te, mean, range(4) r(pos)),
+  SELECT unnest(range(1, len(vec) + 1)) AS j, unnest(vec) AS x FROM tr) GROUP BY j)),
+mixed AS (SELECT test_id, vec, list_transform(range(1, len(vec) + 1), lambda i: (te.vec[i] + mean.m[i]) / 2) AS after, (len(m) + 3) // 4 AS st FROM te, mean),
+sl AS (SELECT test_id AS doc_id, pos, vec[st * pos + 1 : st * (pos + 1)] AS b, after[st * pos + 1 : st * (pos + 1)] AS a
+  FROM mixed, range(4) r(pos) WHERE st * pos < len(vec)),
 ex AS (SELECT doc_id, pos, list_transform(b, lambda x: exp(x)) AS b, list_transform(a, lambda x: exp(x)) AS a FROM sl),
 tp AS (SELECT doc_id, pos, list_transform(b, lambda x: x / list_sum(b)) AS pb, list_transform(a, lambda x: x / list_sum(a)) AS pa FROM ex),
-pm AS (SELECT *, list_transform(range(1, 17), lambda i: (pb[i] + pa[i]) / 2) AS pm FROM tp)"""
+pm AS (SELECT *, list_transform(range(1, len(pb) + 1), lambda i: (pb[i] + pa[i]) / 2) AS pm FROM tp)"""
 
 
 def token_probs(spark, sf):
@@ -49,10 +51,12 @@ def token_probs(spark, sf):
     centre = train.select(Summarizer.mean(array_to_vector("vec")).alias("m")).first()["m"].toArray()
     mean = F.array(*[F.lit(float(x)) for x in centre])
     mixed = test.withColumn("after", F.zip_with("vec", mean, lambda x, m: (x + m) / 2))
-    parts = mixed.select("test_id", "vec", "after", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
+    step = -(-len(centre) // 4)
+    pos = F.explode(F.sequence(F.lit(0), F.lit(-(-len(centre) // step) - 1)))
+    parts = mixed.select("test_id", "vec", "after", pos.alias("pos"))
     cut = parts.select(
-        F.col("test_id").alias("doc_id"), "pos", F.slice("vec", F.col("pos") * 16 + 1, F.lit(16)).alias("b"),
-        F.slice("after", F.col("pos") * 16 + 1, F.lit(16)).alias("a"),
+        F.col("test_id").alias("doc_id"), "pos", F.slice("vec", F.col("pos") * step + 1, F.lit(step)).alias("b"),
+        F.slice("after", F.col("pos") * step + 1, F.lit(step)).alias("a"),
     )
     return cut.select(
         "doc_id", "pos", validation.softmax("b").alias("p_before"), validation.softmax("a").alias("p_after")
@@ -60,7 +64,7 @@ def token_probs(spark, sf):
 
 
 def _kl(p: str, q: str) -> str:
-    return f"list_sum(list_transform(range(1, 17), lambda i: {p}[i] * (ln({p}[i]) - ln({q}[i] + 1e-12))))"
+    return f"list_sum(list_transform(range(1, len({p}) + 1), lambda i: {p}[i] * (ln({p}[i]) - ln({q}[i] + 1e-12))))"
 
 
 @query(
@@ -255,6 +259,30 @@ def _fisher(spark, sf):
     return stats.fisher_z(rho, ["estimator"], "cat", "0.0")
 
 
+@query(
+    "fisher_z_on_validation_score",
+    "WITH " + ATTACHED_SQL + f", c AS (SELECT *, {CATEGORY_SQL} AS cat FROM rr WHERE pred_gain > 1), c2 AS (SELECT * FROM c WHERE cat NOT IN ('Other', 'Naive')), "
+    + RANKS.format(keys="estimator, cat", x="pred_gain", y="score_log_p", source="c2")
+    + """, z AS (SELECT s.estimator, s.cat, s.n, (atanh(b.rho) - atanh(s.rho)) / sqrt(1 / (b.n - 3) + 1 / (s.n - 3)) AS z
+FROM sp s JOIN sp b ON s.estimator = b.estimator AND b.cat = '0.0' WHERE s.n > 3 AND b.n > 3)
+SELECT estimator, cat, n, tail, round(z, 7) + 0.0 AS z_stat,
+CASE tail WHEN 'upper' THEN z > 1.6448536269514722 ELSE z < -1.6448536269514722 END AS significant
+FROM z, (VALUES ('upper'), ('lower')) t(tail)""",
+)
+def fisher_z_on_validation_score(spark, sf):
+    """Both tails of the comparison with lambda 0, for the correlation of gain and validation score."""
+    rows = attached(spark, sf).where("pred_gain > 1")
+    names = analytics.description_table(scoring_records(spark, sf)).select(
+        F.col("raw").alias("explanation_type_selection"), F.col("category").alias("cat"))
+    rows = rows.join(names, "explanation_type_selection").where(~F.col("cat").isin("Other", "Naive"))
+    rho = stats.spearman(rows, ["estimator", "cat"], "pred_gain", "validation_score_log_p")
+    return union_all([
+        stats.fisher_z(rho, ["estimator"], "cat", "0.0", tail).select(
+            "estimator", "cat", "n", F.lit(tail).alias("tail"), (F.round("z_stat", 7) + 0.0).alias("z_stat"), "significant")
+        for tail in ("upper", "lower")
+    ])
+
+
 @query("significant_lambdas")
 def significant_lambdas(spark, sf):
     """Lambdas whose correlation is significantly above the naive one, per estimator, at the published level."""

@@ -14,6 +14,13 @@ from exselect.sources import splits
 from exselect.sources.readers import read_table
 
 TOP = 5
+BLOCKS = 4
+CUT_SQL = f"cut AS (SELECT (max(len(vec)) + {BLOCKS - 1}) // {BLOCKS} AS st FROM tr)"
+
+
+def _layout(train):
+    """Equal blocks over the width that the vectors have."""
+    return curvature.even_layout(train.agg(F.max(F.size("vec"))).first()[0] or 0, BLOCKS)
 
 
 def ranked_sql(source: str, order: str, k: int = TOP) -> str:
@@ -66,7 +73,7 @@ def explanation_rows_of_label_heads(spark, sf):
     test, train = vectors(spark, sf)
     label = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("test_id"), "label")
     heads = test.join(label, "test_id").groupBy("label").agg(F.min("test_id").alias("test_id"))
-    return scoring.explanation_rows(scoring.dot_influence(test, train, digits=DIGITS), heads)
+    return scoring.dot_influence(scoring.explanation_rows(test, heads), train, digits=DIGITS)
 
 
 @query(
@@ -84,17 +91,17 @@ def cosine_top_most_influential(spark, sf):
 
 @query(
     "adam_preconditioned_norms",
-    f"""WITH {VECTORS_SQL},
+    f"""WITH {VECTORS_SQL}, {CUT_SQL},
 x AS (SELECT train_id, unnest(range(1, len(vec) + 1)) AS j, unnest(vec) AS g FROM tr),
 s AS (SELECT j, avg(g) AS m, avg(g * g) AS v FROM x GROUP BY j),
-p AS (SELECT train_id, (j - 1) // 16 AS b, (0.9 * m + (1 - 0.9) * g) / sqrt(0.999 * v + (1 - 0.999) * g * g + 1e-8) AS u
-      FROM x JOIN s USING (j))
+p AS (SELECT train_id, (j - 1) // st AS b, (0.9 * m + (1 - 0.9) * g) / sqrt(0.999 * v + (1 - 0.999) * g * g + 1e-8) AS u
+      FROM x JOIN s USING (j), cut)
 SELECT train_id, 'b' || b::VARCHAR AS block, round(sqrt(sum(u * u)), 7) AS norm FROM p GROUP BY train_id, b""",
 )
 def adam_preconditioned_norms(spark, sf):
     """Moments are the mean and mean square of the train vectors, one row per block."""
     _, train = vectors(spark, sf)
-    blocks = curvature.to_blocks(train, "train_id", curvature.even_layout(64, 4))
+    blocks = curvature.to_blocks(train, "train_id", _layout(train))
     state = blocks.groupBy("block").agg(
         Summarizer.metrics("mean", "normL2", "count").summary(array_to_vector("vec")).alias("s")
     ).select(
@@ -106,9 +113,9 @@ def adam_preconditioned_norms(spark, sf):
     return moved.select("train_id", "block", F.round(F.sqrt(square), 7).alias("norm"))
 
 
-DAMPING_SQL = """
-xb AS (SELECT train_id, vec[16 * b + 1 : 16 * b + 16] AS g, b FROM tr, range(4) r(b)),
-lam AS (SELECT b, avg(list_dot_product(g, g) / 16) / 10 AS lam FROM xb GROUP BY b)"""
+DAMPING_SQL = f"""{CUT_SQL},
+xb AS (SELECT train_id, vec[st * b + 1 : st * (b + 1)] AS g, b FROM tr, cut, range({BLOCKS}) r(b) WHERE st * b < len(vec)),
+lam AS (SELECT b, avg(list_dot_product(g, g) / len(g)) / 10 AS lam FROM xb GROUP BY b)"""
 
 
 @query(
@@ -117,15 +124,15 @@ lam AS (SELECT b, avg(list_dot_product(g, g) / 16) / 10 AS lam FROM xb GROUP BY
 )
 def block_damping(spark, sf):
     _, train = vectors(spark, sf)
-    return curvature.block_damping(train, curvature.even_layout(64, 4)).select("block", F.round("lam", 10).alias("lam"))
+    return curvature.block_damping(train, _layout(train)).select("block", F.round("lam", 10).alias("lam"))
 
 
 CURVATURE_SQL = f"""{VECTORS_SQL}, {DAMPING_SQL},
-tb AS (SELECT test_id, vec[16 * b + 1 : 16 * b + 16] AS t, b FROM te, range(4) r(b)),
+tb AS (SELECT test_id, vec[st * b + 1 : st * (b + 1)] AS t, b FROM te, cut, range({BLOCKS}) r(b) WHERE st * b < len(vec)),
 share AS (SELECT test_id, b, train_id, list_dot_product(t, g) / (lam + list_dot_product(g, g)) AS c, g
           FROM tb JOIN xb USING (b) JOIN lam USING (b)),
 folded AS (SELECT test_id, b, j, sum(c * x) AS f FROM (
-             SELECT test_id, b, c, unnest(range(1, 17)) AS j, unnest(g) AS x FROM share) GROUP BY ALL),
+             SELECT test_id, b, c, unnest(range(1, len(g) + 1)) AS j, unnest(g) AS x FROM share) GROUP BY ALL),
 h AS (SELECT test_id, b, j, t[j] / lam - f / ((SELECT count(*) FROM tr) * lam) AS h
       FROM folded JOIN tb USING (test_id, b) JOIN lam USING (b)),
 hv AS (SELECT test_id, list(h ORDER BY b, j) AS vec FROM h GROUP BY test_id)"""
@@ -137,7 +144,7 @@ hv AS (SELECT test_id, list(h ORDER BY b, j) AS vec FROM h GROUP BY test_id)"""
 )
 def curvature_vector_sums(spark, sf):
     test, train = vectors(spark, sf)
-    h = curvature.curvature_vectors(test, train, curvature.even_layout(64, 4))
+    h = curvature.curvature_vectors(test, train, _layout(train))
     return h.select(
         "test_id", F.size("vec").cast("bigint").alias("width"),
         F.round(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x), 6).alias("total"),
@@ -152,22 +159,22 @@ inf AS (SELECT test_id, train_id, round(-list_dot_product(hv.vec, tr.vec), 6) AS
 )
 def curvature_top_most_helpful(spark, sf):
     test, train = vectors(spark, sf)
-    h = curvature.curvature_vectors(test, train, curvature.even_layout(64, 4))
+    h = curvature.curvature_vectors(test, train, _layout(train))
     return _ranked(scoring.top_influence(h, train, TOP, ["most_helpful"], digits=6))
 
 
 @query(
     "blocked_round_trip",
-    f"WITH {VECTORS_SQL} SELECT train_id, len(vec)::BIGINT AS width, vec[17] AS at17, vec[64] AS at64 FROM tr",
+    f"WITH {VECTORS_SQL} SELECT train_id, len(vec)::BIGINT AS width, vec[17] AS at17, vec[64] AS at64, round(list_sum(vec), 6) AS total FROM tr",
 )
 def blocked_round_trip(spark, sf):
     """Flat to blocked and back."""
     _, train = vectors(spark, sf)
-    layout = curvature.even_layout(64, 4)
+    layout = _layout(train)
     flat = curvature.to_flat(curvature.to_blocks(train, "train_id", layout), "train_id", layout)
     return flat.select(
         "train_id", F.size("vec").cast("bigint").alias("width"), F.get("vec", F.lit(16)).alias("at17"),
-        F.get("vec", F.lit(63)).alias("at64"),
+        F.get("vec", F.lit(63)).alias("at64"), F.round(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x), 6).alias("total"),
     )
 
 
@@ -187,8 +194,9 @@ def projection_budget(spark, sf):
 def sign_projection(spark, sf):
     """Two blocks are projected, two keep their width."""
     _, train = vectors(spark, sf)
-    layout = curvature.even_layout(64, 4)
-    return curvature.sign_projection(train, "train_id", layout, {"b0": 8, "b1": 16, "b2": 8, "b3": 16})
+    layout = _layout(train)
+    dims = {name: width if i % 2 else width // 2 for i, (name, _, width) in enumerate(layout)}
+    return curvature.sign_projection(train, "train_id", layout, dims)
 
 
 @query(
@@ -277,7 +285,7 @@ def bm25_join_densified_summary(spark, sf):
 )
 def term_statistics(spark, sf):
     docs = documents(spark, sf)
-    total, _ = bm25.corpus_stats(docs)
+    total = read_table(spark, sf, "documents").count()
     return bm25.with_idf(bm25.document_frequency(docs), total).select("term", "df", F.round("idf", 9).alias("idf"))
 
 

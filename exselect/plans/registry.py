@@ -146,8 +146,8 @@ def _records(spark: SparkSession, sf: str, select: str) -> DataFrame:
     keys = [f"CAST({key} AS INT) AS s{i}" for i, key in enumerate(_SETTING_KEYS)]
     lines = read_table(spark, sf, "lineitem").selectExpr("*", *keys)
     joined = lines.join(F.broadcast(_descriptions(spark)), ["s0", "s1", "s2", "s3"])
-    joined.createOrReplaceTempView("_lines")
-    return spark.sql(f"SELECT {select.replace(_TEXT + ' AS explanation_type', 'explanation_type')} FROM _lines")
+    columns = select.replace(_TEXT + " AS explanation_type", "explanation_type")
+    return joined.select(F.expr(f"struct({columns})").alias("record")).select("record.*")
 
 
 def scoring_records(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exselect.operators.ranking import seeded_order
-from exselect.session import cut_lineage
+from exselect.session import cut_lineage, union_all
 
 
 def with_index(df: DataFrame, *order: str | Column, out: str = "idx") -> DataFrame:
@@ -44,24 +45,47 @@ def take_split(
     """Rows of the named splits with a `split` column, exact sizes.
 
     disjoint=True cuts one seeded order into consecutive pieces. disjoint=False draws each split on its
-    own with seed + 42 i, so a row may be in several.
+    own with seed + 42 i, so a row may be in several. Only ids are ordered; the rows themselves are filtered.
     """
     total = df.count()
     counts = {name: split_size(total, value) for name, value in sizes.items()}
     if disjoint:
-        ordered = with_index(df.withColumn("_order", seeded_order(seed, id_col)), "_order", id_col)
-        name, start = None, 0
-        for split, n in counts.items():
-            inside = (F.col("idx") >= start) & (F.col("idx") < start + n)
-            name = F.when(inside, F.lit(split)) if name is None else name.when(inside, F.lit(split))
-            start += n
-        return ordered.withColumn("split", name).where(F.col("split").isNotNull()).drop("_order", "idx")
-    parts = None
+        ends = list(accumulate(counts.values()))
+        name = F.lit(None).cast("string")
+        df, before = _placed(df, id_col, seed, ends, total)
+        for split, inside in reversed([*zip(counts, before)]):
+            name = F.when(inside, F.lit(split)).otherwise(name)
+        return df.withColumn("split", name).where(F.col("split").isNotNull()).drop("idx")
+    parts = []
     for i, (split, n) in enumerate(counts.items()):
-        ordered = with_index(df.withColumn("_order", seeded_order(seed + 42 * i, id_col)), "_order", id_col)
-        part = ordered.where(F.col("idx") < n).drop("_order", "idx").withColumn("split", F.lit(split))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+        rows, (inside,) = _placed(df, id_col, seed + 42 * i, [n], total)
+        parts.append(rows.where(inside).drop("idx").withColumn("split", F.lit(split)))
+    return union_all(parts)
+
+
+def _placed(df: DataFrame, id_col: str, seed: int, ends: list[int], total: int) -> tuple[DataFrame, list[Column]]:
+    """The rows, and per end the condition of being among that many first ones of the seeded order.
+
+    Two ids per end come to the driver: the last one inside and the first one beyond. If an id that stands in
+    several rows meets an end, its rows have no order by id, so all rows are numbered instead.
+    """
+    order = seeded_order(seed, id_col)
+    ids = with_index(df.select(order.alias("_order"), id_col), "_order", id_col)
+    cuts = [end for end in ends if end < total]
+    found = {row["idx"]: (row["_order"], row[id_col]) for row in
+             ids.where(F.col("idx").isin([*cuts, *(cut - 1 for cut in cuts)])).collect()}
+    if any(found[cut] == found.get(cut - 1) or found[cut][0] is None for cut in cuts):
+        rows = with_index(df.withColumn("_order", order), "_order", id_col).drop("_order")
+        return rows, [F.col("idx") < end for end in ends]
+    conditions = []
+    for end in ends:
+        if end >= total:
+            conditions.append(F.lit(True))
+            continue
+        text, key = found[end]
+        earlier = (order < text) | ((order == text) & (F.col(id_col) < key))
+        conditions.append(F.coalesce(earlier, F.lit(True)))  # a null id comes first
+    return df, conditions
 
 
 def hash_split(df: DataFrame, id_col: str, share: float, seed: int = 42, names=("test", "train")) -> DataFrame:

@@ -118,6 +118,13 @@ def test_blocks_round_trip(sides):
     assert sorted(map(tuple, [(r[0], tuple(r[1])) for r in flat.collect()])) == [(i, tuple(map(float, row))) for i, row in enumerate(TRAIN)]
 
 
+def test_even_layout_covers_every_width():
+    for width in range(40):
+        layout = curvature.even_layout(width, 4)
+        assert [i for _, start, n in layout for i in range(start, start + n)] == list(range(width))
+        assert len(layout) <= 4
+
+
 def test_projection_budget(spark):
     dims = spark.createDataFrame([("a", 100), ("b", 6000), ("c", 20000)], "block string, dim bigint")
     got = {r["block"]: r["proj_dim"] for r in curvature.projection_budget(dims).collect()}

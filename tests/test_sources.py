@@ -142,6 +142,11 @@ def test_row_numbers_and_splits(spark):
     assert sorted(map(str, taken.collect())) == sorted(map(str, again.collect()))
     free = splits.take_split(df, "doc", {"train": 150, "test": 500}, disjoint=False)
     assert free.count() == 350 and free.where("split = 'test'").select("doc").distinct().count() == 200
+    twice = df.union(df.where("doc < 3")).unionByName(spark.createDataFrame([(None, 1)], "doc long, x long"))
+    for size in (*range(2, 8), 203, 204):  # 1 is a share
+        halves = splits.take_split(twice, "doc", {"test": size, "train": 1.0})
+        assert {r["split"]: r["count"] for r in halves.groupBy("split").count().collect()} == {
+            k: n for k, n in (("test", size), ("train", 204 - size)) if n}
     part = splits.select_split(splits.with_index(df.withColumn("split", F.lit("train")), "doc"), "train[5:9]")
     assert sorted(r["doc"] for r in part.collect()) == [5, 6, 7, 8]
     labelled = splits.hash_split(df, "doc", 0.25)
