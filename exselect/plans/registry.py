@@ -102,23 +102,27 @@ _TEXT = f"""CASE l_linenumber
   WHEN 5 THEN concat({_K}, ' by DIVINE from Top-100 ', {_ORDER}, '.')
   WHEN 6 THEN concat({_K}, ' by AIDE from Top-100.')
   ELSE CASE l_suppkey % 2 WHEN 0 THEN '{SANITY_TEXT}' ELSE concat('Top-', {_K}, ' ', {_ORDER}) END END"""
-_KEYS = f"""l_orderkey AS document_idx, {_MODEL} AS model, {_ESTIMATOR} AS estimator,
-  'mixture' AS train_dataset, 'train' AS train_split, 'mixture' AS test_dataset, 'test' AS test_split,
-  {_TEXT} AS explanation_type"""
-SCORING_SELECT = f"""{_KEYS},
-  CASE l_returnflag WHEN 'A' THEN 'MSECoderProjUSimp' WHEN 'N' THEN 'MSECoder' ELSE 'KLTCoder' END AS linear_coder,
-  l_extendedprice / 23457.0 AS pred_gain, l_discount AS mse, l_quantity AS l1, l_tax * l_quantity AS l2,
-  l_discount - 0.05 AS t0, l_tax AS t1, l_tax - l_discount AS t2"""
-VALIDATION_SELECT = f"""{_KEYS},
-  l_extendedprice / 23457.0 - l_quantity / 10.0 AS delta_log_p, l_tax + 0.01 AS jsd, l_discount AS kld"""
+_TEXT_COLUMN = f"{_TEXT} AS explanation_type"
+_KEYS = [
+    "l_orderkey AS document_idx", f"{_MODEL} AS model", f"{_ESTIMATOR} AS estimator", "'mixture' AS train_dataset",
+    "'train' AS train_split", "'mixture' AS test_dataset", "'test' AS test_split", _TEXT_COLUMN,
+]
+SCORING_COLUMNS = [
+    *_KEYS, "CASE l_returnflag WHEN 'A' THEN 'MSECoderProjUSimp' WHEN 'N' THEN 'MSECoder' ELSE 'KLTCoder' END AS linear_coder",
+    "l_extendedprice / 23457.0 AS pred_gain", "l_discount AS mse", "l_quantity AS l1", "l_tax * l_quantity AS l2",
+    "l_discount - 0.05 AS t0", "l_tax AS t1", "l_tax - l_discount AS t2",
+]
+VALIDATION_COLUMNS = [
+    *_KEYS, "l_extendedprice / 23457.0 - l_quantity / 10.0 AS delta_log_p", "l_tax + 0.01 AS jsd", "l_discount AS kld",
+]
 
 
-def sql_records(name: str, select: str) -> str:
-    return f"{name} AS (SELECT {select} FROM lineitem)"
+def sql_records(name: str, columns: list[str]) -> str:
+    return f"{name} AS (SELECT {', '.join(columns)} FROM lineitem)"
 
 
-SCORING_SQL = sql_records("scoring", SCORING_SELECT)
-VALIDATION_SQL = sql_records("validation", VALIDATION_SELECT)
+SCORING_SQL = sql_records("scoring", SCORING_COLUMNS)
+VALIDATION_SQL = sql_records("validation", VALIDATION_COLUMNS)
 
 
 _SETTING_KEYS = {"l_linenumber": range(1, 8), "l_orderkey % 4": range(4), "l_partkey % 4": range(4),
@@ -142,17 +146,16 @@ def _descriptions(spark: SparkSession) -> DataFrame:
     return table.select("s0", "s1", "s2", "s3", text.alias("explanation_type"))
 
 
-def _records(spark: SparkSession, sf: str, select: str) -> DataFrame:
+def _records(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
     keys = [f"CAST({key} AS INT) AS s{i}" for i, key in enumerate(_SETTING_KEYS)]
     lines = read_table(spark, sf, "lineitem").selectExpr("*", *keys)
     joined = lines.join(F.broadcast(_descriptions(spark)), ["s0", "s1", "s2", "s3"])
-    columns = select.replace(_TEXT + " AS explanation_type", "explanation_type")
-    return joined.select(F.expr(f"struct({columns})").alias("record")).select("record.*")
+    return joined.selectExpr(*["explanation_type" if c == _TEXT_COLUMN else c for c in columns])
 
 
 def scoring_records(spark: SparkSession, sf: str) -> DataFrame:
-    return _records(spark, sf, SCORING_SELECT).withColumn("t", F.array("t0", "t1", "t2")).drop("t0", "t1", "t2")
+    return _records(spark, sf, SCORING_COLUMNS).withColumn("t", F.array("t0", "t1", "t2")).drop("t0", "t1", "t2")
 
 
 def validation_records(spark: SparkSession, sf: str) -> DataFrame:
-    return _records(spark, sf, VALIDATION_SELECT)
+    return _records(spark, sf, VALIDATION_COLUMNS)
