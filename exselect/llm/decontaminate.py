@@ -65,44 +65,45 @@ def myers(item: str, masks: dict[str, int], text: str, most: int) -> tuple[int,
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.automaton, self.items = ahocorasick.Automaton(), {}
-        by_piece: dict[str, list[tuple[int, int]]] = {}
+        self.automaton, self.items = ahocorasick.Automaton(), []
+        ids: dict[str, dict[int, None]] = {}  # an id may have several texts, and a text several ids
         for item_id, text in items:
             item = folded(text).strip()
-            if not item:
-                continue
-            item = f" {item} "
+            if item:
+                ids.setdefault(f" {item} ", {})[item_id] = None
+        by_piece: dict[str, list[tuple[int, int]]] = {}
+        for number, (item, own) in enumerate(ids.items()):
             errors = budget(item, rate)
             masks: dict[str, int] = {}
             for k, c in enumerate(item):
                 masks[c] = masks.get(c, 0) | 1 << k
-            self.items[item_id] = (item, masks, errors)
+            self.items.append((item, masks, errors, tuple(own)))
             for offset, piece in pieces(item, errors):
-                by_piece.setdefault(piece, []).append((item_id, offset))
+                by_piece.setdefault(piece, []).append((number, offset))
         for piece, places in by_piece.items():
             self.automaton.add_word(piece, (len(piece), places))
         if by_piece:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, end) of the best place of each item in the folded text."""
+        """(item_id, distance, start, end) of the best place of each item_id in the folded text, whichever of its texts that is."""
         if not self.items:
             return []
         text = folded(text)
         windows: dict[int, list[list[int]]] = {}
         for end, (length, places) in self.automaton.iter(text):
-            for item_id, offset in places:
-                item, _, errors = self.items[item_id]
+            for number, offset in places:
+                item, _, errors, _ = self.items[number]
                 first = end + 1 - length - offset
                 a, b = max(0, first - errors), min(len(text), first + len(item) + errors)
-                own = windows.setdefault(item_id, [])
+                own = windows.setdefault(number, [])
                 if own and a <= own[-1][1] and b >= own[-1][0]:
                     own[-1] = [min(a, own[-1][0]), max(b, own[-1][1])]
                 else:
                     own.append([a, b])
-        out = []
-        for item_id, own in windows.items():
-            item, masks, errors = self.items[item_id]
+        out: dict[int, tuple[int, int, int]] = {}
+        for number, own in windows.items():
+            item, masks, errors, ids = self.items[number]
             best = None
             for a, b in own:
                 found = myers(item, masks, text[a:b], errors if best is None else best[0] - 1)
@@ -111,24 +112,23 @@ class Matcher:
                     if not found[0]:
                         break
             if best:
-                out.append((item_id, best[0], max(0, best[1] - len(item)), best[1]))
-        return out
+                place = (best[0], max(0, best[1] - len(item)), best[1])
+                for item_id in ids:
+                    out[item_id] = min(place, out.get(item_id, place))
+        return [(item_id, *place) for item_id, place in out.items()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, row: str = "row", text: str = "text",
-            block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(row, item_id, distance, start, end): each item that a text holds with at most rate x length edits, at its best place.
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
 
-    Texts and items are `folded` first, so case, punctuation and spacing cost no edits; start is exact up to the
-    edits. Items that are empty after folding, and null items, match nothing; null text is empty. Items with equal
-    text match each under its own id. The items go out in blocks of `block_chars` characters, one scan of docs each.
-    """
-    items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-                   .dropDuplicates(["item_id", "text"]), "benchmark")
-    chars = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // block_chars))
+
+def _chars(items: DataFrame) -> int:
+    return items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+
+
+def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int, rate: float) -> DataFrame:
+    """_HITS of docs(row, text). With several blocks row has to be unique: the texts of one id may lie in different blocks."""
     context = docs.sparkSession.sparkContext
-    docs = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
     out = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -145,7 +145,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, row
 
         found = docs.mapInArrow(run, _HITS)
         out = found if out is None else out.unionByName(found)
-    return out
+    if blocks == 1:
+        return out
+    best = out.groupBy("row", "item_id").agg(F.min(F.struct("distance", "start", "end")).alias("best"))
+    return best.select("row", "item_id", "best.*")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, row: str = "row", text: str = "text",
+            block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(row, item_id, distance, start, end): each item that a text holds with at most rate x length edits, at its best place.
+
+    Texts and items are `folded` first, so case, punctuation and spacing cost no edits; start is exact up to the
+    edits. Items that are empty after folding, and null items, match nothing; null text is empty. Items with equal
+    text match each under its own id; an id with several texts matches by any of them, at the least distance. The items
+    go out in blocks of `block_chars` characters, one scan of docs each; several blocks scan a stored copy with row numbers.
+    """
+    items = stored(_items(benchmark).dropDuplicates(["item_id", "text"]), "benchmark")
+    blocks = max(1, -(-_chars(items) // block_chars))
+    docs = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
+    if blocks == 1:
+        return _in_blocks(docs, items, 1, rate)
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+    hits = _in_blocks(docs.select(F.col("_row").alias("row"), "text"), items, blocks, rate).withColumnRenamed("row", "_row")
+    return docs.select("_row", "row").join(hits, "_row").select("row", "item_id", "distance", "start", "end")
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text: str = "text") -> DataFrame:
@@ -155,12 +177,13 @@ def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, tex
     """
     docs = docs.drop("benchmark_items")
     kind = "array<struct<item_id:bigint,distance:int>>"
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    items = _items(benchmark)
+    chars = _chars(items)
     if chars > BLOCK_CHARS:
+        items = stored(items.dropDuplicates(["item_id", "text"]), "benchmark")
         rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-        hits = matches(rows, benchmark, rate, "_row", text).groupBy("row").agg(
-            F.array_sort(F.collect_set(F.struct("item_id", "distance"))).alias("benchmark_items"))
+        hits = _in_blocks(rows.select(F.col("_row").alias("row"), F.col(text).alias("text")), items, -(-_chars(items) // BLOCK_CHARS), rate)
+        hits = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("item_id", "distance"))).alias("benchmark_items"))
         out = rows.join(hits, rows["_row"] == hits["row"], "left").drop("_row", "row")
         return out.withColumn("benchmark_items", F.coalesce("benchmark_items", F.array().cast(kind)))
     shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])  # at most BLOCK_CHARS

@@ -181,6 +181,22 @@ def test_decontamination_equals_plain_distances(spark):
         assert got[d] == want == in_blocks.get(d, {})
 
 
+@pytest.mark.parametrize("chars", [8 << 20, 30])
+def test_one_id_with_several_texts(spark, chars, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+    question, answer, other = "which river runs through the old town of the dukes", "the slow brown river that the dukes once dammed", "a third text of another suite altogether"
+    texts = [f"so {question} then", f"so {answer.replace('slow', 'slew')} then", f"{question} {answer}", f"x {other} y", "nothing of it", None]
+    want = [{7: 0}, {7: 1}, {7: 0}, {7: 0, 8: 0}, {}, {}]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for order in (1, -1):
+        suite = [(7, question), (7, answer), (7, answer), (7, other), (8, other)][::order]
+        benchmark = spark.createDataFrame(suite, "item_id long, text string").coalesce(1)
+        got = sorted((r.doc_id, [tuple(h) for h in r.benchmark_items]) for r in decontaminate.flagged(docs, benchmark).collect())
+        assert [g for _, g in got] == [sorted(w.items()) for w in want]
+        hits = decontaminate.matches(docs.union(docs), benchmark, row="doc_id", block_chars=chars).collect()  # each repeated row on its own
+        assert sorted((r.row, r.item_id, r.distance) for r in hits) == sorted((d, *h) for d, w in enumerate(want) for h in w.items() for _ in range(2))
+
+
 def _corpus(rng, n=300):
     docs, labels = [], []
     for i in range(n):
