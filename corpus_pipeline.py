@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), null_ids=True)
     return found.where(F.size("benchmark_items") == 0).select(*docs.columns)
 
 

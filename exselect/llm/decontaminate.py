@@ -118,8 +118,9 @@ class Matcher:
         return [(item_id, *place) for item_id, place in out.items()]
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+def _items(benchmark: DataFrame, null_ids: bool) -> DataFrame:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    return items if null_ids else items.where("item_id is not null")
 
 
 def _chars(items: DataFrame) -> int:
@@ -152,15 +153,16 @@ def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int, rate: float) -> D
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, row: str = "row", text: str = "text",
-            block_chars: int = BLOCK_CHARS) -> DataFrame:
+            block_chars: int = BLOCK_CHARS, null_ids: bool = False) -> DataFrame:
     """(row, item_id, distance, start, end): each item that a text holds with at most rate x length edits, at its best place.
 
     Texts and items are `folded` first, so case, punctuation and spacing cost no edits; start is exact up to the
-    edits. Items that are empty after folding, and null items, match nothing; null text is empty. Items with equal
+    edits. Items that are empty after folding, and null items, match nothing; null text is empty. Texts without an id
+    match nothing by default; with `null_ids` they match under a null item_id, all together. Items with equal
     text match each under its own id; an id with several texts matches by any of them, at the least distance. The items
     go out in blocks of `block_chars` characters, one scan of docs each; several blocks scan a stored copy with row numbers.
     """
-    items = stored(_items(benchmark).dropDuplicates(["item_id", "text"]), "benchmark")
+    items = stored(_items(benchmark, null_ids).dropDuplicates(["item_id", "text"]), "benchmark")
     blocks = max(1, -(-_chars(items) // block_chars))
     docs = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
     if blocks == 1:
@@ -170,14 +172,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, row
     return docs.select("_row", "row").join(hits, "_row").select("row", "item_id", "distance", "start", "end")
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text: str = "text") -> DataFrame:
+def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text: str = "text", null_ids: bool = False) -> DataFrame:
     """`docs` with `benchmark_items`: array of (item_id, distance), empty for clean rows. An own column of that name is replaced.
 
+    With `null_ids` benchmark texts without an id are matched too and listed first, under a null item_id.
     One block of items needs one narrow pass; several blocks are matched first and joined by row.
     """
     docs = docs.drop("benchmark_items")
     kind = "array<struct<item_id:bigint,distance:int>>"
-    items = _items(benchmark)
+    items = _items(benchmark, null_ids)
     chars = _chars(items)
     if chars > BLOCK_CHARS:
         items = stored(items.dropDuplicates(["item_id", "text"]), "benchmark")
@@ -196,7 +199,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, tex
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
-                hits = [[{"item_id": i, "distance": d} for i, d, _, _ in sorted(matcher.find(t))] for t in batch.column(at).to_pylist()]
+                hits = [[{"item_id": i, "distance": d} for i, d, _, _ in sorted(matcher.find(t), key=lambda h: (h[0] is not None, h))] for t in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, listed)], schema=pa.schema(
                     [*batch.schema, pa.field("benchmark_items", listed)]))
 
@@ -205,7 +208,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, tex
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), null_ids=True)
     return out.select(
         "doc_id", F.transform("benchmark_items", lambda h: h["item_id"]).alias("item_ids"),
         F.array_min(F.transform("benchmark_items", lambda h: h["distance"])).alias("least_distance"),

@@ -197,6 +197,19 @@ def test_one_id_with_several_texts(spark, chars, monkeypatch):
         assert sorted((r.row, r.item_id, r.distance) for r in hits) == sorted((d, *h) for d, w in enumerate(want) for h in w.items() for _ in range(2))
 
 
+@pytest.mark.parametrize("chars", [8 << 20, 30])
+def test_benchmark_texts_without_id(spark, tmp_path, chars, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+    nameless, named = "a passage of a suite that numbers nothing", "the seventh question of a numbered suite"
+    spark.createDataFrame([(1, f"x {nameless} y {named}"), (2, f"{nameless}"), (3, "clean")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    benchmark = [(None, nameless), (7, named), (None, "a second one of them"), (8, None), (None, None), (None, "!")]
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(tuple(r) for r in decontaminate.op10_decontaminate(spark, str(tmp_path)).collect())
+    assert got == [(1, [None, 7], 0, True), (2, [None], 0, True), (3, [], None, False)]
+    left = corpus_pipeline.decontaminate(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert [r.doc_id for r in left.collect()] == [3]
+
+
 def _corpus(rng, n=300):
     docs, labels = [], []
     for i in range(n):
