@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper"]
 BASE = KINDS[:3]
 
 #: Candidates that are no secrets whatever their entropy: identifiers, dates, words joined by punctuation, alphabets, dummies.
@@ -36,12 +38,28 @@ class CharacterClass:
     characters: str
     pattern: str
     threshold: float
+    #: Patterns that a run has to hold.
+    holds: tuple[str, ...] = ("[0-9]", "[A-Za-z]")
 
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 HEX_CLASS = CharacterClass("entropy_hex", _DIGITS + "abcdefABCDEF", "0-9a-fA-F", 3.0)
 BASE64_CLASS = CharacterClass("entropy_base64", _DIGITS + _LOWER + _LOWER.upper() + "+/_=-", "A-Za-z0-9+/_=-", 4.0)
 
+#: For keys from 16 characters: thresholds that at most about 0.4 % of the windows of random keys of 16, 32, 32 and 62 symbols miss.
+#: "=" only pads, so it parts names from values. Mixed case counts like a digit where it is not that of words put together.
+KEY_WINDOW = 16
+KEY_CLASSES = (
+    CharacterClass("entropy_hex", HEX_CLASS.characters, HEX_CLASS.pattern, 2.5),
+    CharacterClass("entropy_lower", _DIGITS + _LOWER, "0-9a-z", 3.0),
+    CharacterClass("entropy_upper", _DIGITS + _LOWER.upper(), "0-9A-Z", 3.0),
+    CharacterClass("entropy_base64", _DIGITS + _LOWER + _LOWER.upper() + "+/_-", "A-Za-z0-9+/_-", 3.25,
+                   ("[A-Za-z]", "[0-9]|[a-z][A-Z]{2}|[a-z][A-Z][a-z][A-Z]")),
+)
+#: The patterns of ALLOWED that fit whole runs only, and the others as pieces of fixed length.
+ALLOWED_RUNS = ALLOWED[:3]
+DUMMIES = {"(?i)example": 7, "(?i)dummy": 5, "(?i)placeholder": 11, "(?i)x{6}": 6, "0{8}": 8, "(?i)abcdefghijkl": 12, "(?i)0123456789abcdef": 16}
+
 
 def _none() -> Column:
     return F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string>>")
@@ -136,7 +154,7 @@ def high_entropy(value: Column, start: Column, of: CharacterClass, window: int)
 
 
 def entropy_spans(text: Column, of: CharacterClass, window: int, allow: list[str]) -> Column:
-    """Spans in the maximal runs of the class that hold a letter and a digit, have `window` characters and are not allowed."""
+    """Spans in the maximal runs of the class that hold what it asks for, have `window` characters and are not allowed."""
     pattern = f"(?<![{of.pattern}])[{of.pattern}]{{{window},}}"
     runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(runs)).alias("gap"), runs.alias("run"))
@@ -148,24 +166,34 @@ def entropy_spans(text: Column, of: CharacterClass, window: int, allow: list[str
 
     empty = F.array().cast("array<struct<start:int,run:string>>")
     placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), place, lambda acc: acc["out"])
-    candidates = F.filter(placed, lambda c: c["run"].rlike("[0-9]") & c["run"].rlike("[A-Za-z]") & ~_allowed(c["run"], allow))
+    candidates = F.filter(placed, lambda c: reduce(and_, [c["run"].rlike(h) for h in of.holds]) & ~_allowed(c["run"], allow))
     spans = F.flatten(F.transform(candidates, lambda c: high_entropy(c["run"], c["start"], of, window)))
     return F.when(text.rlike(pattern), spans).otherwise(_none())
 
 
+def blanked(text: Column, dummies: dict[str, int]) -> Column:
+    """`text` with blanks for each match of the patterns, which have the given numbers of characters."""
+    out = text
+    for pattern, size in dummies.items():
+        out = F.regexp_replace(out, pattern, " " * size)
+    return F.when(text.rlike("|".join(f"({p})" for p in dummies)), out).otherwise(text)
+
+
 def scan(docs: DataFrame, text: str = "text", window: int = 24, allow: list[str] | None = None,
-         classes: tuple[CharacterClass, ...] = (HEX_CLASS, BASE64_CLASS)) -> DataFrame:
+         classes: tuple[CharacterClass, ...] = (HEX_CLASS, BASE64_CLASS), dummies: dict[str, int] | None = None) -> DataFrame:
     """Adds `secrets`: array of (start, kind_no, end, kind), by start and then kind. An own `secrets` column is replaced.
 
     Null or empty text has none; repeated rows are scanned each. Kinds may overlap. `allow` (patterns over a whole
-    candidate) only silences the entropy kinds; matches of the base kinds always stay.
+    candidate) only silences the entropy kinds; matches of the base kinds always stay. `dummies` (pattern: characters)
+    part the runs of the entropy kinds and silence nothing beside themselves.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     allow = ALLOWED if allow is None else allow
+    docs = docs.drop("secrets").withColumn("_runs", blanked(body, dummies) if dummies else body)
     spans = F.concat(
         found(body, ASSIGN, "assign", 2, 6), found(body, ACCESS, "access"), found(body, HEX, "hex"),
-        *[entropy_spans(body, of, window, allow) for of in classes])
-    return docs.drop("secrets").withColumn("secrets", F.array_sort(spans))
+        *[entropy_spans(F.col("_runs"), of, window, allow) for of in classes])
+    return docs.withColumn("secrets", F.array_sort(spans)).drop("_runs")
 
 
 def joined(spans: Column) -> Column:
@@ -173,7 +201,8 @@ def joined(spans: Column) -> Column:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found_in = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found_in = scan(docs, window=KEY_WINDOW, allow=ALLOWED_RUNS, classes=KEY_CLASSES, dummies=DUMMIES)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -111,3 +111,50 @@ def test_secrets_equal_plain_loops(spark):
         assert [tuple(s) for s in row.secrets] == _spans(row.text or ""), row.text
     assert secrets.scan(df.limit(0)).count() == 0
     assert "Python" not in secrets.scan(df.select("doc_id", F.col("text")))._jdf.queryExecution().toString()
+
+
+def _key_spans(text):
+    blank, out = text, []
+    for pattern, size in secrets.DUMMIES.items():
+        blank = re.sub(pattern, " " * size, blank)
+    for of in secrets.KEY_CLASSES:
+        for m in re.finditer(f"[{of.pattern}]{{16,}}", blank):
+            run = m.group()
+            if not all(re.search(h, run) for h in of.holds) or any(re.search(a, run) for a in secrets.ALLOWED_RUNS):
+                continue
+            covered = [False] * len(run)
+            for i in range(len(run) - 15):
+                window = run[i:i + 16]
+                if -sum(window.count(c) / 16 * math.log2(window.count(c) / 16) for c in set(window)) >= of.threshold - 1e-10:
+                    covered[i:i + 16] = [True] * 16
+            out += [(m.start() + p.start(), secrets.KINDS.index(of.kind), m.start() + p.end(), of.kind)
+                    for p in re.finditer("1+", "".join("01"[c] for c in covered))]
+    return out
+
+
+def test_keys_of_every_alphabet_are_found(spark, tmp_path):
+    rng = random.Random(8)
+    alphabets = {"entropy_hex": "0123456789abcdef", "entropy_lower": string.ascii_lowercase + string.digits,
+                 "entropy_upper": string.ascii_uppercase + "234567", "entropy_base64": string.ascii_letters + string.digits + "+/"}
+    rows, keys = [], []
+    for kind, of in alphabets.items():
+        for size in (20, 24, 32):
+            for _ in range(25):
+                keys.append((kind, "".join(rng.choice(of) for _ in range(size))))
+                rows.append(f"é {keys[-1][1]} end")
+    key = "x7Gq" + "".join(rng.choice(alphabets["entropy_base64"]) for _ in range(36))
+    block = "".join(rng.choice(alphabets["entropy_base64"]) for _ in range(3000))
+    long = [f"EXAMPLE_KEY={key}==", f"{block[:1500]}Dummy{block[1500:]}"]
+    none = ["3f2504e0-4f89-11d3-9a0c-0305e82c3301", "x" * 40 + "1", "some-words-put-together-2024", "0123456789ABCDEF" * 2, "AnExtraordinarilyLongWord",
+            "2024-01-31T23-59-59", "", None]
+    rows += long + none
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in secrets.op3_secrets(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(rows):
+        base = [s for s in _spans(text or "") if s[1] < 3]
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + _key_spans(text or ""))), text
+    missed = [k for i, k in enumerate(keys) if k[0] not in got[i]]
+    assert len(missed) <= 0.03 * len(keys), missed
+    n = len(keys)
+    assert "entropy_base64:12:52" in got[n] and f"entropy_base64:0:1500,entropy_base64:1505:{len(long[1])}" in got[n + 1]
+    assert not any(got[n + 2 + i] for i in range(len(none)))
