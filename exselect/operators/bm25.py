@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exselect.operators.scoring import (
@@ -255,6 +255,14 @@ def bm25(
     return scores
 
 
+def _rounded(score: Column, digits: int | None) -> Column:
+    """Half to even on the scaled value, as numpy rounds in the scan."""
+    if digits is None:
+        return score
+    scale = F.lit(10.0 ** abs(digits))
+    return F.rint(score * scale) / scale if digits >= 0 else F.rint(score / scale) * scale
+
+
 def bm25_top(
     queries: DataFrame,
     corpus: DataFrame,
@@ -278,8 +286,8 @@ def bm25_top(
     if found is not None:
         return rank_candidates(found, k)
     scores = densify(bm25_join(queries, corpus, k1, b, variant), queries, corpus)
-    score = F.col("score") if digits is None else F.round("score", digits)
-    key = {"most_influential": -F.abs(score), "least_influential": F.abs(score)}
+    score = _rounded(F.col("score"), digits)
+    key = {"most_helpful": score, "most_harmful": -score, "most_influential": -F.abs(score), "least_influential": F.abs(score)}
     both = F.explode(F.array(*[
         F.struct(F.lit(n).alias("sort_type"), key[n].alias("sort_key")) for n in names
     ]))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from exselect.operators import bm25, curvature, scoring
 
@@ -203,6 +204,23 @@ def test_bm25_top_counts_absent_pairs(texts, small_broadcast, limit):
         assert picks(found, order) == brute(bm25_by_loop(1.0), KEYS[order], 4)
 
 
+@pytest.mark.parametrize("limit", [None, 100, 250])
+def test_bm25_top_knows_every_order_on_both_sides_of_the_limit(texts, small_broadcast, limit):
+    if limit:
+        small_broadcast(limit)
+    found = bm25.bm25_top(*texts, 4, list(KEYS), digits=9).cache()
+    for order in ("most_helpful", "most_harmful", "most_influential", "least_influential"):
+        assert picks(found, order) == brute(bm25_by_loop(1.0), KEYS[order], 4)
+    assert bm25.bm25_top(texts[0].limit(0), texts[1], 4, list(KEYS)).count() == 0
+
+
+@pytest.mark.parametrize("digits", [0, 2, -1])
+def test_bm25_rounds_as_the_scan_does(spark, digits):
+    values = [0.125, 0.375, 0.5, 1.5, 2.5, 25.0, 35.0, -0.125, 0.3]
+    rounded = spark.createDataFrame([(v,) for v in values], "score double").select(bm25._rounded(F.col("score"), digits))
+    assert [r[0] for r in rounded.collect()] == np.round(values, digits).tolist()
+
+
 def test_term_tables(texts):
     df = {r["term"]: r["df"] for r in bm25.document_frequency(texts[1]).collect()}
     assert df == {"a": 3, "b": 3, "c": 3, "d": 2, "e": 2, "f": 2, "g": 1}
