@@ -10,7 +10,10 @@ are compared in blocks, spread over tasks; what leaves a task is links that join
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -23,15 +26,43 @@ from exselect.llm.exact_dedup import filed
 from exselect.llm.tables import parts, stored
 from exselect.session import small_side
 
-TREES, OPENING, DEPTH = 16, 4, 8
+DEPTH = 8
+LEAST_TREES, MOST_TREES, DEEPEST = 16, 32, 4
+MISS = 8e-6  # most of the pairs at the threshold that may share no opening
+ERRORS = 4.1  # standard errors of the estimate from trees x DEPTH values
 BLOCK = 256
-MARGIN = 0.13  # over four standard errors of the estimate from TREES x DEPTH values
 WORDS_KEPT = 500_000
 
-_MULTIPLIERS = np.random.default_rng(7).integers(0, 2**63, (2, TREES * DEPTH), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+@dataclass(frozen=True)
+class Forest:
+    """Number of sorted orders, length of an opening, and how far an estimate may lie below the threshold."""
+
+    trees: int
+    opening: int
+    margin: float
+
+
+@cache
+def forest_for(percent: int) -> Forest:
+    """The deepest opening that keeps the share of missed pairs at the threshold below MISS with MOST_TREES orders at most,
+    and as many orders as that takes; an opening of one value may take more."""
+    share = percent / 100
+    for opening in range(DEEPEST, 0, -1):
+        part = min(1 - 1e-9, max(1e-2, share**opening))
+        trees = max(LEAST_TREES, math.ceil(math.log(MISS) / math.log1p(-part)))
+        if trees <= MOST_TREES:
+            break
+    return Forest(trees, opening, ERRORS * math.sqrt(share * (1 - share) / (trees * DEPTH)))
+
+
+@cache
+def _multipliers(trees: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(0, 2**63, (2, trees * DEPTH), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
@@ -64,11 +95,12 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """Smallest value of each of TREES x DEPTH hash functions."""
-    best = np.full(TREES * DEPTH, 2**64 - 1, np.uint64)
+def signature(values: np.ndarray, trees: int) -> np.ndarray:
+    """Smallest value of each of trees x DEPTH hash functions."""
+    multipliers = _multipliers(trees)
+    best = np.full(trees * DEPTH, 2**64 - 1, np.uint64)
     for start in range(0, len(values), 4096):
-        part = values[start:start + 4096, None] * _MULTIPLIERS[0] + _MULTIPLIERS[1]
+        part = values[start:start + 4096, None] * multipliers[0] + multipliers[1]
         best = np.minimum(best, (part ^ (part >> np.uint64(32))).min(axis=0))
     return (best >> np.uint64(32)).astype(np.uint32)
 
@@ -76,7 +108,7 @@ def signature(values: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, row long, n_shingles long, class binary, signature binary"
 
 
-def signed(docs: DataFrame, width: int) -> DataFrame:
+def signed(docs: DataFrame, width: int, trees: int) -> DataFrame:
     """(doc_id, row, n_shingles, class, signature) per document; row tells rows apart that differ in id or text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,7 +118,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                     values = shingles(text, width)
                     sizes.append(len(values))
                     classes.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
-                    signatures.append(signature(values).tobytes())
+                    signatures.append(signature(values, trees).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())],
                     names=["doc_id", "row", "n_shingles", "class", "signature"])
@@ -94,43 +126,43 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, _SIGNED)
 
 
-def _regions(values: np.ndarray) -> np.ndarray:
-    """Hash of the opening of each order: (rows, TREES)."""
-    region = np.arange(TREES, dtype=np.uint64)[None, :] * _MIX[2] + _MIX[1]
-    for d in range(OPENING):
+def _regions(values: np.ndarray, opening: int) -> np.ndarray:
+    """Hash of the opening of each order: (rows, trees)."""
+    region = np.arange(values.shape[1], dtype=np.uint64)[None, :] * _MIX[2] + _MIX[1]
+    for d in range(opening):
         region = _stir(region * _MIX[0] + values[:, :, d])
     return region
 
 
-def _values(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), TREES, DEPTH)
+def _values(column: pa.Array, trees: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), trees, DEPTH)
 
 
-def entries(classes: DataFrame) -> DataFrame:
+def entries(classes: DataFrame, of: Forest) -> DataFrame:
     """Each class once per tree: (region, rest, id, n): hash of the opening and the values that order the region."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
-                values = _values(batch.column(2))
-                rest = values[:, :, OPENING:].astype(">u4").reshape(-1, DEPTH - OPENING)
+                values = _values(batch.column(2), of.trees)
+                rest = values[:, :, of.opening:].astype(">u4").reshape(-1, DEPTH - of.opening)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_regions(values).astype(np.int64).ravel()), pa.array([r.tobytes() for r in rest], pa.binary()),
-                     pa.array(np.repeat(np.array(batch.column(0)), TREES)), pa.array(np.repeat(np.array(batch.column(1)), TREES))],
+                    [pa.array(_regions(values, of.opening).astype(np.int64).ravel()), pa.array([r.tobytes() for r in rest], pa.binary()),
+                     pa.array(np.repeat(np.array(batch.column(0)), of.trees)), pa.array(np.repeat(np.array(batch.column(1)), of.trees))],
                     names=["region", "rest", "id", "n"])
 
     return classes.select("id", "n_shingles", "signature").mapInArrow(run, "region long, rest binary, id long, n long")
 
 
-def compact(classes: DataFrame) -> DataFrame:
+def compact(classes: DataFrame, of: Forest) -> DataFrame:
     """(id, short): per id the low byte of each signature value and four bytes of each opening."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
-                values = _values(batch.column(1))
+                values = _values(batch.column(1), of.trees)
                 low = (values & 0xFF).astype(np.uint8).reshape(len(values), -1)
-                opening = np.ascontiguousarray(_regions(values).astype("<u4")).view(np.uint8)
+                opening = np.ascontiguousarray(_regions(values, of.opening).astype("<u4")).view(np.uint8)
                 short = [row.tobytes() for row in np.concatenate([low, opening], axis=1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["id", "short"])
 
@@ -169,17 +201,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
 def unsettled(forest: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(region, x, y, id, component): per pair of blocks of a region, the documents whose signature allows a link to
     another component there. Two documents are looked at in the first order in which they share a region only."""
-    spark = forest.sparkSession
+    spark, of = forest.sparkSession, forest_for(percent)
     named = forest.select("region", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"))
     mixed = mixed.where("x != y").select("region", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = stored(named.join(mixed, "region"), "near-mixed")
-    rows = rows.join(compact(classes.join(rows.select("id").distinct(), "id", "left_semi")), "id")
+    rows = rows.join(compact(classes.join(rows.select("id").distinct(), "id", "left_semi"), of), "id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.select("region", "id", "n", "component", "short", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    least = (percent / 100 - MARGIN) * TREES * DEPTH
-    size = TREES * DEPTH
+    size = of.trees * DEPTH
+    least = (percent / 100 - of.margin) * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -316,11 +348,12 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     Of a component the row with the smallest (id, row) stays, null ids last.
     """
-    rows = stored(signed(docs, width), "near-signed")
+    of = forest_for(percent)
+    rows = stored(signed(docs, width, of.trees), "near-signed")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "n_shingles", "signature")).alias("one")
     classes = stored(rows.where("n_shingles > 0").groupBy("class").agg(one).select(
         F.monotonically_increasing_id().alias("id"), "class", "one.no_id", "one.doc_id", "one.row", "one.n_shingles", "one.signature"), "near-classes")
-    forest = entries(classes)
+    forest = entries(classes, of)
     pairs = stored(neighbours(forest, percent), "near-pairs")
     sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), classes, docs, width)
     links = stored(confirmed(pairs, sets, percent), "near-links")

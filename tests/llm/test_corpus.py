@@ -111,6 +111,28 @@ def test_near_groups_equal_brute_force(spark, block, monkeypatch):
     assert near_dedup.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("percent", [40, 60, 70, 80, 85, 95, 100])
+def test_forest_keeps_its_bound_at_every_similarity(percent):
+    of, share = near_dedup.forest_for(percent), percent / 100
+    assert (1 - share**of.opening) ** of.trees <= 8e-6
+    assert of.margin >= 4 * math.sqrt(share * (1 - share) / (of.trees * near_dedup.DEPTH))
+    assert 1 <= of.opening < near_dedup.DEPTH
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_near_groups_at_other_similarities(spark, percent):
+    rng, rows = random.Random(9), []
+    for i in range(8):
+        base = _prose(rng, 60).split()
+        for k in range(6):
+            words = list(base)
+            for _ in range(rng.randrange(0, 8)):
+                words[rng.randrange(len(words))] = _prose(rng, 1)
+            rows.append((100 * i + k, " ".join(words)))
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=3, percent=percent)
+    assert sorted(map(tuple, got.collect())) == _components(rows, 3, percent)
+
+
 def test_elias_fano_successor():
     rng = np.random.default_rng(1)
     for _ in range(60):
