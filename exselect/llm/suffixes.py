@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDEST = 1024  # alphabets beyond this are sorted by doubling: induced sorting walks the buckets one by one
+WIDEST = 1024  # up to this many symbols buckets are walked in waves of arrays, beyond it suffix by suffix
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -22,7 +22,7 @@ def _place(sa: np.ndarray, s: np.ndarray, items: np.ndarray, edge: np.ndarray, s
     if not len(items):
         return
     symbols = s[items]
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")  # a radix sort: linear
     symbols, items = symbols[order], items[order]
     starts = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
     counts = np.diff(np.append(starts, len(symbols)))
@@ -81,32 +81,43 @@ def _same_as_before(s: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     return same
 
 
-def doubled(s: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling."""
-    rank, step, n = s.astype(np.int64), 1, len(s)
-    while True:
-        key = rank << 32
-        key[:n - step] |= rank[step:] + 1
-        order = np.argsort(key)
-        key = key[order]
-        new = np.cumsum(np.append(0, key[1:] != key[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or step >= n:
-            return order
-        step = min(2 * step, n)
+def induce_each(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """As `induce`, one suffix at a time: for alphabets with few suffixes per bucket."""
+    counts = np.bincount(s, minlength=size)
+    ends = np.cumsum(counts)
+    tail, head = ends.tolist(), (ends - counts).tolist()
+    symbols, types = s.tolist(), small.tolist()
+    sa = [-1] * len(symbols)
+    for i in lms[::-1].tolist():
+        c = symbols[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    for k in range(len(sa)):
+        j = sa[k] - 1
+        if j >= 0 and not types[j]:
+            c = symbols[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(len(sa) - 1, -1, -1):
+        j = sa[k] - 1
+        if j >= 0 and types[j]:
+            c = symbols[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    sa[0] = len(sa) - 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of integers below `size`; the last one must be 0 and the only 0."""
     if len(s) == 1:
         return np.zeros(1, np.int64)
-    if size > WIDEST:
-        return doubled(s)
+    sort = induce if size <= WIDEST else induce_each
     small = classify(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     # Leftmost-smaller substrings in order, named, and the string of their names sorted in turn.
-    sa = induce(s, small, lms, size)
+    sa = sort(s, small, lms, size)
     is_lms = np.zeros(len(s), bool)
     is_lms[lms] = True
     ordered = sa[is_lms[sa]]
@@ -119,7 +130,7 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     count = int(names_in_order[-1]) + 1
     if count < len(lms):
         ordered = lms[suffix_array(names, count)]
-    return induce(s, small, ordered, size)
+    return sort(s, small, ordered, size)
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

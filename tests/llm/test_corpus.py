@@ -43,7 +43,7 @@ def test_repeated_rows_leave_one(spark):
 def test_suffix_arrays(monkeypatch):
     rng = random.Random(1)
     for k in range(150):
-        monkeypatch.setattr(suffixes, "WIDEST", rng.choice([1024, 10**9, 4]))
+        monkeypatch.setattr(suffixes, "WIDEST", rng.choice([1024, 10**9, 4, 1]))
         size = rng.choice([1, 2, 3, 200])
         s = [rng.randrange(1, size + 1) for _ in range(rng.randrange(1, 150))] + [0]
         assert suffixes.suffix_array(np.array(s), max(2, size + 1)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
@@ -60,9 +60,10 @@ def _repeats(rows, length):
         yield (doc_id, len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
 
 
-@pytest.mark.parametrize("hot", [2048, 15])
-def test_repeats_equal_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot,frequent", [(2048, 4096), (15, 4096), (2, 3)])
+def test_repeats_equal_brute_force(spark, hot, frequent, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_LEAST", hot)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
     rng = random.Random(2)
     base = [_prose(rng) + " é" for _ in range(5)]
     rows = [(None, None), (1, ""), (2, "x" * 600), (3, "x" * 90)]
@@ -73,6 +74,25 @@ def test_repeats_equal_brute_force(spark, hot, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, _repeats(rows, 60)))
 
 
+def test_a_passage_in_every_text_costs_no_further_scan(spark, monkeypatch):
+    """The registered settings, and hot grams at every level: texts are cut into anchors once, and only hot segments again."""
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 10)
+    scans = {"anchors": 0, "occurrences": 0, "parted": 0}
+    for name in scans:
+        def counted(*args, name=name, real=getattr(suffix_dedup, name)):
+            scans[name] += 1
+            return real(*args)
+
+        monkeypatch.setattr(suffix_dedup, name, counted)
+    rng = random.Random(8)
+    passage = _prose(rng, 90)[:480]
+    rows = [(i, _prose(rng, rng.randrange(60)) + passage[rng.choice([0, 0, 3]):480 - rng.choice([0, 0, 7])] + _prose(rng, rng.randrange(60))) for i in range(150)]
+    got = suffix_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, _repeats(rows, 200)))
+    assert scans["anchors"] == scans["occurrences"] == 1 and 1 <= scans["parted"] < len(suffix_dedup.level_grams(200, 48))
+
+
 def _components(rows, width, percent):
     sets = []
     for _, t in rows:
