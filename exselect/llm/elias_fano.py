@@ -6,12 +6,16 @@ import tempfile
 
 import numpy as np
 
-_ZEROS = 8 - np.array([bin(b).count("1") for b in range(256)], np.uint8)
-#: Place of the k-th zero (from the low end) of a byte.
-_ZERO_AT = np.zeros((256, 8), np.uint8)
+_ONES = np.array([bin(b).count("1") for b in range(256)], np.int64)
+#: Place of the k-th one (from the low end) of a byte.
+_ONE_AT = np.zeros((256, 8), np.int64)
 for _b in range(256):
-    _places = [i for i in range(8) if not _b >> i & 1]
-    _ZERO_AT[_b, :len(_places)] = _places
+    _places = [i for i in range(8) if _b >> i & 1]
+    _ONE_AT[_b, :len(_places)] = _places
+
+WIDEST_LOW = 56
+CHUNK = 1 << 16
+_U = np.uint64
 
 
 class Mapped:
@@ -33,61 +37,95 @@ class Mapped:
 
 
 class EliasFano:
-    """A non-decreasing sequence below `top`: low bytes as they are, high parts in unary with a directory of zeros."""
-
-    def __init__(self, values: np.ndarray, top: int, store: Mapped):
-        n = len(values)
-        bits = max(0, (top // max(1, n)).bit_length() - 1)
-        kind = np.uint32 if bits >= 32 else np.uint16 if bits >= 16 else np.uint8 if bits >= 8 else None
-        self.n, self.shift = n, 0 if kind is None else 8 * np.dtype(kind).itemsize
-        values = values.astype(np.uint64)
-        high = values >> np.uint64(self.shift)
-        size = n + (top >> self.shift) + 2
-        unary = np.zeros(-(-size // 64) * 64, np.uint8)
-        unary[(high + np.arange(n, dtype=np.uint64)).astype(np.int64)] = 1
-        packed = np.packbits(unary, bitorder="little").reshape(-1, 8)
-        before = np.cumsum(_ZEROS[packed].sum(axis=1, dtype=np.int64))
-        self.low = None if kind is None else store.add((values & np.uint64((1 << self.shift) - 1)).astype(kind))
-        self.unary, self.zeros = store.add(packed), store.add(np.append(0, before).astype(np.uint32 if size < 2**32 else np.int64))
-
-    def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero."""
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        rest = k - self.zeros[word]
-        octets = self.unary[word]
-        seen = np.cumsum(_ZEROS[octets], axis=1, dtype=np.int64)
+    """A non-decreasing sequence: low bits packed, high parts in unary, with the number of ones before each 64 bits."""
+
+    def __init__(self, values: np.ndarray, store: Mapped):
+        values = np.asarray(values, np.uint64)
+        n = self.n = len(values)
+        top = int(values[-1]) if n else 0
+        self.bits = min(WIDEST_LOW, max(0, (top // max(1, n)).bit_length() - 1))
+        self.highest = top >> self.bits
+        unary = np.zeros(-(-(n + self.highest + 1) // 64) * 8, np.uint8)
+        low = [np.zeros(0, np.uint8)]
+        for start in range(0, n, CHUNK):
+            part = values[start:start + CHUNK]
+            place = (part >> _U(self.bits)).astype(np.int64) + np.arange(start, start + len(part))
+            np.bitwise_or.at(unary, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
+            if self.bits:
+                flags = (part[:, None] >> np.arange(self.bits, dtype=np.uint64)) & _U(1)
+                low.append(np.packbits(flags.astype(np.uint8).ravel(), bitorder="little"))
+        self.low = store.add(np.concatenate([*low, np.zeros(8, np.uint8)]))
+        words = unary.reshape(-1, 8)
+        kind = np.uint32 if 8 * len(unary) < 2**32 else np.int64
+        ones = np.append(0, np.cumsum(_ONES[words].sum(axis=1)))
+        self.unary = store.add(words)
+        self.ones = store.add(ones.astype(kind))
+        self.zeros = store.add((64 * np.arange(len(ones)) - ones).astype(kind))
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """Place of the k-th one, or zero, of the unary part."""
+        before = self.ones if one else self.zeros
+        word = np.searchsorted(before, k, "right") - 1
+        rest = k - before[word].astype(np.int64)
+        octets = self.unary[word] if one else ~self.unary[word]
+        seen = np.cumsum(_ONES[octets], axis=1)
         octet = (seen <= rest[:, None]).sum(axis=1)
         row = np.arange(len(k))
         rest = rest - np.where(octet > 0, seen[row, np.maximum(octet - 1, 0)], 0)
-        return word * 64 + octet * 8 + _ZERO_AT[octets[row, octet], rest]
-
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value that is not below x, for each x below `top`."""
+        return word * 64 + octet * 8 + _ONE_AT[octets[row, octet], rest]
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """Values at the given places."""
+        i = np.asarray(i, np.int64)
+        high = (self._select(i, True) - i).astype(np.uint64) << _U(self.bits)
+        if not self.bits:
+            return high
+        at = i * self.bits
+        byte, out = at >> 3, np.zeros(len(i), np.uint64)
+        for k in range((self.bits + 14) // 8):
+            out |= self.low[byte + k].astype(np.uint64) << _U(8 * k)
+        return high | ((out >> (at & 7).astype(np.uint64)) & _U((1 << self.bits) - 1))
+
+    def successor(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """First place in [begin, end) whose value is not below x, else `end`.
+
+        Values with the high part of x stand between two zeros of the unary part; there it is looked up by halving.
+        """
         x = x.astype(np.uint64)
-        high = (x >> np.uint64(self.shift)).astype(np.int64)
-        end = self._zero(high) - high
-        begin = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        if self.low is None:
-            return begin
-        low = (x & np.uint64((1 << self.shift) - 1)).astype(self.low.dtype)
-        open_to = np.flatnonzero(begin < end)
-        while len(open_to):
-            open_to = open_to[self.low[begin[open_to]] < low[open_to]]
-            begin[open_to] += 1
-            open_to = open_to[begin[open_to] < end[open_to]]
-        return begin
-
-    def has(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the successor, whether it is x itself). The value after an index in its bucket is told by the next one."""
-        at = self.successor(x)
-        return at, self.successor(x + np.uint64(1)) > at
+        high = (x >> _U(self.bits)).astype(np.int64)
+        beyond = high > self.highest
+        high = np.minimum(high, self.highest)
+        # Zeros close the values of each high part; the last high part is closed by the end of the sequence.
+        first = np.zeros(len(x), np.int64)
+        later = np.flatnonzero(high > 0)
+        first[later] = self._select(high[later] - 1, False) - (high[later] - 1)
+        last = np.full(len(x), self.n, np.int64)
+        inner = np.flatnonzero(high < self.highest)
+        last[inner] = self._select(high[inner], False) - high[inner]
+        low, top = np.clip(first, begin, end), np.clip(last, begin, end)
+        low[beyond] = top[beyond] = end[beyond]
+        while True:
+            at = np.flatnonzero(low < top)
+            if not len(at):
+                return low
+            middle = (low[at] + top[at]) >> 1
+            less = self.access(middle) < x[at]
+            low[at[less]] = middle[less] + 1
+            top[at[~less]] = middle[~less]
+
+    def find(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the successor of x in [begin, end), whether its value is x)."""
+        at = self.successor(x, begin, end)
+        there = at < end
+        there[there] = self.access(at[there]) == x[there]
+        return at, there
 
 
 class Trie:
     """Two levels: contexts with a backoff, and per context its followers with a probability, both quantised logarithms.
 
-    A follower is stored relative to its context, as context index x width + follower, so that one successor search
-    finds it; the pointer of each context to its first follower is monotone as well.
+    A monotone pointer leads from each context to its followers. They are stored on top of the last value of the context
+    before, which makes one monotone sequence of all, and are looked up relative to that value within the pointers' range.
     """
 
     STEP = 1 / 4096
@@ -95,13 +133,13 @@ class Trie:
     def __init__(self, context: np.ndarray, follower: np.ndarray, log_p: np.ndarray, backoff: np.ndarray):
         """Pairs in order of (context, follower), without repeats; log10 of each pair's probability, of its context's backoff."""
         store = Mapped()
-        self.width = int(follower.max(initial=0)) + 1
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
-        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
-        self.top = int(context.max(initial=0)) + 1
-        self.contexts = EliasFano(context[first], self.top + 1, store)
-        self.pointers = EliasFano(first, len(context) + 1, store)
-        self.followers = EliasFano(own.astype(np.uint64) * np.uint64(self.width) + follower.astype(np.uint64), len(first) * self.width + 1, store)
+        sizes = np.diff(np.append(first, len(context)))
+        last = follower[first + sizes - 1].astype(np.uint64)
+        under = np.cumsum(last) - last
+        self.contexts = EliasFano(context[first], store)
+        self.pointers = EliasFano(np.append(first, len(context)), store)
+        self.followers = EliasFano(follower.astype(np.uint64) + np.repeat(under, sizes), store)
         self.p, self.backoff = store.add(self._coded(log_p)), store.add(self._coded(backoff[first]))
 
     def _coded(self, log: np.ndarray) -> np.ndarray:
@@ -109,14 +147,16 @@ class Trie:
 
     def find(self, context: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known pair, log10 probability of known pairs, log10 backoff of contexts; 0 for unknown ones)."""
-        known, log_p, backoff = np.zeros(len(context), bool), np.zeros(len(context)), np.zeros(len(context))
-        inside = np.flatnonzero(context < self.top) if self.contexts.n else np.zeros(0, np.int64)
-        at, there = self.contexts.has(context[inside].astype(np.uint64))
-        inside, at = inside[there], at[there]
+        n = len(context)
+        known, log_p, backoff = np.zeros(n, bool), np.zeros(n), np.zeros(n)
+        at, there = self.contexts.find(context.astype(np.uint64), np.zeros(n, np.int64), np.full(n, self.contexts.n))
+        inside, at = np.flatnonzero(there), at[there]
         backoff[inside] = self.backoff[at] * -self.STEP
-        fits = follower[inside] < self.width
-        inside, at = inside[fits], at[fits]
-        place, there = self.followers.has(at.astype(np.uint64) * np.uint64(self.width) + follower[inside].astype(np.uint64))
+        begin, end = (self.pointers.access(at + k).astype(np.int64) for k in (0, 1))
+        under = np.zeros(len(at), np.uint64)
+        later = begin > 0
+        under[later] = self.followers.access(begin[later] - 1)
+        place, there = self.followers.find(under + follower[inside].astype(np.uint64), begin, end)
         known[inside[there]] = True
         log_p[inside[there]] = self.p[place[there]] * -self.STEP
         return known, log_p, backoff

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from exselect.llm.elias_fano import Trie
 from exselect.llm.tables import parts, stored
 
-BATCH_CHARS = 16 << 20
-BATCH_DOCS = 1 << 19
+BATCH_CHARS = 5 << 20
+BATCH_DOCS = 1 << 17
+SHARD_TOKENS = 2_000_000
 FOLLOWER_PARTS = 64
 SLICES_PER_PARTITION = 2
 
@@ -272,12 +273,12 @@ def lm_scores(docs: DataFrame, mu: float = 400.0, doc_id: str = "doc_id", text:
     Other columns are not carried. The input must be a repeatable scan.
     """
     spark = docs.sparkSession
-    shards = parts(spark)
-    slices = SLICES_PER_PARTITION * shards
+    slices = SLICES_PER_PARTITION * parts(spark)
     table = stored(batches_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "lm-batches")
     counts = stored(counted(sliced_words(table, slices), slices), "lm-counts")
     total = table.agg(F.coalesce(F.sum("train_tokens"), F.lit(0))).first()[0]
     known = counts.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    shards = max(parts(spark), -(-total // SHARD_TOKENS))
     sums = scored(pairs_of(table, counts, shards, total, known), total, known, mu)
     kinds = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from exselect.llm import decontaminate, exact_dedup, lm, near_dedup, quality, suffix_dedup, suffixes
-from exselect.llm.elias_fano import EliasFano, Mapped
+from exselect.llm.elias_fano import EliasFano, Mapped, Trie
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -153,20 +153,41 @@ def test_near_groups_at_other_similarities(spark, percent):
     assert sorted(map(tuple, got.collect())) == _components(rows, 3, percent)
 
 
-def test_elias_fano_successor():
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        top = int(rng.choice([1, 5, 300, 10**5, 2**40]))
-        values = np.sort(rng.integers(0, top, int(rng.integers(0, 200)))).astype(np.uint64)
-        asked = np.append(rng.integers(0, top, 50).astype(np.uint64), values)
-        coded = EliasFano(values, top + 1, Mapped())
-        assert (coded.successor(asked) == np.searchsorted(values, asked)).all()
-        assert (coded.has(asked)[1] == np.isin(asked, values)).all()
-
-
-@pytest.mark.parametrize("chars", [500, 1 << 24])
-def test_lm_scores_equal_plain_model(spark, chars, monkeypatch):
+@pytest.mark.parametrize("n,top", [(1, 1), (1, 10**9), (5, 3), (1000, 10), (1000, 10**6), (70_000, 2**40)])
+def test_elias_fano(n, top):
+    rng = np.random.default_rng(n)
+    values = np.sort(rng.integers(0, top, n)).astype(np.uint64)
+    coded = EliasFano(values, Mapped())
+    assert (coded.access(np.arange(n)) == values).all()
+    asked = np.concatenate([rng.integers(0, top + 5, 2000).astype(np.uint64), values[:500], values[-100:] + np.uint64(1)])
+    begin = rng.integers(0, n + 1, len(asked))
+    end = rng.integers(begin, n + 1)
+    want = [b + np.searchsorted(values[b:e], x) for b, e, x in zip(begin, end, asked)]
+    at, there = coded.find(asked, begin, end)
+    assert at.tolist() == want and there.tolist() == [w < e and values[w] == x for w, e, x in zip(want, end, asked)]
+
+
+def test_trie_finds_followers_in_their_context_only():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 300, 5000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 2**20, 5000).astype(np.uint64))
+    context, follower = keys >> np.uint64(32), keys & np.uint64(2**32 - 1)
+    log_p, backoff = -rng.random(len(keys)) * 6, -(context.astype(float) % 7) / 3
+    trie = Trie(context, follower, log_p, backoff)
+    known, p, b = trie.find(context, follower)
+    assert known.all() and abs(p - log_p).max() < 2e-4 and abs(b - backoff).max() < 2e-4
+    asked = np.append(follower[1:], follower[:1])
+    known, p, _ = trie.find(context, asked)
+    assert (known == np.isin(context << np.uint64(32) | asked, keys)).all() and not p[~known].any()
+    known, _, b = trie.find(np.array([10**6]), np.array([1]))
+    assert not known[0] and b[0] == 0
+    bits = 8 * (trie.followers.low.nbytes + trie.followers.unary.nbytes) / len(keys)
+    assert bits < 2.2 + np.log2(int(follower.astype(np.uint64).sum()) / len(keys))
+
+
+@pytest.mark.parametrize("chars,tokens", [(500, 2_000_000), (1 << 24, 300)])
+def test_lm_scores_equal_plain_model(spark, chars, tokens, monkeypatch):
     monkeypatch.setattr(lm, "BATCH_CHARS", chars)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", tokens)
     rng = random.Random(5)
     rows = [(None, None), (5, ""), (5, "dup the the"), (77, "İ Ü \x1c z")] + [(i, _prose(rng, 30) + " the the end") for i in range(40)]
     got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), mu=50.0).collect()
