@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from exselect.llm.tables import shuffled, stored
 
 SHORTEST, LONGEST = 2, 4
-LEAST_FREQUENT = 192
-DICTIONARY = 1 << 15
+LEAST_FREQUENT = 256
+DICTIONARY = 1 << 12
 LONG_WORD = 64
 WORDS_KEPT = 300_000
 PAIRS_AT_ONCE = 200_000
@@ -123,21 +123,24 @@ class Grams:
         start of a longer gram; to its right, those up to the last place to which the letters behind it are the end of a longer one.
         """
         starts, ends = [a for a, _ in spans], [b for _, b in spans]
-        most = 0
-        for i in range(1, len(s)):
+        frequent, tails, n, most = self.frequent, self.tails, len(s), 0
+        for i in range(1, n):
             first = i - 1
             for k in range(max(0, i - LONGEST + 1), i - 1):
-                if s[k:i] in self.frequent:
+                if s[k:i] in frequent:
                     first = k
                     break
             left = min(bisect_left(starts, first), bisect_right(ends, i))
-            for behind, holds in ((i + 1, bisect_right(starts, i)), (i, bisect_left(starts, i))):  # letter i, gap before it
+            # The gap before letter i, and the letter itself.
+            for behind, right in ((i, bisect_left(starts, i)), (i + 1, bisect_right(starts, i))):
                 last = behind + 1
-                for k in range(min(len(s), behind + LONGEST - 1), behind + 1, -1):
-                    if s[behind:k - 1] in self.tails:
+                for k in range(min(n, behind + LONGEST - 1), behind + 1, -1):
+                    if s[behind:k - 1] in tails:
                         last = k
                         break
-                most = max(most, max(bisect_right(ends, last), holds) - left)
+                changed = max(bisect_right(ends, last), right) - left
+                if changed > most:
+                    most = changed
         return most
 
     def keys(self, word: bytes) -> set[bytes]:
@@ -166,11 +169,11 @@ class Grams:
 def listed(words: DataFrame, frequent: dict[bytes, int]) -> DataFrame:
     """(key, word, n): each word under the hashes of its keys."""
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(frequent)
+        grams, digest = Grams(frequent), xxhash.xxh3_64_intdigest
         for whole in arrow:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
-                keys = [[xxhash.xxh3_64_intdigest(x) for x in grams.keys(w.encode("latin-1"))] for w in batch.column(0).to_pylist()]
+                keys = [list(map(digest, grams.keys(w.encode("latin-1")))) for w in batch.column(0).to_pylist()]
                 times = [len(x) for x in keys]
                 rows = pa.array(np.repeat(np.arange(batch.num_rows), times))
                 flat = np.array([x for own in keys for x in own], np.uint64).view(np.int64)
@@ -189,23 +192,33 @@ def one_edit(a: bytes, b: bytes) -> bool:
     return a[k + (len(a) >= len(b)):] == b[k + (len(b) >= len(a)):]
 
 
-def _near(words: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """one_edit for many pairs of words of at most LONG_WORD + 2 letters."""
-    width = LONG_WORD + 2
-    lengths = np.array([len(w) for w in words])
-    table = np.frombuffer(b"".join([w.ljust(width, _END) for w in words]), np.uint8).reshape(-1, width)
-    swap = lengths[i] < lengths[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    same = lengths[i] == lengths[j]
-    out = np.zeros(len(i), bool)
-    out[same] = (table[i[same]] != table[j[same]]).sum(axis=1) == 1
-    by_one = np.flatnonzero(lengths[i] == lengths[j] + 1)
-    long, short = table[i[by_one]], table[j[by_one]]
-    first = (long != short).argmax(axis=1)
-    differ = long[:, 1:] != short[:, :-1]
-    last = np.where(differ.any(axis=1), width - 2 - differ[:, ::-1].argmax(axis=1), -1)
-    out[by_one] = last < first
-    return out
+class _Words:
+    """Words of at most LONG_WORD + 2 letters as rows of a table, and which letters each holds an odd number of times."""
+
+    def __init__(self, words: list[bytes]):
+        lengths = np.array([len(w) for w in words])
+        self.width = int(lengths.max(initial=0)) + 1
+        self.lengths = lengths.astype(np.int16)
+        self.table = np.frombuffer(b"".join([w.ljust(self.width, _END) for w in words]), np.uint8).reshape(-1, self.width)
+        bit = np.left_shift(np.uint64(1), np.arange(256, dtype=np.uint64) & np.uint64(63))
+        bit[0] = 0
+        self.odd = np.bitwise_xor.reduce(bit[self.table], axis=1)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """one_edit for pairs of rows. One edit changes two of the odd letters at most."""
+        out = np.zeros(len(i), bool)
+        may = np.flatnonzero((np.abs(self.lengths[i] - self.lengths[j]) < 2) & (np.bitwise_count(self.odd[i] ^ self.odd[j]) < 3))
+        i, j = i[may], j[may]
+        swap = self.lengths[i] < self.lengths[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        same = self.lengths[i] == self.lengths[j]
+        out[may[same]] = (self.table[i[same]] != self.table[j[same]]).sum(axis=1) == 1
+        long, short = self.table[i[~same]], self.table[j[~same]]
+        first = (long != short).argmax(axis=1)
+        differ = long[:, 1:] != short[:, :-1]
+        last = np.where(differ.any(axis=1), self.width - 2 - differ[:, ::-1].argmax(axis=1), -1)
+        out[may[~same]] = last < first
+        return out
 
 
 def near_words(lists: DataFrame) -> DataFrame:
@@ -221,9 +234,10 @@ def near_words(lists: DataFrame) -> DataFrame:
             names = table["word"].to_pylist()
             words = [w.encode("latin-1") for w in names]
             long = np.array([len(w) > LONG_WORD + 2 for w in words])
+            short = _Words([b"" if x else w for w, x in zip(words, long.tolist())])
             names, counts = pa.array(names, pa.string()), table["n"].combine_chunks()
             i, step = np.arange(len(keys)), 1
-            short = [w if len(w) <= LONG_WORD + 2 else b"" for w in words]
+            near_i, near_j = [], []
             while True:
                 i = i[i + step < len(keys)]
                 i = i[keys[i] == keys[i + step]]
@@ -233,11 +247,15 @@ def near_words(lists: DataFrame) -> DataFrame:
                     a, b = i[k:k + PAIRS_AT_ONCE], i[k:k + PAIRS_AT_ONCE] + step
                     near = np.zeros(len(a), bool)
                     slow = long[a] | long[b]
-                    near[~slow] = _near(short, a[~slow], b[~slow])
+                    near[~slow] = short.near(a[~slow], b[~slow])
                     near[slow] = [one_edit(words[x], words[y]) for x, y in zip(a[slow].tolist(), b[slow].tolist())]
-                    x, y = pa.array(np.append(a[near], b[near])), pa.array(np.append(b[near], a[near]))
-                    yield pa.RecordBatch.from_arrays([names.take(x), names.take(y), counts.take(y)], names=["word", "near", "near_n"])
+                    near_i.append(a[near])
+                    near_j.append(b[near])
                 step += 1
+            a, b = np.concatenate(near_i), np.concatenate(near_j)
+            for k in range(0, len(a), 10_000):
+                x, y = (pa.array(np.append(p[k:k + 10_000], q[k:k + 10_000])) for p, q in ((a, b), (b, a)))
+                yield pa.RecordBatch.from_arrays([names.take(x), names.take(y), counts.take(y)], names=["word", "near", "near_n"])
 
         held: list[pa.RecordBatch] = []  # whole batches, and the list that is still open
         for batch in arrow:
