@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over a corpus (operator 13).
 
-A text is cut into chunks (white space and what follows it) that no token of either tokenizer crosses. Each distinct
-chunk is tokenized once per worker: character offsets of the one library and the proto spans of the other are the
+A text is cut into chunks (white space and what follows it) that no token of either tokenizer crosses. Distinct chunks
+are tokenized once per batch, side by side: character offsets of the one library and the proto spans of the other are the
 coarse cuts, and where tokens share a character (split multibyte characters, byte fallback) their decoded bytes refine
 them. A document is the sequence of its chunks. Linked id pairs are gathered per bounded batch of documents, counted over
 the corpus in slices of the second vocabulary, and the counts go back to the batches; no pair of a document travels alone.
@@ -29,7 +29,8 @@ from exselect.llm.tables import parts, stored
 from exselect.llm.wordbpe import byte_symbols
 
 BATCH_CHARS = 6 << 20
-CHUNKS_KEPT = 150_000
+CHUNKS_KEPT = 200_000
+JOINED_CHARS = 4096
 LONGEST_KEPT = 64
 SLICES_PER_PARTITION = 2
 
@@ -49,38 +50,15 @@ class Aligned(NamedTuple):
     links: tuple[int, ...]
 
 
-def token_ends(spans: list[tuple[int, int]], pieces: list[bytes]) -> list[int] | None:
-    """Byte offset at which each token ends.
+def token_ends(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
+    """Byte offset at which each token ends, from the spans and byte counts of tokens.
 
-    A span's end is a cut where the next span starts at or behind it. Tokens between two cuts share characters; there the
-    lengths of their bytes decide. None if spans and bytes contradict each other.
+    A span's end is a cut where it is beyond its start and the next span starts at or behind it. Tokens between two cuts
+    share characters; there their bytes decide. None if spans and bytes contradict each other.
     """
-    ends, done, open_from = [], 0, 0
-    for k, (_, end) in enumerate(spans):
-        if k + 1 < len(spans) and (spans[k + 1][0] < end or end <= done):
-            continue
-        at = done
-        for piece in pieces[open_from:k + 1]:
-            at += len(piece)
-            ends.append(at)
-        if at != end:
-            return None
-        done, open_from = end, k + 1
-    return ends
-
-
-def grouped(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> Aligned:
-    """Groups between the offsets where tokens of both sides end, and links between tokens that end there."""
-    names, links, a, b = [], [], 0, 0
-    for cut in sorted({*ends_a} & {*ends_b}):
-        own_a, own_b = a, b
-        while a < len(ends_a) and ends_a[a] <= cut:
-            a += 1
-        while b < len(ends_b) and ends_b[b] <= cut:
-            b += 1
-        names.append(",".join(map(str, ids_a[own_a:a])) + "|" + ",".join(map(str, ids_b[own_b:b])))
-        links.append(ids_b[b - 1] << 32 | ids_a[a - 1])  # tokens have bytes, so one of each side ends here
-    return Aligned(";".join(names), len(ids_a), len(ids_b), len(names), tuple(links))
+    done = np.cumsum(sizes)
+    cut = (ends > starts) & (np.append(starts[1:], ends[-1:]) >= ends)
+    return done if (done[cut] == ends[cut]).all() else None
 
 
 class Aligner:
@@ -100,6 +78,10 @@ class Aligner:
         self.b = SentencePieceProcessor(model_file=b_path)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.sizes_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.sizes_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
+        self.sizes_b = np.array([len(x) for x in self.bytes_b])
+        self.space = self.b.piece_to_id("▁")
         spec = sentencepiece_model_pb2.ModelProto()
         spec.ParseFromString(self.b.serialized_model_proto())
         splitter = self.a.pre_tokenizer
@@ -116,44 +98,82 @@ class Aligner:
         text = " " + text
         return _CHUNK.findall(text) if self.cuts and not _ODD_SPACE.search(text) else [text]
 
-    def _aligned(self, chunk: str, encoding, proto) -> Aligned | None:
-        data = chunk.encode("utf-8", "surrogatepass")
-        ids_a, pieces_a = encoding.ids, [self.bytes_a[i] for i in encoding.ids]
-        ids_b, spans_b = [p.id for p in proto.pieces], [(p.begin, p.end) for p in proto.pieces]
-        if chunk[0] == " ":  # the library's own space stands for it
-            spans_b = [(a + (k > 0), b + 1) for k, (a, b) in enumerate(spans_b)]
-        elif ids_b and self.bytes_b[ids_b[0]] == b" ":
-            ids_b, spans_b = ids_b[1:], spans_b[1:]
-        pieces_b = [self.bytes_b[i] for i in ids_b]
-        if b"".join(pieces_a) != data or b"".join(pieces_b) != data:
-            return None
-        if chunk.isascii():
-            spans_a = encoding.offsets
-        else:
-            at = [0]
-            for c in chunk:
-                at.append(at[-1] + len(c.encode("utf-8", "surrogatepass")))
-            spans_a = [(at[a], at[b]) for a, b in encoding.offsets]
-        ends_a, ends_b = token_ends(spans_a, pieces_a), token_ends(spans_b, pieces_b)
+    def _tokens_a(self, text: str) -> tuple[np.ndarray, np.ndarray | None]:
+        encoding = self.a.encode(text, add_special_tokens=False)
+        ids, spans = np.array(encoding.ids, np.int64), np.array(encoding.offsets, np.int64).reshape(-1, 2)
+        if not text.isascii():  # characters to bytes
+            data = np.frombuffer(text.encode(), np.uint8)
+            spans = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[spans]
+        return ids, token_ends(spans[:, 0], spans[:, 1], self.sizes_a[ids])
+
+    def _tokens_b(self, text: str) -> tuple[np.ndarray, np.ndarray | None]:
+        """The library's own space stands for the first one of the text."""
+        proto = self.b.encode(text[1:], return_type="proto", num_threads=1)
+        tokens = np.array([(p.id, p.begin, p.end) for p in proto.pieces], np.int64).reshape(-1, 3)
+        if not len(tokens):  # nothing but the space
+            tokens = np.array([[self.space, 0, 0]])
+        tokens[:, 2] += 1
+        tokens[1:, 1] += 1
+        return tokens[:, 0], token_ends(tokens[:, 1], tokens[:, 2], self.sizes_b[tokens[:, 0]])
+
+    def _side_by_side(self, chunks: list[str]) -> list[Aligned | None]:
+        """Chunks that follow one another from a space on, tokenized as one text."""
+        text = "".join(chunks)
+        data = text.encode("utf-8", "surrogatepass")
+        ids_a, ends_a = self._tokens_a(text)
+        ids_b, ends_b = self._tokens_b(text)
+        spelled = [b"".join(map(of.__getitem__, ids.tolist())) == data for of, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
+        if not all(spelled):
+            if len(chunks) == 1:
+                return [None]
+            parts = [chunks[:len(chunks) // 2], chunks[len(chunks) // 2:]]  # which of them is it?
+            return [x for part in parts for x in self._aligned(part)]
         if ends_a is None or ends_b is None:
-            raise ValueError(f"spans of {chunk[:80]!r} contradict the bytes of its tokens")
-        return grouped(ids_a, ends_a, ids_b, ends_b)
+            raise ValueError(f"spans contradict the bytes of tokens in {text[:80]!r}")
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        links = (ids_b[last_b] << 32 | ids_a[last_a]).tolist()
+        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        groups, a, b = [], 0, 0
+        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
+            groups.append(f"{names_a[a] if x == a + 1 else ','.join(names_a[a:x])}|{names_b[b] if y == b + 1 else ','.join(names_b[b:y])}")
+            a, b = x, y
+        ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in chunks])
+        at = np.searchsorted(cuts, ends)
+        if not (cuts[np.minimum(at, len(cuts) - 1)] == ends).all():
+            raise ValueError(f"a token crosses a cut in {text[:80]!r}")
+        out, k = [], 0
+        for stop, n_a, n_b in zip((at + 1).tolist(), np.diff(last_a[at] + 1, prepend=0).tolist(), np.diff(last_b[at] + 1, prepend=0).tolist()):
+            out.append(Aligned(";".join(groups[k:stop]), n_a, n_b, stop - k, tuple(links[k:stop])))
+            k = stop
+        return out
+
+    def _aligned(self, chunks: list[str]) -> list[Aligned | None]:
+        """A chunk that starts with another white space follows one that is left out again."""
+        if not chunks:
+            return []
+        return self._side_by_side(chunks) if chunks[0][0] == " " else self._side_by_side([" x", *chunks])[1:]
 
     def align(self, chunks: list[str]) -> list[Aligned | None]:
         """Tokens of each chunk; None where the tokens' bytes are not those of the chunk."""
         out = [self.known.get(c, 0) for c in chunks]
         new = [k for k, found in enumerate(out) if found == 0]
-        for start in range(0, len(new), 2000):
-            own = new[start:start + 2000]
-            texts = [chunks[k] for k in own]
-            encodings = self.a.encode_batch(texts, add_special_tokens=False)
-            protos = self.b.encode([t[1:] if t[0] == " " else t for t in texts], return_type="proto", num_threads=1)
-            for k, text, encoding, proto in zip(own, texts, encodings, protos):
-                out[k] = self._aligned(text, encoding, proto)
-                if len(text) <= LONGEST_KEPT:
+        alone = [k for k in new if chunks[k][-1] in " \n\t" or _ODD_SPACE.search(chunks[k])]  # white space at an end would join on
+        together = sorted(set(new).difference(alone))
+        batches, size = [[k] for k in alone], JOINED_CHARS
+        for k in together:
+            size += len(chunks[k])
+            if size > JOINED_CHARS:
+                batches.append([])
+                size = len(chunks[k])
+            batches[-1].append(k)
+        for own in batches:
+            for k, found in zip(own, self._aligned([chunks[k] for k in own])):
+                out[k] = found
+                if len(chunks[k]) <= LONGEST_KEPT:
                     if len(self.known) >= CHUNKS_KEPT:
                         self.known.clear()
-                    self.known[text] = out[k]
+                    self.known[chunks[k]] = found
         return out
 
     def align_text(self, text: str) -> Aligned | None:

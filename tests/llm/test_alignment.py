@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -68,6 +69,17 @@ def test_alignment_equals_whole_texts(spark, chars, monkeypatch):
 
 
 def test_ends_follow_spans_and_bytes():
-    assert alignment.token_ends([(0, 2), (2, 6), (5, 6), (5, 6), (6, 7)], [b"ab", b" \xef", b"\xac", b"\x81", b"x"]) == [2, 4, 5, 6, 7]
-    assert alignment.token_ends([(0, 0), (0, 0), (0, 3)], [b"1", b"2", b"3"]) == [1, 2, 3]
-    assert alignment.token_ends([(0, 2)], [b"abc"]) is None
+    def ends(spans, sizes):
+        found = alignment.token_ends(np.array([a for a, _ in spans]), np.array([b for _, b in spans]), np.array(sizes))
+        return None if found is None else found.tolist()
+
+    assert ends([(0, 2), (2, 6), (5, 6), (5, 6), (6, 7)], [2, 2, 1, 1, 1]) == [2, 4, 5, 6, 7]
+    assert ends([(0, 0), (0, 0), (0, 3)], [1, 1, 1]) == [1, 2, 3]
+    assert ends([(0, 2)], [3]) is None
+
+
+def test_chunks_side_by_side_are_chunks_alone():
+    tools = alignment.aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    chunks = [" the", "\nNext", " ", "\t", " wörter,", "  two", " a▁b", "\n\n", " 😀", " \U00010348x", " <s>", " end"]
+    assert tools.cuts and [tools._aligned([c])[0] for c in chunks] == tools.align(chunks)
+    assert tools.align(chunks)[6] is None
