@@ -29,7 +29,7 @@ from exselect.llm.tables import parts, stored
 from exselect.llm.wordbpe import byte_symbols
 
 BATCH_CHARS = 6 << 20
-CHUNKS_KEPT = 200_000
+CHUNKS_KEPT = 400_000
 JOINED_CHARS = 4096
 LONGEST_KEPT = 64
 SLICES_PER_PARTITION = 2

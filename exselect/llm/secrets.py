@@ -23,10 +23,11 @@ KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lo
 BASE = KINDS[:3]
 
 #: Candidates that are no secrets whatever their entropy: identifiers, dates, words joined by punctuation, alphabets, dummies.
+#: No group is repeated without a bound: Java's matcher would recurse once per repeat, and runs may have any length.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-?[0-9]{2}-?[0-9]{2}([T_-]?[0-9]{2}-?[0-9]{2}-?[0-9]{2})?$",
-    r"^[=+/_-]*([A-Za-z]+|[0-9]+)([=+/_-]+([A-Za-z]+|[0-9]+))+[=+/_-]*$",
+    r"^(?!.*([A-Za-z][0-9]|[0-9][A-Za-z])).*[A-Za-z0-9][=+/_-]+[A-Za-z0-9]",
     r"(?i)example|dummy|placeholder|x{6}|0{8}",
     r"(?i)abcdefghijkl|0123456789abcdef",
 ]
@@ -49,6 +50,7 @@ BASE64_CLASS = CharacterClass("entropy_base64", _DIGITS + _LOWER + _LOWER.upper(
 #: For keys from 16 characters: thresholds that at most about 0.4 % of the windows of random keys of 16, 32, 32 and 62 symbols miss.
 #: "=" only pads, so it parts names from values. Mixed case counts like a digit where it is not that of words put together.
 KEY_WINDOW = 16
+BLOCK = 64
 KEY_CLASSES = (
     CharacterClass("entropy_hex", HEX_CLASS.characters, HEX_CLASS.pattern, 2.5),
     CharacterClass("entropy_lower", _DIGITS + _LOWER, "0-9a-z", 3.0),
@@ -70,25 +72,46 @@ def _span(kind: str, start: Column, end: Column) -> Column:
                     end.cast("int").alias("end"), F.lit(kind).alias("kind"))
 
 
-def found(text: Column, pattern: str, kind: str, value_group: int = 0, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches whose group has `least` characters.
+def running(sizes: Column) -> Column:
+    """Running sums of an array of integers, block by block, so that no long array is copied at each step."""
+    def sums(block: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")), lambda acc: acc["out"])
 
-    The texts between matches and the matches themselves give the positions.
-    """
+    def shifted(blocks: Column) -> Column:
+        ends = sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return bound(ends, lambda ends: F.flatten(F.transform(
+            blocks, lambda b, i: F.transform(b, lambda n: n + F.when(i > 0, F.get(ends, i - 1)).otherwise(0)))))
+
+    def blocked(sizes: Column) -> Column:
+        count = F.ceil(F.size(sizes) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: sums(F.slice(sizes, k * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(sizes) > 0, bound(blocks, shifted)).otherwise(F.array().cast("array<int>"))
+
+    return bound(sizes, blocked)
+
+
+def placed(text: Column, pattern: str, value_group: int = 0) -> Column:
+    """Array of (match, value, start, end) of the leftmost non-overlapping matches, from the texts between them."""
     regex = F.lit(pattern)
+    matches = F.regexp_extract_all(text, regex, F.lit(0))
     pairs = F.arrays_zip(
-        F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, regex, F.lit(0)))).alias("gap"),
-        F.regexp_extract_all(text, regex, F.lit(0)).alias("match"),
+        F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("match"),
         F.regexp_extract_all(text, regex, F.lit(value_group)).alias("value"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["match"])
-        more = F.when(F.char_length(pair["value"]) >= least, F.array(_span(kind, start, end))).otherwise(_none())
-        return F.struct(end.alias("at"), F.concat(acc["out"], more).alias("out"))
+    def with_ends(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda p: F.char_length(p["gap"]) + F.char_length(p["match"])))
+        return bound(ends, lambda ends: F.transform(pairs, lambda p, i: F.struct(
+            p["match"].alias("match"), p["value"].alias("value"), (F.get(ends, i) - F.char_length(p["match"])).alias("start"), F.get(ends, i).alias("end"))))
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(_none())
+    return bound(pairs, with_ends)
+
+
+def found(text: Column, pattern: str, kind: str, value_group: int = 0, least: int = 0) -> Column:
+    """Spans of the leftmost non-overlapping matches whose group has `least` characters."""
+    long = F.filter(placed(text, pattern, value_group), lambda m: F.char_length(m["value"]) >= least)
+    return F.when(text.rlike(pattern), F.transform(long, lambda m: _span(kind, m["start"], m["end"]))).otherwise(_none())
 
 
 def _allowed(value: Column, allow: list[str]) -> Column:
@@ -156,18 +179,9 @@ def high_entropy(value: Column, start: Column, of: CharacterClass, window: int)
 def entropy_spans(text: Column, of: CharacterClass, window: int, allow: list[str]) -> Column:
     """Spans in the maximal runs of the class that hold what it asks for, have `window` characters and are not allowed."""
     pattern = f"(?<![{of.pattern}])[{of.pattern}]{{{window},}}"
-    runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(runs)).alias("gap"), runs.alias("run"))
-
-    def place(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.char_length(pair["gap"])
-        here = F.struct(start.alias("start"), pair["run"].alias("run"))
-        return F.struct((start + F.char_length(pair["run"])).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
-
-    empty = F.array().cast("array<struct<start:int,run:string>>")
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), place, lambda acc: acc["out"])
-    candidates = F.filter(placed, lambda c: reduce(and_, [c["run"].rlike(h) for h in of.holds]) & ~_allowed(c["run"], allow))
-    spans = F.flatten(F.transform(candidates, lambda c: high_entropy(c["run"], c["start"], of, window)))
+    candidates = F.filter(
+        placed(text, pattern), lambda c: reduce(and_, [c["match"].rlike(h) for h in of.holds]) & ~_allowed(c["match"], allow))
+    spans = F.flatten(F.transform(candidates, lambda c: high_entropy(c["match"], c["start"], of, window)))
     return F.when(text.rlike(pattern), spans).otherwise(_none())
 
 
