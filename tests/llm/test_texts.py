@@ -158,3 +158,14 @@ def test_keys_of_every_alphabet_are_found(spark, tmp_path):
     n = len(keys)
     assert "entropy_base64:12:52" in got[n] and f"entropy_base64:0:1500,entropy_base64:1505:{len(long[1])}" in got[n + 1]
     assert not any(got[n + 2 + i] for i in range(len(none)))
+
+
+def test_runs_of_a_million_characters(spark):
+    """Each kind of run at full length: the matcher must not recurse and positions must not be copied per match."""
+    texts = {"parts": ("a-1-" * 250_000, 0), "dashes": ("-" * 10**6, 0), "words": ("some words. " * 83_000, 0),
+             "access": ("AKIA" * 250_000, 1), "assignments": ("token=abcdef1 " * 71_428, 71_428)}
+    df = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id string, text string").repartition(4)
+    got = secrets.scan(df, window=secrets.KEY_WINDOW, allow=secrets.ALLOWED_RUNS, classes=secrets.KEY_CLASSES, dummies=secrets.DUMMIES)
+    found = {r.doc_id: (r.n, r.end) for r in got.selectExpr("doc_id", "size(secrets) AS n", "try_element_at(secrets, -1).end AS end").collect()}
+    assert {k: n for k, (n, _) in found.items()} == {k: n for k, (_, n) in texts.items()}
+    assert found["access"][1] == 10**6 and found["assignments"][1] == 14 * 71_428 - 1
