@@ -86,29 +86,58 @@ def induce_each(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) ->
     counts = np.bincount(s, minlength=size)
     ends = np.cumsum(counts)
     tail, head = ends.tolist(), (ends - counts).tolist()
-    symbols, types = s.tolist(), small.tolist()
-    sa = [-1] * len(symbols)
+    symbols, n = s.tolist(), len(s)
+    sa = [-1] * n
     for i in lms[::-1].tolist():
         c = symbols[i]
         tail[c] -= 1
         sa[tail[c]] = i
-    for k in range(len(sa)):
-        j = sa[k] - 1
-        if j >= 0 and not types[j]:
-            c = symbols[j]
-            sa[head[c]] = j
+    # The symbol before each suffix, if it is of the type that is placed; two more for places that are not taken.
+    larger = np.append(np.where(small, -1, s), [-1, -1]).tolist()
+    for i in sa:  # grows ahead of the loop
+        c = larger[i - 1]
+        if c >= 0:
+            sa[head[c]] = i - 1
             head[c] += 1
+    smaller = np.append(np.where(small, s, -1), [-1, -1]).tolist()
     tail = ends.tolist()
-    for k in range(len(sa) - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and types[j]:
-            c = symbols[j]
+    for k in range(n - 1, -1, -1):
+        i = sa[k] - 1
+        c = smaller[i]
+        if c >= 0:
             tail[c] -= 1
-            sa[tail[c]] = j
+            sa[tail[c]] = i
     sa[0] = len(sa) - 1
     return np.array(sa, np.int64)
 
 
+def sorted_names(names: np.ndarray, size: int) -> np.ndarray:
+    """Suffix array of a string of names, sorted in turn.
+
+    No comparison goes beyond a name that occurs once: of a run of such names only the first is needed after others,
+    and all of them have their places by name.
+    """
+    counts = np.bincount(names, minlength=size)
+    once = counts[names] == 1
+    keep = ~once
+    keep[1:] |= ~once[:-1]
+    keep[-1] = True
+    kept = np.flatnonzero(keep)
+    if len(kept) == len(names):
+        return suffix_array(names, size)
+    seen = np.zeros(size, np.int64)
+    seen[names[kept]] = 1
+    dense = np.cumsum(seen) - 1
+    several = kept[suffix_array(dense[names[kept]], int(dense[-1]) + 1)]
+    out, free = np.empty(len(names), np.int64), np.ones(len(names), bool)
+    singles = np.flatnonzero(once)
+    place = (np.cumsum(counts) - counts)[names[singles]]
+    out[place] = singles
+    free[place] = False
+    out[free] = several[~once[several]]
+    return out
+
+
 def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of integers below `size`; the last one must be 0 and the only 0."""
     if len(s) == 1:
@@ -129,7 +158,7 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     names[place[ordered]] = names_in_order
     count = int(names_in_order[-1]) + 1
     if count < len(lms):
-        ordered = lms[suffix_array(names, count)]
+        ordered = lms[sorted_names(names, count)]
     return sort(s, small, ordered, size)
 
 
