@@ -26,7 +26,7 @@ from exselect.llm.elias_fano import Trie
 from exselect.llm.tables import parts, stored
 
 BATCH_CHARS = 5 << 20
-BATCH_DOCS = 1 << 17
+BATCH_DOCS = 1 << 16
 SHARD_TOKENS = 2_000_000
 FOLLOWER_PARTS = 64
 SLICES_PER_PARTITION = 2
@@ -39,13 +39,18 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 def _pack(values, kind: str | None = None) -> bytes:
-    data = values if isinstance(values, bytes) else np.ascontiguousarray(values, kind).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    """Compressed bytes, or numbers with their first bytes first, then their second ones, and so on."""
+    if kind is not None:
+        values = np.ascontiguousarray(values, kind)
+        values = values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(values)
 
 
 def _open(data: bytes, kind: str | None = None):
     data = zstandard.ZstdDecompressor().decompress(data)
-    return data if kind is None else np.frombuffer(data, kind)
+    if kind is None:
+        return data
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _deltas(sorted_values: np.ndarray) -> np.ndarray:
@@ -180,7 +185,7 @@ def pairs_of(table: DataFrame, counts: DataFrame, shards: int, total: int, known
             n_known = np.bincount(doc, count[flat] > 0, len(lengths)).astype("<i8")
             yield pa.RecordBatch.from_pylist([{
                 "batch": number, "shard": -1 - int(number % shards), "base": b"".join(
-                    len(x).to_bytes(4, "little") + x for x in (first["ids"], first["nulls"], first["held"], first["lengths"], _pack(n_known), _pack(base, "<f8")))}],
+                    len(x).to_bytes(4, "little") + x for x in (first["ids"], first["nulls"], first["held"], first["lengths"], _pack(n_known, "<i8"), _pack(base, "<f8")))}],
                 schema=kinds)
             # The end of a document is the context of its start.
             before = np.append(0, flat[:-1])
@@ -208,7 +213,7 @@ def pairs_of(table: DataFrame, counts: DataFrame, shards: int, total: int, known
                     "batch": number, "shard": int(k), "contexts": _pack(_deltas(name[a]), "<u4"), "followers": _pack(name[b], "<u4"),
                     "context_counts": _pack(count[a], "<u4"), "follower_counts": _pack(count[b], "<u4"),
                     "trained": _pack(np.add.reduceat(times[own] * ~held[of[own]], starts), "<u4"),
-                    "n_docs": _pack(np.diff(np.append(starts, len(own))), "<u4"), "docs": _pack(of[own], "<u4"), "times": _pack(times[own], "<u4")}], schema=kinds)
+                    "n_docs": _pack(np.diff(np.append(starts, len(own))), "<u4"), "docs": _pack(of[own], "<u2"), "times": _pack(times[own], "<u4")}], schema=kinds)
 
     nothing = {c: F.lit(None) for c in ("places", "counts", "numbers")}
     left = table.select("batch", F.lit(-1).alias("slice"), "ids", "nulls", "held", "lengths", "tokens", *[v.cast("binary").alias(c) for c, v in nothing.items()])
@@ -253,7 +258,7 @@ def scored(pairs: DataFrame, total: int, known_words: int, mu: float) -> DataFra
             for batch, own, _, _, _, n_docs, docs, times in rows:
                 of = value[place[at:at + len(own)]]
                 at += len(own)
-                docs, local = np.unique(_open(docs, "<u4"), return_inverse=True)
+                docs, local = np.unique(_open(docs, "<u2").astype(np.uint32), return_inverse=True)
                 sums = np.bincount(local, np.repeat(of, _open(n_docs, "<u4")) * _open(times, "<u4"), len(docs))
                 yield pa.RecordBatch.from_pylist([{"batch": batch, "shard": k, "docs": _pack(_deltas(docs), "<u4"), "sums": _pack(sums, "<f8")}], schema=kinds)
 
