@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from exselect.functions.labels import clean_label
+from exselect.session import cut_lineage
 
 # Record schemas of the result trees; every reader declares them.
 SCORING_SCHEMA = (
@@ -41,42 +46,68 @@ def pending(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(seen, match, "left_anti")
 
 
-def _damaged(spark: SparkSession, paths: list[str], schema: str | StructType) -> list[str]:
-    """Files that cannot be read to their end, found by halving: one scan if none is damaged."""
+LEDGER_SCHEMA = "path string, outcome string, detail string, rows bigint, batch bigint"
+PROBED_BYTES = 1 << 30  # a longer file is no small one: it is not taken into memory, and a failure to read it is no damage
+
+
+def probe(spark: SparkSession, paths: list[str], batch: int = 0) -> DataFrame:
+    """One row of LEDGER_SCHEMA per file: outcome `whole` or `damaged`, what the decoder said, and its number of rows.
+
+    Spark reads the bytes in the tasks, so whatever keeps it from them (a lost executor, a full disk, no access, a store
+    that is away) fails the job. Only bytes that have arrived and cannot be decoded to their end make a file damaged.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in batches:
+            for path, content in zip(found["path"].to_pylist(), found["content"]):
+                yield pa.RecordBatch.from_pylist([{"path": path, **decoded(content.as_buffer()), "batch": batch}], schema=kinds)
+
+    kinds = pa.schema([("path", pa.string()), ("outcome", pa.string()), ("detail", pa.string()), ("rows", pa.int64()), ("batch", pa.int64())])
     if not paths:
-        return []
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+    files = spark.read.format("binaryFile").load(paths)
+    short = files.where(F.col("length") <= PROBED_BYTES).select("path", "content").mapInArrow(run, LEDGER_SCHEMA)
+    long = files.where(F.col("length") > PROBED_BYTES).select(
+        "path", F.lit("whole").alias("outcome"), F.lit("not probed").alias("detail"), F.lit(None).cast("bigint").alias("rows"),
+        F.lit(batch).cast("bigint").alias("batch"))
+    return short.unionByName(long)
+
+
+def decoded(content: pa.Buffer) -> dict:
+    """Decode a Parquet file that is in memory, one batch of rows at a time. Other errors than the decoder's are raised."""
+    rows = 0
     try:
-        spark.read.schema(schema).option("ignoreCorruptFiles", False).parquet(*paths).write.format("noop").mode("overwrite").save()
-        return []
-    except Exception:  # Spark wraps a reader's error in many types; a lone file that fails is listed
-        if len(paths) == 1:
-            return paths
-        half = len(paths) // 2
-        return _damaged(spark, paths[:half], schema) + _damaged(spark, paths[half:], schema)
+        for found in pq.ParquetFile(pa.BufferReader(content)).iter_batches(4096):
+            rows += found.num_rows
+    except (pa.ArrowException, OSError) as error:
+        if isinstance(error, MemoryError) or getattr(error, "errno", None):  # the machine's, not the decoder's
+            raise
+        return {"outcome": "damaged", "detail": f"{type(error).__name__}: {error}"[:500], "rows": rows}
+    return {"outcome": "whole", "detail": None, "rows": rows}
 
 
 def whole_files(
-    spark: SparkSession, paths: list[str], schema: str | StructType, base: str
-) -> tuple[DataFrame, list[str]]:
-    """Rows of the files that can be read to their end, and the paths of the others.
+    spark: SparkSession, paths: list[str], schema: str | StructType, base: str, batch: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that can be decoded to their end, and the ledger of all of them.
 
-    Values in folder names below `base` (`key=value`) are columns.
+    Values in folder names below `base` (`key=value`) are columns. The ledger is worked out once and kept.
     """
-    bad = _damaged(spark, paths, schema)
-    good = sorted(set(paths) - set(bad))
+    ledger = cut_lineage(probe(spark, paths, batch))
+    good = sorted(r.path for r in ledger.where("outcome = 'whole'").select("path").collect())  # as many paths as came in
     if not good:
-        return spark.createDataFrame([], schema), bad
-    return spark.read.schema(schema).option("basePath", base).parquet(*good), bad
+        return spark.createDataFrame([], schema), ledger
+    return spark.read.schema(schema).option("ignoreCorruptFiles", False).option("ignoreMissingFiles", False).option("basePath", base).parquet(*good), ledger
 
 
 def merge_small_files(
     spark: SparkSession, source: str, target: str, schema: str | StructType, files: int | None = None,
-    file_bytes: int = 256 << 20,
+    file_bytes: int = 256 << 20, ledger: str | None = None,
 ) -> DataFrame:
     """Rewrite a tree of small Parquet files as files of about `file_bytes`; returns the paths of damaged ones.
 
-    A file that breaks off anywhere is left out whole and listed. Values in folder names (`key=value`) are columns,
-    as in the tree that `append_records` writes. The list of paths is on the driver, as it is in any Spark scan.
+    A file that breaks off anywhere is left out whole and listed; any other failure is raised, and nothing is listed. `ledger`
+    names a table that gets a row per file. Values in folder names (`key=value`) are columns, as in the tree that
+    `append_records` writes. The list of paths is on the driver, as it is in any Spark scan.
     """
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -84,9 +115,11 @@ def merge_small_files(
     )
     if files is None:
         files = max(1, -(-sum(r.length for r in listed) // file_bytes))
-    rows, bad = whole_files(spark, [r.path for r in listed], schema, source)
+    rows, judged = whole_files(spark, [r.path for r in listed], schema, source)
     rows.repartition(files).write.mode("overwrite").parquet(target)
-    return spark.createDataFrame([(path,) for path in bad], "path string")
+    if ledger:
+        judged.write.mode("overwrite").parquet(ledger)
+    return judged.where("outcome = 'damaged'").select("path")
 
 
 def upsert_values(stored: DataFrame, new: DataFrame) -> DataFrame:

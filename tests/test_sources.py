@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,38 @@ def test_row_numbers_and_splits(spark):
     assert sum(summary.values()) == 200
     with pytest.raises(ValueError):
         splits.split_size(10, 0)
+
+
+def test_only_damage_is_listed_and_other_failures_lose_nothing(spark, tmp_path, monkeypatch):
+    """A full disk in a task fails the batch; run again, the same files are merged, and the ledger tells of each once."""
+    source, target, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    write_parts(spark, Path(source), 0, 4)
+    whole = sorted(Path(source).rglob("part-*.parquet"))
+    cut = whole[0].read_bytes()
+    (Path(source) / "cut.parquet").write_bytes(cut[:len(cut) // 2])
+    real = results.decoded
+
+    def full(content):
+        raise OSError(28, "No space left on device")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(results, "decoded", full)
+        with pytest.raises(Exception, match="No space left"):
+            merge_arrivals(spark, source, target, state, RECORDS, ["id", "setting"]).awaitTermination(120)
+        with pytest.raises(Exception, match="No space left"):
+            results.merge_small_files(spark, source, str(tmp_path / "merged"), RECORDS)
+    assert results.decoded is real and spark.read.parquet(target).count() == 0
+    assert not Path(target + "_damaged").exists() and not Path(target + "_ledger").exists()
+    merge_arrivals(spark, source, target, state, RECORDS, ["id", "setting"]).awaitTermination(120)
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [0, 1, 2, 3]
+    ledger = {r.path.rsplit("/", 1)[-1]: (r.outcome, r.rows, r.batch) for r in spark.read.parquet(target + "_ledger").collect()}
+    assert ledger.pop("cut.parquet")[0] == "damaged" and set(ledger.values()) == {("whole", 1, 0)} and len(ledger) == len(whole)
+
+
+def test_a_file_that_is_gone_fails_the_merge(spark, tmp_path):
+    write_parts(spark, tmp_path / "in", 0, 3)
+    rows, ledger = results.whole_files(spark, [str(p) for p in (tmp_path / "in").rglob("part-*.parquet")], RECORDS, str(tmp_path / "in"))
+    assert ledger.count() == 3 and {r.outcome for r in ledger.collect()} == {"whole"}
+    next((tmp_path / "in").rglob("part-*.parquet")).unlink()
+    with pytest.raises(Exception):
+        rows.collect()
