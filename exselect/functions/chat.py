@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from exselect.functions.bind import let
-
 # Roles that are rendered, the masked label and the ASCII whitespace class.
 ROLES = ("system", "user", "assistant")
 MASKED = -100
@@ -119,32 +120,75 @@ def assistant_labels(
         lambda answer: F.size(answer) > 0,
     )
     tokens = F.slice(terms_of(rendered("messages", eos=eos)), 1, max_len)
-    marked = let(tokens, lambda t: F.struct(t.alias("tokens"), _first_matches(t, answers).alias("unmasked")))
-    return chats.select("conv_id", marked.alias("m")).select("conv_id", "m.tokens", "m.unmasked")
-
+    return _with_first_matches(chats.select("conv_id", tokens.alias("tokens"), answers.alias("answers")))
 
-def _first_matches(tokens: Column, answers: Column) -> Column:
-    """Flags of the tokens that lie in the first occurrence of an answer."""
 
-    def first_place(answer: Column) -> Column:
-        places = F.filter(
-            F.sequence(F.lit(1), F.size(tokens)),
-            lambda at: (F.get(tokens, at - 1) == F.get(answer, F.lit(0)))
-            & (F.slice(tokens, at, F.size(answer)) == answer),
-        )
-        return F.struct(F.get(places, F.lit(0)).alias("at"), F.size(answer).alias("size"))
+def first_matches(tokens: Sequence[str], answers: Sequence[Sequence[str]]) -> np.ndarray:
+    """Flags of the tokens that lie in the first occurrence of an answer, in time linear in tokens and answers.
 
-    def inside(spans: Column) -> Column:
-        return F.transform(
-            tokens,
-            lambda _, i: F.coalesce(
-                F.exists(spans, lambda s: (i + 1 >= s["at"]) & (i + 1 < s["at"] + s["size"])), F.lit(False)
-            ),
-        )
+    The answers' terms, as numbers, form a tree. Each node's prefix function leads to the longest proper suffix of what has been
+    read that also begins an answer, so that one pass over the tokens finds all answers. An answer that has been found is
+    passed over from then on. A difference array turns the places into flags.
+    """
+    number: dict[str, int] = {}
+    step: list[dict[int, int]] = [{}]
+    length = [0]  # of the answer that ends at a node, 0 if none does
+    depth = [0]
+    for answer in answers:
+        node = 0
+        for term in answer:
+            term = number.setdefault(term, len(number))
+            if term not in step[node]:
+                step[node][term] = len(step)
+                step.append({})
+                length.append(0)
+                depth.append(depth[node] + 1)
+            node = step[node][term]
+        length[node] = depth[node]
+    suffix = [0] * len(step)  # the prefix function
+    ends = [0] * len(step)  # nearest node on the way of suffixes where an answer ends
+    queue = deque(step[0].values())
+    while queue:
+        node = queue.popleft()
+        for term, child in step[node].items():
+            back = suffix[node]
+            while back and term not in step[back]:
+                back = suffix[back]
+            suffix[child] = step[back].get(term, 0)
+            queue.append(child)
+        ends[node] = suffix[node] if length[suffix[node]] else ends[suffix[node]]
+    change = np.zeros(len(tokens) + 1, np.int64)
+    node = 0
+    for at, token in enumerate(tokens, 1):
+        term = number.get(token, -1)
+        while node and term not in step[node]:
+            node = suffix[node]
+        node = step[node].get(term, 0)
+        found = node if length[node] else ends[node]
+        passed = [node]
+        while found:
+            if length[found]:
+                change[at - length[found]] += 1
+                change[at] -= 1
+                length[found] = 0
+            passed.append(found)
+            found = ends[found]
+        for seen in passed:  # nothing is left to find there
+            ends[seen] = 0
+    return np.cumsum(change[:-1]) > 0
+
+
+def _with_first_matches(chats: DataFrame) -> DataFrame:
+    """Add `unmasked` to (conv_id, tokens, answers)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = [first_matches(t, a) for t, a in zip(batch["tokens"].to_pylist(), batch["answers"].to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch["conv_id"], batch["tokens"], pa.array([f.tolist() for f in flags], pa.list_(pa.bool_()))], names=["conv_id", "tokens", "unmasked"])
 
-    return F.when(F.size(tokens) > 0, let(F.transform(answers, first_place), inside)).otherwise(
-        F.array().cast("array<boolean>")
-    )
+    found = chats.select("conv_id", "tokens", "answers")
+    schema = found.select("conv_id", "tokens", F.array().cast("array<boolean>").alias("unmasked")).schema
+    return found.mapInArrow(run, schema)
 
 
 def with_labels(masked: DataFrame) -> DataFrame:

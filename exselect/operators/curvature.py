@@ -135,27 +135,63 @@ def projection_budget(blocks: DataFrame, budget: int = 8192, unit: int = 512) ->
     )
 
 
+# Fixed values of the sign generator: a prime under 2^31, so that products of two residues fit 64 bits, and the start of the column keys.
+PRIME = 2_147_483_647
+SIGN_STEPS = (48_271, 69_621, 1_664_525)
+TILE_SIGNS = 1 << 21  # signs that a task holds at once
+
+
+def sign_columns(seed: int, block: str, columns: np.ndarray) -> np.ndarray:
+    """Four coefficients below PRIME for each column of a block, from seed, block and column alone: (columns, 4)."""
+    base = (seed * SIGN_STEPS[0] + zlib.crc32(block.encode())) % PRIME
+    key = (np.asarray(columns, np.int64)[:, None] * 4 + np.arange(4) + base) % PRIME
+    for step in SIGN_STEPS:  # two squarings would do; the third parts neighbours further
+        key = (key * key % PRIME + key * step % PRIME + step) % PRIME
+    return key
+
+
+def sign_tile(coefficients: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Signs +-1 at the given rows: (rows, columns). The parity of a cubic polynomial of the row, so any four rows of a
+    column are as good as independent."""
+    x = (np.asarray(rows, np.int64)[:, None] + 1) % PRIME
+    value = np.broadcast_to(coefficients[None, :, 0], (len(x), len(coefficients)))
+    for k in (1, 2, 3):
+        value = (value * x + coefficients[None, :, k]) % PRIME
+    return 1.0 - 2.0 * (value & 1)
+
+
 def sign_matrix(seed: int, block: str, width: int, dim: int) -> np.ndarray:
-    """Random +-1 matrix that every worker regenerates alike, scaled by 1/sqrt(dim)."""
-    rng = np.random.default_rng([seed, zlib.crc32(block.encode())])
-    return (rng.integers(0, 2, size=(width, dim)) * 2 - 1) / math.sqrt(dim)
+    """The whole random +-1 matrix of a block, scaled by 1/sqrt(dim); tasks make tiles of it only."""
+    return sign_tile(sign_columns(seed, block, np.arange(dim)), np.arange(width)) / math.sqrt(dim)
+
+
+def _signed(rows: np.ndarray, seed: int, block: str, dim: int) -> np.ndarray:
+    """rows @ sign_matrix, tile by tile."""
+    out = np.zeros((len(rows), dim))
+    wide = max(1, min(dim, TILE_SIGNS // 64))
+    for first in range(0, dim, wide):
+        coefficients = sign_columns(seed, block, np.arange(first, min(dim, first + wide)))
+        high = max(1, TILE_SIGNS // len(coefficients))
+        for start in range(0, rows.shape[1], high):
+            part = rows[:, start:start + high]
+            out[:, first:first + wide] += part @ sign_tile(coefficients, np.arange(start, start + part.shape[1]))
+    return out / math.sqrt(dim)
 
 
 def sign_projection(
     vectors: DataFrame, id_col: str, layout: Layout, dims: dict[str, int], seed: int = 42
 ) -> DataFrame:
-    """Project each block to dims[block] columns; a block keeping its width is left as it is."""
+    """Project each block to dims[block] columns; a block keeping its width is left as it is.
+
+    A sign follows from seed, block, row and column alone. No task holds more than TILE_SIGNS of them, whatever the width.
+    """
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs = {
-            name: sign_matrix(seed, name, width, dims[name])
-            for name, _, width in layout if dims[name] < width
-        }
         for batch in batches:
             if batch.num_rows:
                 rows = as_matrix(batch["vec"])
                 parts = [
-                    rows[:, start:start + width] @ signs[name] if name in signs
+                    _signed(rows[:, start:start + width], seed, name, dims[name]) if dims[name] < width
                     else rows[:, start:start + width]
                     for name, start, width in layout
                 ]

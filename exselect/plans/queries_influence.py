@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+import zlib
+
 from pyspark.sql import functions as F
 
 from exselect.operators import bm25, curvature, scoring
@@ -190,13 +192,39 @@ def projection_budget(spark, sf):
     return curvature.projection_budget(dims).select("block", "dim", "proj_dim")
 
 
-@query("sign_projection")
+def _sign_sql() -> str:
+    """The generator's cubic polynomials in SQL: coefficients of each column, then the parity at each row."""
+    p, steps = curvature.PRIME, curvature.SIGN_STEPS
+    names = [name for name, _, _ in curvature.even_layout(BLOCKS, BLOCKS)]
+    bases = ", ".join(f"({i}, {(42 * steps[0] + zlib.crc32(name.encode())) % p})" for i, name in enumerate(names))
+    sql = f"""WITH {VECTORS_SQL},
+b(block, base) AS (VALUES {bases}),
+w AS (SELECT max(len(vec)) // {BLOCKS} AS width FROM tr),
+c AS (SELECT block, base, width, unnest(range(width // 2)) AS col FROM b, w WHERE block % 2 = 0),
+k0 AS (SELECT block, width, col, k, (col * 4 + k + base) % {p} AS x FROM c, range(4) r(k)),
+"""
+    for i, step in enumerate(steps):
+        sql += f"k{i + 1} AS (SELECT block, width, col, k, (x * x % {p} + x * {step} % {p} + {step}) % {p} AS x FROM k{i}),\n"
+    return sql + f"""f AS (SELECT block, width, col, max(x) FILTER (k = 0) AS c0, max(x) FILTER (k = 1) AS c1, max(x) FILTER (k = 2) AS c2,
+  max(x) FILTER (k = 3) AS c3 FROM k{len(steps)} GROUP BY ALL),
+s AS (SELECT block, width, col, r, 1 - 2 * ((((c0 * (r + 1) + c1) % {p} * (r + 1) + c2) % {p} * (r + 1) + c3) % {p} % 2) AS sign
+  FROM (SELECT *, unnest(range(width)) AS r FROM f)),
+e AS (SELECT train_id, unnest(vec) AS v, generate_subscripts(vec, 1) - 1 AS spot FROM tr),
+o AS (SELECT train_id, spot // width AS block, spot % width AS r, v, width FROM e, w),
+placed AS (
+  SELECT train_id, s.block, s.col, sum(v * sign) / sqrt(any_value(s.width) // 2) AS value FROM o JOIN s ON o.block = s.block AND o.r = s.r GROUP BY ALL
+  UNION ALL SELECT train_id, block, r, v FROM o WHERE block % 2 = 1)
+SELECT train_id, (row_number() OVER (PARTITION BY train_id ORDER BY block, col) - 1)::INTEGER AS place, round(value, 8) AS value FROM placed"""
+
+
+@query("sign_projection", _sign_sql())
 def sign_projection(spark, sf):
-    """Two blocks are projected, two keep their width."""
+    """Two blocks are projected, two keep their width; one row per value."""
     _, train = vectors(spark, sf)
     layout = _layout(train)
     dims = {name: width if i % 2 else width // 2 for i, (name, _, width) in enumerate(layout)}
-    return curvature.sign_projection(train, "train_id", layout, dims)
+    projected = curvature.sign_projection(train, "train_id", layout, dims)
+    return projected.select("train_id", F.posexplode("vec").alias("place", "value")).withColumn("value", F.round("value", 8))
 
 
 @query(

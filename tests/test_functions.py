@@ -1,6 +1,8 @@
 import math
 
 import pytest
+import random
+
 from pyspark.sql import functions as F
 
 from exselect.functions import chat, grading, labels, text
@@ -184,3 +186,33 @@ def test_small_formats(spark):
     assert apply(spark, labels.nmse, [4.0], "double") == [0.25]
     assert math.isclose(apply(spark, lambda c: labels.nmse(c, 1e-10), [0.0], "double")[0], 1e10)
     assert apply(spark, labels.clean_label, ["gain10At5"]) == ["gainAt"]
+
+
+def test_first_matches_equal_plain_search():
+    rng = random.Random(7)
+    for _ in range(400):
+        tokens = [rng.choice("abc") for _ in range(rng.randrange(0, 40))]
+        answers = [[rng.choice("abcd") for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(0, 12))]
+        want = [False] * len(tokens)
+        for answer in answers:
+            at = next((k for k in range(len(tokens) - len(answer) + 1) if tokens[k:k + len(answer)] == answer), None)
+            if at is not None:
+                want[at:at + len(answer)] = [True] * len(answer)
+        assert chat.first_matches(tokens, answers).tolist() == want
+
+
+def test_first_matches_take_linear_time():
+    """4,096 equal tokens and 500 answers of up to 500 of them: the steps are those of one pass."""
+    class Counted(str):
+        looked_up = 0
+
+        def __hash__(self):
+            Counted.looked_up += 1
+            return super().__hash__()
+
+        __eq__ = str.__eq__
+
+    tokens, answers = [Counted("a")] * 4096, [[Counted("a")] * k + [Counted("b")] * (k % 2) for k in range(1, 501)]
+    found = chat.first_matches(tokens, answers)
+    assert found[:500].all() and not found[500:].any()
+    assert Counted.looked_up <= 4096 + sum(map(len, answers))

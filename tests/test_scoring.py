@@ -226,3 +226,26 @@ def test_term_tables(texts):
     assert df == {"a": 3, "b": 3, "c": 3, "d": 2, "e": 2, "f": 2, "g": 1}
     tf = {(r["train_id"], r["term"]): r["tf"] for r in bm25.term_frequency(texts[1], "train_id").collect()}
     assert tf[0, "a"] == 2 and tf[3, "a"] == 3 and len(tf) == 16
+
+
+def test_signs_come_from_tiles_of_bounded_size(monkeypatch):
+    rows = RNG.normal(size=(3, 5000))
+    want = rows @ curvature.sign_matrix(1, "w", 5000, 96)
+    made = []
+    real = curvature.sign_tile
+    monkeypatch.setattr(curvature, "TILE_SIGNS", 4096)
+    monkeypatch.setattr(curvature, "sign_tile", lambda c, r: made.append(len(c) * len(r)) or real(c, r))
+    np.testing.assert_allclose(curvature._signed(rows, 1, "w", 96), want)
+    assert max(made) <= 4096 and sum(made) == 5000 * 96
+
+
+def test_signs_are_balanced_and_uncorrelated():
+    signs = curvature.sign_matrix(42, "w", 4000, 64) * 8
+    assert set(np.unique(signs)) == {-1.0, 1.0} and abs(signs.mean()) < 0.01
+    of_columns = signs.T @ signs / 4000 - np.eye(64)
+    of_rows = signs[:200] @ signs[:200].T / 64 - np.eye(200)
+    assert abs(of_columns).max() < 0.1 and abs(of_rows).max() < 0.75
+    assert abs(signs[:, 0] @ (curvature.sign_matrix(42, "v", 4000, 64)[:, 0] * 8)) < 300
+    assert not (curvature.sign_matrix(43, "w", 4000, 64) * 8 == signs).all()
+    wide = curvature._signed(np.ones((1, 10**7)), 42, "w", 2)
+    assert np.isfinite(wide).all()
