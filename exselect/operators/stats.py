@@ -9,6 +9,7 @@ rows is one row here.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -171,33 +172,65 @@ def paired_t(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> Da
     ).drop("_mean", "_sd")
 
 
+EXACT_RANKS = 50  # up to so many differences without ties the null distribution is counted out
+
+
+@lru_cache(maxsize=EXACT_RANKS + 1)
+def rank_sum_tail(n: int) -> list[float]:
+    """P(W+ >= w) for w = 0 .. n (n + 1) / 2 if all 2^n signs are as likely: sums of subsets of 1 .. n, counted rank by rank."""
+    ways = [1]
+    for rank in range(1, n + 1):
+        longer = ways + [0] * rank
+        for w, count in enumerate(ways):
+            longer[w + rank] += count
+        ways = longer
+    tail, total = [], 0
+    for count in reversed(ways):
+        total += count
+        tail.append(total / 2**n)
+    return tail[::-1]
+
+
+@F.pandas_udf(DoubleType())
+def _signed_rank_p(n: pd.Series, w_plus: pd.Series, plain: pd.Series, z: pd.Series) -> pd.Series:
+    def one(n_, w, exact, z_):
+        if exact and n_ <= EXACT_RANKS:
+            return rank_sum_tail(int(n_))[int(w)]
+        return None if z_ is None or math.isnan(z_) else 0.5 * math.erfc(z_ / math.sqrt(2.0))
+
+    return pd.Series([one(*row) for row in zip(n, w_plus, plain, z)], dtype="float64")
+
+
 def wilcoxon(
     df: DataFrame, a: str, b: str, keys: list[str] | None = None, per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Signed-rank test, alternative a > b, zeros dropped, tie-corrected normal p-value.
+    """Signed-rank test, alternative a > b: (keys, n, w_plus, z, p_value); zeros are dropped.
 
-    (keys, n, w_plus, z, p_value). Everything is a sum over distinct |a - b|, so no rank goes back to
-    a row.
+    z is corrected for ties. The p-value is that of z, but up to EXACT_RANKS differences, none of them zero or tied,
+    it comes from the exact null distribution of rank sums. Everything is a sum over distinct |a - b|, so no
+    rank goes back to a row.
     """
     keys = keys or ["_all"]
     if keys == ["_all"]:
         df = df.withColumn("_all", F.lit(0))
-    signed = df.withColumn("_d", F.col(a) - F.col(b)).where(
-        F.col("_d").isNotNull() & ~F.isnan("_d") & (F.col("_d") != 0)
-    ).withColumn("_abs", F.abs("_d"))
-    counts = cut_lineage(signed.groupBy(*keys, "_abs").agg(
+    signed = df.withColumn("_d", F.col(a) - F.col(b)).where(F.col("_d").isNotNull() & ~F.isnan("_d")).withColumn("_abs", F.abs("_d"))
+    every = cut_lineage(signed.groupBy(*keys, "_abs").agg(
         F.count("*").alias("_n"), F.sum((F.col("_d") > 0).cast("bigint")).alias("_plus")
     ))
+    counts = every.where("_abs != 0")
     ranks = value_ranks(counts, keys, "_abs", "_n", bucket_edges(counts, "_abs", counts.count(), per_bucket))
     size = F.col("_n").cast("double")
     sums = ranks.groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.sum(F.col("rank") * F.col("_plus")).alias("w_plus"),
         F.sum(size * size * size - size).alias("_ties"),
     )
+    zeros = every.where("_abs = 0").select(*keys, F.lit(True).alias("_zeros"))
+    sums = sums.join(zeros, keys, "left")  # one row per key
     n = F.col("n").cast("double")
     variance = (n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24
     z = F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(variance))
-    return sums.withColumn("z", z).withColumn("p_value", 1.0 - normal_cdf("z")).drop("_ties", "_all")
+    plain = (F.col("_ties") == 0) & F.col("_zeros").isNull()
+    return sums.withColumn("z", z).withColumn("p_value", _signed_rank_p("n", "w_plus", plain, "z")).drop("_ties", "_all", "_zeros")
 
 
 def fraction_larger(df: DataFrame, a: str, b: str, out: str = "pct_larger") -> DataFrame:

@@ -181,13 +181,26 @@ def sanity_signed_rank(spark, sf):
     )
 
 
-@query("sanity_p_values")
+@query(
+    "sanity_p_values",
+    f"""WITH {SANITY_SQL},
+t AS (SELECT estimator, count(*) AS n, avg(j1 - j0) / (stddev_samp(j1 - j0) / sqrt(count(*))) AS t, count(*) - 1 AS v FROM s WHERE j1 IS NOT NULL AND j0 IS NOT NULL GROUP BY 1),
+x AS (SELECT estimator, j1 - j0 AS d FROM s WHERE j1 <> j0), a AS (SELECT estimator, abs(d) AS a, count(*) AS n, sum((d > 0)::BIGINT) AS p FROM x GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY estimator ORDER BY a) - n + (n + 1) / 2 AS rank FROM a),
+w AS (SELECT estimator, sum(n)::DOUBLE AS n, sum(rank * p)::DOUBLE AS w_plus, sum(n * n * n - n)::DOUBLE AS ties FROM r GROUP BY 1),
+z AS (SELECT estimator, (w_plus - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM w),
+i AS (SELECT k, CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END / 12000 AS share, k / 4000 AS f FROM range(4001) q(k)),
+pt AS (SELECT estimator, n, 0.5 - any_value(t) * sum(share * exp(lgamma((v + 1) / 2) - lgamma(v / 2) - (v + 1) / 2 * ln(1 + f * f * t * t / v)) / sqrt(v * pi())) AS p
+  FROM t, i GROUP BY 1, 2),
+pz AS (SELECT estimator, 0.5 - any_value(z) * sum(share * exp(-f * f * z * z / 2)) / sqrt(2 * pi()) AS p FROM z, i GROUP BY 1)
+SELECT pt.estimator, pt.n, round(pt.p, 7) AS p_t, round(pz.p, 7) AS p_w FROM pt JOIN pz ON pt.estimator IS NOT DISTINCT FROM pz.estimator""",
+)
 def sanity_p_values(spark, sf):
     """p-values of both tests per estimator."""
     rows = sanity(spark, sf)
     t = stats.paired_t(rows, "jsd_selection", "jsd_random", ["estimator"]).withColumnRenamed("p_value", "p_t")
     w = stats.wilcoxon(rows, "jsd_selection", "jsd_random", ["estimator"]).select("estimator", F.col("p_value").alias("p_w"))
-    return t.join(w, "estimator").select("estimator", "n", F.round("p_t", 8).alias("p_t"), F.round("p_w", 8).alias("p_w"))
+    return t.join(w, "estimator").select("estimator", "n", F.round("p_t", 7).alias("p_t"), F.round("p_w", 7).alias("p_w"))
 
 
 @query("sanity_fraction_larger", f"WITH {SANITY_SQL} SELECT round(avg((d1 > d0)::INTEGER) * 100, 8) AS pct_larger FROM s")

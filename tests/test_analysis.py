@@ -283,3 +283,22 @@ def test_masked_tokens_do_not_count(spark):
     assert (both[1].jsd, both[1].kld) == (alone.jsd, alone.kld) and both[2].jsd is None
     assert {r.doc_id: r.jsd for r in validation.jsd(tokens, mask="own").collect()}[1] == alone.jsd
     assert {r.doc_id: r.kld for r in validation.kld(tokens, mask="own").collect()}[1] == alone.kld
+
+
+def test_small_signed_rank_tests_are_counted_out(spark):
+    """Against all sign patterns; with ties or zeros the normal value stays, and groups do not mix."""
+    import itertools
+    rows, want = [], {}
+    for g, d in enumerate([[1.0], [-2.0, 1.0, 3.5], [0.3, -0.1, 2.0, 5.0, -7.0, 1.5, 0.9], [1.0, 1.0, -2.0], [0.0, 1.0, 2.0, -3.0]]):
+        rows += [(g, x, 0.0) for x in d]
+        kept = [x for x in d if x]
+        order = sorted(map(abs, kept))
+        if len(set(order)) == len(kept) == len(d):
+            w = sum(order.index(abs(x)) + 1 for x in kept if x > 0)
+            sums = [sum(r for r, s in zip(range(1, len(kept) + 1), signs) if s) for signs in itertools.product([0, 1], repeat=len(kept))]
+            want[g] = sum(s >= w for s in sums) / len(sums)
+    got = {r.g: r for r in stats.wilcoxon(spark.createDataFrame(rows, "g int, x double, y double"), "x", "y", ["g"]).collect()}
+    assert set(want) == {0, 1, 2} and all(got[g].p_value == pytest.approx(p, abs=1e-12) for g, p in want.items())
+    assert all(got[g].p_value == pytest.approx(0.5 * math.erfc(got[g].z / math.sqrt(2)), abs=1e-12) for g in (3, 4))
+    tail = stats.rank_sum_tail(50)
+    assert tail[0] == 1.0 and tail[-1] == 2.0**-50 and tail[638] == pytest.approx(0.5, abs=1e-9)

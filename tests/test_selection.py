@@ -275,3 +275,53 @@ def test_every_setting_is_selected_and_scored(spark, sides):
     own = scored.where("selection LIKE '%sanity%'").collect()
     assert all(r["t"] == pytest.approx([1.0]) for r in own)
     assert scored.agg(F.max("pred_gain")).first()[0] == max(r["pred_gain"] for r in own)
+
+
+class _Reduced:
+    """What the nets read of a problem."""
+
+    def __init__(self, r, c):
+        self.k, self.b, self.width = r.T @ r, r.T @ c, len(c)
+
+
+@pytest.mark.parametrize("l2", [0.7, 0.01])
+def test_nets_end_where_the_optimality_conditions_hold(l2):
+    rng = np.random.default_rng(9)
+    for trial in range(120):
+        size, width, l1 = rng.integers(1, 26), rng.choice([3, 40, 200]), rng.choice([0.0, 0.001, 0.05, 0.3, 2.0])
+        r = rng.normal(size=(width, size)) * rng.choice([0.1, 1, 5])
+        if trial % 5 == 0 and size > 1:
+            r[:, 1] = r[:, 0]
+        p = _Reduced(r, rng.normal(size=width) * 3 + r @ rng.normal(size=size))
+        g, h, _ = coders._net(p, l2)
+        scale = max(1.0, np.abs(g).max(), np.abs(h).max())
+        t = coders.elastic_net(p, l1, l2)
+        assert coders.violation(g, h, l1, t) <= 1e-7 * scale
+        u = coders.penalised_net(p, l1, l2, 0.5)
+        assert coders.violation(g, h, l1, u, coders.softplus_square(u, 0.5)[1]) <= 1e-7 * scale
+        loss = lambda x: x @ g @ x - 2 * h @ x + l1 * np.abs(x).sum()
+        assert all(loss(t) <= loss(t + rng.normal(size=size) * s) for s in (1e-4, 1e-2, 1) for _ in range(5))
+
+
+def test_path_drops_entries_on_its_way():
+    """A fixed problem on which an entry enters, leaves and stays out: the end equals an exhaustive search over supports and signs."""
+    import itertools
+    rng = np.random.default_rng(0)
+    dropped = 0
+    for _ in range(200):
+        base = rng.normal(size=(4, 4))
+        g = base @ base.T + 0.01 * np.eye(4)
+        h = rng.normal(size=4)
+        l1 = 0.05
+        best, found = np.inf, None
+        for signs in itertools.product([-1, 0, 1], repeat=4):
+            s = np.array(signs)
+            on = s != 0
+            t = np.zeros(4)
+            if on.any():
+                t[on] = np.linalg.solve(g[np.ix_(on, on)], h[on] - l1 * s[on] / 2)
+            if (t * s >= 0).all() and (loss := t @ g @ t - 2 * h @ t + l1 * np.abs(t).sum()) < best:
+                best, found = loss, t
+        np.testing.assert_allclose(coders.lasso_path(g, h, l1), found, atol=1e-8)
+        dropped += (coders.lasso_path(g, h, 2 * l1) != 0).sum() > (found != 0).sum()
+    assert dropped
