@@ -29,8 +29,8 @@ from exselect.llm.tables import parts, stored
 from exselect.llm.wordbpe import byte_symbols
 
 BATCH_CHARS = 6 << 20
-CHUNKS_KEPT = 400_000
-JOINED_CHARS = 4096
+CHUNKS_KEPT = 600_000
+JOINED_CHARS = 8192
 LONGEST_KEPT = 64
 SLICES_PER_PARTITION = 2
 
@@ -100,7 +100,8 @@ class Aligner:
 
     def _tokens_a(self, text: str) -> tuple[np.ndarray, np.ndarray | None]:
         encoding = self.a.encode(text, add_special_tokens=False)
-        ids, spans = np.array(encoding.ids, np.int64), np.array(encoding.offsets, np.int64).reshape(-1, 2)
+        ids = np.array(encoding.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         if not text.isascii():  # characters to bytes
             data = np.frombuffer(text.encode(), np.uint8)
             spans = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[spans]
@@ -108,13 +109,12 @@ class Aligner:
 
     def _tokens_b(self, text: str) -> tuple[np.ndarray, np.ndarray | None]:
         """The library's own space stands for the first one of the text."""
-        proto = self.b.encode(text[1:], return_type="proto", num_threads=1)
-        tokens = np.array([(p.id, p.begin, p.end) for p in proto.pieces], np.int64).reshape(-1, 3)
-        if not len(tokens):  # nothing but the space
-            tokens = np.array([[self.space, 0, 0]])
-        tokens[:, 2] += 1
-        tokens[1:, 1] += 1
-        return tokens[:, 0], token_ends(tokens[:, 1], tokens[:, 2], self.sizes_b[tokens[:, 0]])
+        pieces = self.b.encode(text[1:], return_type="proto", num_threads=1).pieces
+        ids, ends = np.array([p.id for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64) + 1
+        if not len(ids):  # nothing but the space
+            ids, ends = np.array([self.space]), np.array([1])
+        # Spans lie side by side, so each begins where the one before ends.
+        return ids, token_ends(np.append(0, ends[:-1]), ends, self.sizes_b[ids])
 
     def _side_by_side(self, chunks: list[str]) -> list[Aligned | None]:
         """Chunks that follow one another from a space on, tokenized as one text."""
