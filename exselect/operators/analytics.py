@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exselect.functions import labels
 from exselect.functions.chat import as_messages
-from exselect.operators.scoring import doubles, normalized
+from exselect.operators.curvature import sign_columns, sign_tile
+from exselect.operators.scoring import as_matrix, doubles, normalized
 from exselect.session import cut_lineage, small_side
 
 DATASET_KEYS = ["train_dataset", "train_split", "test_dataset", "test_split"]
@@ -328,20 +333,95 @@ def alias_db(column: Column, value: str) -> Column:
     return column.alias(f"{value}_db")
 
 
+MERGED_AT_ONCE = 16
+MAP_ROUNDS = 500
+
+
+def _merged_factors(factors: DataFrame, parts: int, size: int) -> list[np.ndarray]:
+    """[R, W] of all tasks' (part, r, w): R of their stacked rows, by QR of two at a time, W their sum; a tree of MERGED_AT_ONCE."""
+    def join(found: Iterator[tuple[bytes, bytes]]) -> list[np.ndarray]:
+        r, w = np.zeros((0, size)), 0.0
+        for more_r, more_w in found:
+            r = np.linalg.qr(np.vstack([r, np.frombuffer(more_r).reshape(-1, size)]), mode="r")
+            w = w + np.frombuffer(more_w).reshape(size, -1)
+        return [r, w]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]  # MERGED_AT_ONCE at most, up to chance
+        for part in sorted({row["part"] for row in rows}):
+            r, w = join((row["r"], row["w"]) for row in rows if row["part"] == part)
+            yield pa.RecordBatch.from_pylist([{"part": part, "r": r.tobytes(), "w": w.tobytes()}])
+
+    while parts > MERGED_AT_ONCE:
+        parts = -(-parts // MERGED_AT_ONCE)
+        factors = factors.withColumn("part", F.col("part") % parts).repartition(parts, "part").mapInArrow(run, factors.schema)
+    return join((row["r"], row["w"]) for row in factors.collect())
+
+
+def principal_axes(rows: DataFrame, centre: np.ndarray, components: int, oversampling: int = 10, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(width x components axes, variance along each) of rows(vec) around `centre`, by a randomised range finder.
+
+    A scan multiplies the rows with a few random directions, keeps the triangle of the products' QR factors, merged as a
+    tree, and what the rows give back through them. The singular vectors of that small matrix are the next directions, until they
+    hold the axes. The driver and each task hold width x (components + oversampling) numbers.
+    """
+    width = len(centre)
+    size = min(width, components + oversampling)
+    basis = np.linalg.qr(sign_tile(sign_columns(seed, "map", np.arange(size)), np.arange(width)))[0]
+    total = 0
+
+    def scan(around: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r, w = np.zeros((0, around.shape[1])), np.zeros((around.shape[1], width))
+            for batch in batches:
+                if batch.num_rows:
+                    part = as_matrix(batch["vec"]) - centre
+                    product = part @ around
+                    r = np.linalg.qr(np.vstack([r, product]), mode="r")
+                    w += product.T @ part
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "r": r.tobytes(), "w": w.tobytes()}])
+
+        return run
+
+    total, parts = rows.count(), rows.rdd.getNumPartitions()
+    for _ in range(MAP_ROUNDS):
+        r, w = _merged_factors(rows.select("vec").mapInArrow(scan(basis), "part long, r binary, w binary"), parts, size)
+        given = np.linalg.lstsq(r.T, w, rcond=1e-12)[0] if len(r) == size else np.linalg.pinv(r.T) @ w
+        _, values, axes = np.linalg.svd(given, full_matrices=False)
+        found = axes[:components].T
+        missed = np.abs(found - basis @ (basis.T @ found)).max(initial=0.0)
+        basis = np.linalg.qr(np.hstack([axes.T, basis]))[0][:, :size] if len(axes) < size else axes.T
+        if size == width or missed < 1e-10:
+            signs = np.where(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])] >= 0, 1.0, -1.0)
+            return found * signs, values[:components] ** 2 / max(1, total - 1)
+    raise ArithmeticError("the axes do not settle: the variance along the last one is that along many others")
+
+
 def linear_map(vectors: DataFrame, id_col: str, components: int = 2, normalize: bool = False) -> DataFrame:
     """(id, coords): principal components of the centred vectors, each with its largest weight positive."""
     rows = vectors.select(id_col, doubles().alias("vec"))
     rows = normalized(rows) if normalize else rows
-    rows = rows.select(id_col, array_to_vector("vec").alias("vec"))
-    # One vector of the data's width leaves the cluster; the plan holds its projection only.
-    centre = rows.select(Summarizer.mean(F.col("vec")).alias("m")).first()["m"].toArray()
-    model = PCA(k=components, inputCol="vec", outputCol="pc").fit(rows)
-    weights = model.pc.toArray()
-    signs = [1.0 if w[abs(w).argmax()] >= 0 else -1.0 for w in weights.T]
-    middle = centre @ weights
-    moves = F.array(*[F.struct(F.lit(s).alias("sign"), F.lit(float(m)).alias("middle")) for s, m in zip(signs, middle)])
-    coords = F.zip_with(vector_to_array("pc"), moves, lambda x, move: (x - move["middle"]) * move["sign"])
-    return model.transform(rows).select(id_col, coords.alias("coords"))
+    # One vector of the data's width leaves the cluster, and the few directions of each round.
+    centre = rows.select(Summarizer.mean(array_to_vector("vec")).alias("m")).first()["m"].toArray()
+    axes, _ = principal_axes(rows, centre, components)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                coords = (as_matrix(batch["vec"]) - centre) @ axes
+                yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(list(coords), pa.list_(pa.float64()))], names=[id_col, "coords"])
+
+    schema = rows.select(id_col, F.array().cast("array<double>").alias("coords")).schema
+    return rows.select(id_col, "vec").mapInArrow(place, schema)
+
+
+def map_variance(vectors: DataFrame, id_col: str, components: int = 2, normalize: bool = False) -> DataFrame:
+    """(component, variance): what each axis of `linear_map` explains."""
+    rows = vectors.select(id_col, doubles().alias("vec"))
+    rows = normalized(rows) if normalize else rows
+    centre = rows.select(Summarizer.mean(array_to_vector("vec")).alias("m")).first()["m"].toArray()
+    _, variance = principal_axes(rows, centre, components)
+    return vectors.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(variance, 1)], "component int, variance double")
 
 
 def selected_chats(selections: DataFrame, conversations: DataFrame, turns: int = 2) -> DataFrame:

@@ -691,6 +691,31 @@ def linear_map_2d(spark, sf):
     )
 
 
+@query(
+    "linear_map_variance",
+    """WITH RECURSIVE e AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+l AS (SELECT id, sqrt(sum(x * x)) AS l FROM e GROUP BY 1),
+u AS (SELECT e.id, i, CASE WHEN l > 0 THEN x / l ELSE x END AS x FROM e JOIN l USING (id)),
+d AS (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM u),
+c AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM d a JOIN d b USING (id) GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY 1)),
+p1 AS (SELECT 0 AS n, list_transform(m, lambda r: 1.0::DOUBLE / len(m) + r[1]) AS v FROM m
+  UNION ALL SELECT n + 1, list_transform(y, lambda q: q / sqrt(list_dot_product(y, y)))
+  FROM (SELECT n, list_transform(m, lambda r: list_dot_product(r, v)) AS y FROM p1, m WHERE n < 3000)),
+v1 AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS s FROM p1, m WHERE n = 3000),
+m2 AS MATERIALIZED (SELECT list_transform(m, lambda r, i: list_transform(r, lambda q, j: q - s * v[i] * v[j])) AS m FROM m, v1),
+p2 AS (SELECT 0 AS n, list_transform(m, lambda r: 1.0::DOUBLE / len(m) + r[1]) AS v FROM m2
+  UNION ALL SELECT n + 1, list_transform(y, lambda q: q / sqrt(list_dot_product(y, y)))
+  FROM (SELECT n, list_transform(m, lambda r: list_dot_product(r, v)) AS y FROM p2, m2 WHERE n < 3000))
+SELECT 1 AS component, round(s, 7) AS variance FROM v1
+UNION ALL SELECT 2, round(list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))), 7) FROM p2, m2 WHERE n = 3000""",
+)
+def linear_map_variance(spark, sf):
+    """Against power iteration on the covariance."""
+    rows = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return analytics.map_variance(rows, "id", 2, normalize=True).withColumn("variance", F.round("variance", 7))
+
+
 @query(
     "rows_drawn_with_replacement",
     """WITH n AS (SELECT count(*) AS n FROM documents), i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents),

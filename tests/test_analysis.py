@@ -302,3 +302,17 @@ def test_small_signed_rank_tests_are_counted_out(spark):
     assert all(got[g].p_value == pytest.approx(0.5 * math.erfc(got[g].z / math.sqrt(2)), abs=1e-12) for g in (3, 4))
     tail = stats.rank_sum_tail(50)
     assert tail[0] == 1.0 and tail[-1] == 2.0**-50 and tail[638] == pytest.approx(0.5, abs=1e-9)
+
+
+def test_linear_map_of_wide_vectors(spark, monkeypatch):
+    """Wider than the directions that are kept, over many partitions that merge as a tree."""
+    monkeypatch.setattr(analytics, "MERGED_AT_ONCE", 2)
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(120, 80)) * np.append([30, 20, 10], np.full(77, 1.0)) @ np.linalg.qr(rng.normal(size=(80, 80)))[0] + 5
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "id bigint, vec array<double>").repartition(7)
+    got = np.array([r["coords"] for r in analytics.linear_map(df, "id", 3).orderBy("id").collect()])
+    centred = rows - rows.mean(axis=0)
+    _, s, vh = np.linalg.svd(centred, full_matrices=False)
+    want = centred @ np.array([w * np.sign(w[np.abs(w).argmax()]) for w in vh[:3]]).T
+    np.testing.assert_allclose(got, want, atol=1e-6)
+    np.testing.assert_allclose([r.variance for r in analytics.map_variance(df, "id", 3).collect()], s[:3] ** 2 / 119, rtol=1e-9)
