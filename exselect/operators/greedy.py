@@ -9,6 +9,7 @@ floating-point sum cannot flip equal candidates.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +83,41 @@ class _Coverage:
         np.maximum(self.covered, self.similarity[:, best].T, out=self.covered)
 
 
+LAZY_FROM = 512  # from this many candidates on, gains are worked out when a candidate comes up, not for all at each step
+
+
+def _lazy(similarity: np.ndarray, k: int, value, digits: int | None) -> np.ndarray:
+    """Greedy picks of one run by coverage: `value(gain, j)` rises with the gain of candidate j.
+
+    Gains only fall as picks are added, so an earlier gain bounds the present one. The queue holds such bounds; the
+    first candidate whose gain is of the present step beats all others, whatever their gains are now. Ties go to the lower
+    rank, as in the plain rule.
+    """
+    covered = np.zeros(len(similarity))
+
+    def entry(j: int, step: int) -> tuple[float, int, int]:
+        gain = np.maximum(similarity[:, j] - covered, 0.0).sum()
+        return -float(_rounded(np.array([value(gain, j)]), digits)[0]), j, step
+
+    queue = [entry(j, 0) for j in range(similarity.shape[1])]
+    heapify(queue)
+    picks = []
+    while len(picks) < k:
+        _, j, step = queue[0]
+        if step < len(picks):
+            heapreplace(queue, entry(j, len(picks)))
+            continue
+        heappop(queue)
+        picks.append(j)
+        np.maximum(covered, similarity[:, j], out=covered)
+    return np.array(picks, np.int64)
+
+
 def facility_picks(similarity, cost, k, lambdas, digits=None) -> np.ndarray:
     """Largest (gain + 1)^lam / cost^(1 - lam), per lambda."""
+    if len(cost) >= LAZY_FROM:
+        k = min(k, len(cost))
+        return np.stack([_lazy(similarity, k, lambda gain, j, x=x: (gain + 1.0) ** x / cost[j] ** (1.0 - x), digits) for x in map(float, lambdas)])
     lam = np.asarray(lambdas, float)[:, None]
     coverage = _Coverage(similarity, len(lam))
     weight = cost[None] ** (1.0 - lam)
@@ -107,8 +141,11 @@ def aide_picks(similarity, influence, closeness, ks, alpha, beta, gamma, digits=
     One run per k, all to the largest k; the caller cuts each run at its own k.
     """
     factor = np.array([1.0 if k == 1 else 1.0 - 1.0 / (k * (k - 1)) for k in ks])[:, None]
-    coverage = _Coverage(similarity, len(factor))
     fixed = alpha * influence + beta * closeness
+    if len(influence) >= LAZY_FROM:
+        most = min(max(ks), len(influence))
+        return np.stack([_lazy(similarity, most, lambda gain, j, x=x: fixed[j] + gamma * x * gain, digits) for x in factor[:, 0].tolist()])
+    coverage = _Coverage(similarity, len(factor))
     return _greedy(
         len(influence), max(ks), len(factor), lambda: fixed + gamma * factor * coverage.gain(), coverage.take, digits
     )

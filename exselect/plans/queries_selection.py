@@ -81,13 +81,13 @@ def cost_scaling(spark, sf):
     )
 
 
-def ground_sql(order: str) -> str:
+def ground_sql(order: str, m: int = M) -> str:
     """Ground sets with vectors, scaled costs, and cosines of the pairs inside each."""
     c = COST_SQL[order]
-    return f"""{INFLUENCE_SQL}, g0 AS ({ranked_sql('inf', order, M)}),
+    return f"""{INFLUENCE_SQL}, g0 AS ({ranked_sql('inf', order, m)}),
 g AS (SELECT g0.*, vec, {c} AS c, min({c}) OVER w AS c0, max({c}) OVER w AS c1 FROM g0 JOIN tr USING (train_id)
       WINDOW w AS (PARTITION BY test_id)),
-pr AS (SELECT i.test_id, i.rank AS i, j.rank AS j, list_cosine_similarity(i.vec, j.vec) AS cs,
+pr AS MATERIALIZED (SELECT i.test_id, i.rank AS i, j.rank AS j, list_cosine_similarity(i.vec, j.vec) AS cs,
        CASE WHEN i.rank = j.rank THEN 0 ELSE 1 - list_cosine_similarity(i.vec, j.vec) END AS ds
        FROM g i JOIN g j USING (test_id))"""
 
@@ -188,6 +188,84 @@ def aide_picks(spark, sf):
     )
 
 
+PUBLISHED_M, STEPS = 100, 5
+
+
+def stepped_sql(start: str, cover: str, value: str) -> str:
+    """Greedy steps one by one over runs (test_id, run): the largest value, then the lower rank.
+
+    `start` defines `state1(test_id, run, i, held)`, what each element of the ground set holds before any pick, and
+    `fixed(test_id, run, j, ...)`; `cover` is what an element holds after a pick at (held, pr), `value` what a pick is worth.
+    """
+    sql = start
+    for n in range(1, STEPS + 1):
+        taken = " ".join(f"AND NOT EXISTS (FROM p{q} WHERE p{q}.test_id = f.test_id AND p{q}.run = f.run AND p{q}.p = f.j)" for q in range(1, n))
+        sql += f""",
+w{n} AS MATERIALIZED (SELECT s.test_id, s.run, pr.j, sum(CASE WHEN pr.i = pr.j THEN held ELSE 0 END) AS own, sum(greatest(pr.cover - held, 0)) AS gain
+  FROM state{n} s JOIN pv pr ON pr.test_id = s.test_id AND pr.i = s.i GROUP BY ALL),
+p{n} AS MATERIALIZED (SELECT test_id, run, j AS p FROM (SELECT f.test_id, f.run, f.j,
+  row_number() OVER (PARTITION BY f.test_id, f.run ORDER BY round({value}, 9) DESC, f.j) AS n FROM fixed f JOIN w{n} w USING (test_id, run, j) WHERE true {taken}) WHERE n = 1),
+state{n + 1} AS MATERIALIZED (SELECT s.test_id, s.run, s.i, {cover} AS held FROM state{n} s JOIN p{n} USING (test_id, run)
+  JOIN pv pr ON pr.test_id = s.test_id AND pr.i = s.i AND pr.j = p{n}.p)"""
+    picks = " UNION ALL ".join(f"SELECT test_id, run, {n} AS rank, p FROM p{n}" for n in range(1, STEPS + 1))
+    return f"WITH {sql}, picks AS ({picks}) "
+
+
+_PUBLISHED = {order: ground_sql(order, PUBLISHED_M) for order in COST_SQL}
+
+
+@query(
+    "facility_location_at_published_size",
+    stepped_sql(
+        f"""{_PUBLISHED['most_influential']}, pv AS (SELECT test_id, i, j, cs AS cover FROM pr),
+lams AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS run),
+state1 AS (SELECT test_id, run, rank AS i, 0.0::DOUBLE AS held FROM g, lams),
+fixed AS (SELECT test_id, run, rank AS j, 1 + (c - c0) / (c1 - c0) * {PUBLISHED_M - 1} AS cost FROM g, lams)""",
+        "greatest(held, pr.cover)", "pow(gain + 1, f.run) / pow(cost, 1 - f.run)")
+    + "SELECT picks.test_id, run AS lam, picks.rank, train_id FROM picks JOIN g ON g.test_id = picks.test_id AND g.rank = p",
+)
+def facility_location_at_published_size(spark, sf):
+    """Ground sets of 100, five picks, against a twin that takes them one by one."""
+    _, train, top = _ground(spark, sf, "most_influential", PUBLISHED_M)
+    picks = greedy.facility_location(greedy.ground_sets(top, train), [STEPS], grids.LAMBDAS, PUBLISHED_M, DIGITS)
+    return picks.select("test_id", F.col("lambda").alias("lam"), "rank", "train_id")
+
+
+@query(
+    "divine_at_published_size",
+    stepped_sql(
+        f"""{_PUBLISHED['most_harmful']}, md AS (SELECT test_id, max(ds) AS md FROM pr GROUP BY test_id),
+pv AS (SELECT test_id, i, j, 2 * (md - ds) AS cover FROM pr JOIN md USING (test_id)),
+gams AS (SELECT i AS run, pow(10.0::DOUBLE, -4 + 9.0::DOUBLE * i / 19) AS gam FROM range(20) r(i)),
+state1 AS (SELECT test_id, run, rank AS i, md AS held FROM g JOIN md USING (test_id), gams),
+fixed AS (SELECT test_id, run, rank AS j, (c1 - c) / (c1 - c0) AS imp, gam FROM g, gams)""",
+        "held + pr.cover", "imp - gam * own")
+    + """, apart AS (SELECT a.test_id, a.run, round(avg(ds), 9) AS apart FROM picks a JOIN picks b USING (test_id, run)
+  JOIN pr ON pr.test_id = a.test_id AND pr.i = a.p AND pr.j = b.p GROUP BY ALL),
+best AS (SELECT test_id, run FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY apart DESC, run) AS n FROM apart) WHERE n = 1)
+SELECT picks.test_id, picks.rank, train_id FROM picks JOIN best USING (test_id, run) JOIN g ON g.test_id = picks.test_id AND g.rank = p""",
+)
+def divine_at_published_size(spark, sf):
+    _, train, top = _ground(spark, sf, "most_harmful", PUBLISHED_M)
+    return greedy.divine(greedy.ground_sets(top, train), [STEPS], digits=DIGITS).select("test_id", "rank", "train_id")
+
+
+@query(
+    "aide_at_published_size",
+    stepped_sql(
+        f"""{_PUBLISHED['most_influential']}, md AS (SELECT test_id, max(ds) AS md FROM pr GROUP BY test_id),
+pv AS (SELECT test_id, i, j, md - ds AS cover FROM pr JOIN md USING (test_id)),
+state1 AS (SELECT test_id, 1 AS run, rank AS i, 0.0::DOUBLE AS held FROM g),
+fixed AS (SELECT test_id, 1 AS run, rank AS j, 0.2 * abs(score) + 0.8 * list_dot_product(g.vec, te.vec)
+  / (sqrt(list_dot_product(g.vec, g.vec)) * sqrt(list_dot_product(te.vec, te.vec)) + 1e-10) AS fix FROM g JOIN te USING (test_id))""",
+        "greatest(held, pr.cover)", f"fix + 0.5 * {1 - 1 / (STEPS * (STEPS - 1))} * gain")
+    + "SELECT picks.test_id, picks.rank, train_id FROM picks JOIN g ON g.test_id = picks.test_id AND g.rank = p",
+)
+def aide_at_published_size(spark, sf):
+    test, train, top = _ground(spark, sf, "most_influential", PUBLISHED_M)
+    return greedy.aide(greedy.ground_sets(top, train), test, [STEPS], digits=DIGITS).select("test_id", "rank", "train_id")
+
+
 @query(
     "ground_set_similarity",
     f"""WITH {ground_sql('most_helpful')} SELECT test_id, round(avg(cs), 9) AS mean_similarity, round(max(ds), 9) AS max_distance

@@ -325,3 +325,30 @@ def test_path_drops_entries_on_its_way():
         np.testing.assert_allclose(coders.lasso_path(g, h, l1), found, atol=1e-8)
         dropped += (coders.lasso_path(g, h, 2 * l1) != 0).sum() > (found != 0).sum()
     assert dropped
+
+
+@pytest.mark.parametrize("m,k", [(100, 25), (5000, 25)])
+def test_lazy_greedy_picks_are_plain_greedy_picks(m, k, monkeypatch):
+    rng = np.random.default_rng(m)
+    base = rng.normal(size=(m, 6))
+    base[m // 2:] = base[:m - m // 2]  # ties
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    similarity, cost, fixed = base @ base.T, rng.uniform(1, m, m).round(2), rng.random(m).round(2)
+    lambdas, ks = [0.0, 0.5, 1.0], [1, 2, k]
+
+    def plain(value):
+        covered, picks = np.zeros(m), []
+        for _ in range(k):
+            values = np.round(value(np.maximum(similarity - covered[:, None], 0.0).sum(axis=0)), 9)
+            values[picks] = -np.inf
+            picks.append(int(values.argmax()))
+            covered = np.maximum(covered, similarity[:, picks[-1]])
+        return picks
+
+    monkeypatch.setattr(greedy, "LAZY_FROM", 1)
+    for lam, got in zip(lambdas, greedy.facility_picks(similarity, cost, k, lambdas, 9)):
+        assert got.tolist() == plain(lambda gain, lam=lam: (gain + 1) ** lam / cost ** (1 - lam))
+    got = greedy.aide_picks(similarity, fixed, fixed, ks, 0.2, 0.8, 0.5, 9)
+    for n, picks in zip(ks, got):
+        f = 1.0 if n == 1 else 1 - 1 / (n * (n - 1))
+        assert picks.tolist() == plain(lambda gain, f=f: 0.2 * fixed + 0.8 * fixed + 0.5 * f * gain)
