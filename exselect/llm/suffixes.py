@@ -138,28 +138,64 @@ def sorted_names(names: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def named_by_symbols(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Names of the leftmost-smaller substrings in order of symbols and types, a few symbols at a time, and their number.
+
+    Only substrings that still equal others are compared further. None is the start of another: where types agree
+    as well, both end at the same place.
+    """
+    lengths = np.append(np.diff(lms) + 1, 1)
+    bits = (2 * int(s.max()) + 2).bit_length()
+    each = max(1, 62 // bits)
+    rank, left, done = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
+    while len(left):
+        packed = np.zeros(len(left), np.int64)
+        for k in range(done, done + each):
+            at = np.minimum(lms[left] + k, len(s) - 1)
+            packed = packed << bits | np.where(k < lengths[left], 2 * s[at] + small[at] + 1, 0)
+        order = np.lexsort((packed, rank[left]))
+        left, packed = left[order], packed[order]
+        group, here = rank[left], np.arange(len(left))
+        other = np.append(True, group[1:] != group[:-1])
+        new = other | np.append(True, packed[1:] != packed[:-1])
+        first = np.maximum.accumulate(np.where(new, here, 0))
+        rank[left] = group + first - np.maximum.accumulate(np.where(other, here, 0))
+        alone = new & np.append(new[1:], True)
+        done += each
+        left = left[~alone & (lengths[left] > done)]
+    seen = np.zeros(len(lms), np.int64)
+    seen[rank] = 1
+    dense = np.cumsum(seen) - 1
+    return dense[rank], int(dense[-1]) + 1
+
+
 def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of integers below `size`; the last one must be 0 and the only 0."""
     if len(s) == 1:
         return np.zeros(1, np.int64)
-    sort = induce if size <= WIDEST else induce_each
     small = classify(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     # Leftmost-smaller substrings in order, named, and the string of their names sorted in turn.
-    sa = sort(s, small, lms, size)
-    is_lms = np.zeros(len(s), bool)
-    is_lms[lms] = True
-    ordered = sa[is_lms[sa]]
-    place = np.empty(len(s), np.int64)
-    place[lms] = np.arange(len(lms))
-    lengths = np.append(np.diff(lms) + 1, 1)
-    names_in_order = np.cumsum(~_same_as_before(s, ordered, lengths[place[ordered]])) - 1
-    names = np.empty(len(lms), np.int64)
-    names[place[ordered]] = names_in_order
-    count = int(names_in_order[-1]) + 1
+    if size > WIDEST:
+        names, count = named_by_symbols(s, small, lms)
+    else:
+        sa = induce(s, small, lms, size)
+        is_lms = np.zeros(len(s), bool)
+        is_lms[lms] = True
+        ordered = sa[is_lms[sa]]
+        place = np.empty(len(s), np.int64)
+        place[lms] = np.arange(len(lms))
+        lengths = np.append(np.diff(lms) + 1, 1)
+        names_in_order = np.cumsum(~_same_as_before(s, ordered, lengths[place[ordered]])) - 1
+        names = np.empty(len(lms), np.int64)
+        names[place[ordered]] = names_in_order
+        count = int(names_in_order[-1]) + 1
     if count < len(lms):
         ordered = lms[sorted_names(names, count)]
-    return sort(s, small, ordered, size)
+    else:
+        ordered = np.empty(len(lms), np.int64)
+        ordered[names] = lms
+    return (induce if size <= WIDEST else induce_each)(s, small, ordered, size)
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
