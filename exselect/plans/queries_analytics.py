@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from exselect.functions.labels import decibel, extract_k
-from exselect.operators import analytics, checks, ranking, stats, validation
+from exselect.operators import analytics, checks, greedy, ranking, scoring, stats, validation
+from exselect.plans.queries_influence import ranked_sql
 from exselect.plans.registry import (
-    ESTIMATORS, SCORING_SQL, VALIDATION_SQL, VECTORS_SQL, query, scoring_records, validation_records, vectors,
+    DIGITS, ESTIMATORS, INFLUENCE_SQL, SCORING_SQL, VALIDATION_SQL, VECTORS_SQL, query, scoring_records, validation_records, vectors,
 )
-from exselect.session import union_all
+from exselect.session import cut_lineage, union_all
 from exselect.sources.readers import read_table
 from exselect.sources.results import pending, upsert_values
 from exselect.sources.splits import with_index
@@ -50,9 +51,22 @@ def token_probs(spark, sf):
     test, train = vectors(spark, sf)
     centre = train.select(Summarizer.mean(array_to_vector("vec")).alias("m")).first()["m"].toArray()
     mean = F.array(*[F.lit(float(x)) for x in centre])
-    mixed = test.withColumn("after", F.zip_with("vec", mean, lambda x, m: (x + m) / 2))
-    step = -(-len(centre) // 4)
-    pos = F.explode(F.sequence(F.lit(0), F.lit(-(-len(centre) // step) - 1)))
+    return _sliced(test.withColumn("after", F.zip_with("vec", mean, lambda x, m: (x + m) / 2)), len(centre))
+
+
+def selection_token_probs(spark, sf, k=5):
+    """The same with the mean of the k most influential train vectors of each test vector."""
+    test, train = vectors(spark, sf)
+    top = scoring.top_influence(test, train, k, ["most_influential"], digits=DIGITS)
+    picked = greedy.ground_sets(top, train).groupBy("test_id").agg(Summarizer.mean(array_to_vector("vec")).alias("m"))
+    mixed = test.join(picked.select("test_id", vector_to_array("m").alias("m")), "test_id")
+    width = train.agg(F.max(F.size("vec"))).first()[0] or 4
+    return _sliced(mixed.withColumn("after", F.zip_with("vec", "m", lambda x, m: (x + m) / 2)), width)
+
+
+def _sliced(mixed, width):
+    step = -(-width // 4)
+    pos = F.explode(F.sequence(F.lit(0), F.lit(-(-width // step) - 1)))
     parts = mixed.select("test_id", "vec", "after", pos.alias("pos"))
     cut = parts.select(
         F.col("test_id").alias("doc_id"), "pos", F.slice("vec", F.col("pos") * step + 1, F.lit(step)).alias("b"),
@@ -78,6 +92,32 @@ def divergences_as_published(spark, sf):
     )
 
 
+SELECTION_TOKENS_SQL = f"""
+sel AS ({ranked_sql('inf', 'most_influential', 5)}),
+own AS (SELECT test_id, list(m ORDER BY j) AS m FROM (SELECT test_id, j, avg(x) AS m FROM (
+  SELECT test_id, unnest(range(1, len(vec) + 1)) AS j, unnest(vec) AS x FROM sel JOIN tr USING (train_id)) GROUP BY 1, 2) GROUP BY 1),
+mixed AS""" + TOKENS_SQL.split("mixed AS", 1)[1].replace("mean.m[i]", "own.m[i]").replace("FROM te, mean)", "FROM te JOIN own USING (test_id))")
+
+
+@query(
+    "masked_metrics_of_selections",
+    f"""WITH {INFLUENCE_SQL}, {SELECTION_TOKENS_SQL},
+kept AS (SELECT * FROM pm WHERE list_max(pb) < 0.5)
+SELECT t.doc_id, jsd, kld, log_p_before, log_p_after, delta_log_p FROM (SELECT DISTINCT doc_id FROM pm) t LEFT JOIN (
+  SELECT doc_id, round(avg(0.5 * {_kl('pm', 'pb')} + 0.5 * {_kl('pm', 'pa')}), 9) AS jsd, round(avg({_kl('pb', 'pa')}), 9) AS kld,
+    round(sum(ln(list_max(pb))), 8) AS log_p_before, round(sum(ln(list_max(pa))), 8) AS log_p_after, round(sum(ln(list_max(pa))) - sum(ln(list_max(pb))), 8) AS delta_log_p
+  FROM kept GROUP BY doc_id) USING (doc_id)""",
+)
+def masked_metrics_of_selections(spark, sf):
+    """Before and after mixing with the own selection, over the tokens that are not near certain."""
+    tokens = cut_lineage(selection_token_probs(spark, sf).withColumn("unmasked", F.array_max("p_before") < 0.5))
+    apart = validation.divergences(tokens, mask="unmasked").select("doc_id", F.round("jsd", 9).alias("jsd"), F.round("kld", 9).alias("kld"))
+    logs = tokens.select("doc_id", "unmasked", F.log(F.array_max("p_before")).alias("log_p_before"), F.log(F.array_max("p_after")).alias("log_p_after"))
+    change = validation.delta_log_p(logs, mask="unmasked")
+    names = ("log_p_before", "log_p_after", "delta_log_p")
+    return apart.join(change.select("doc_id", *[F.round(c, 8).alias(c) for c in names]), "doc_id")
+
+
 @query(
     "jsd_textbook",
     f"""WITH {VECTORS_SQL}, {TOKENS_SQL} SELECT doc_id, round(avg(0.5 * {_kl('pb', 'pm')} + 0.5 * {_kl('pa', 'pm')}), 9) AS jsd FROM pm GROUP BY doc_id""",
@@ -296,10 +336,24 @@ def fisher_z_on_validation_score(spark, sf):
     ])
 
 
-@query("significant_lambdas")
+@query(
+    "significant_lambdas",
+    "WITH " + DERIVED_SQL + f", c AS (SELECT *, {CATEGORY_SQL} AS cat FROM d WHERE pred_gain > 1), c2 AS (SELECT * FROM c WHERE cat NOT IN ('Other', 'Naive')), "
+    + RANKS.format(keys="estimator, cat", x="pred_gain", y="l1", source="c2")
+    + """, z AS (SELECT s.estimator, s.cat, (atanh(b.rho) - atanh(s.rho)) / sqrt(1 / (b.n - 3) + 1 / (s.n - 3)) AS z
+FROM sp s JOIN sp b ON s.estimator = b.estimator AND b.cat = '0.0' WHERE s.n > 3 AND b.n > 3)
+SELECT estimator, tail, string_agg(cat, ',' ORDER BY cat::DOUBLE) AS categories FROM z, (VALUES ('upper'), ('lower')) t(tail)
+WHERE CASE tail WHEN 'upper' THEN z > 1.6448536269514722 ELSE z < -1.6448536269514722 END GROUP BY ALL""",
+)
 def significant_lambdas(spark, sf):
-    """Lambdas whose correlation is significantly above the naive one, per estimator, at the published level."""
-    return stats.significant_categories(_fisher(spark, sf), "estimator", "cat")
+    """Lambdas whose correlation is significantly above or below the naive one, per estimator, at the published level."""
+    rows = derived(spark, sf).where("pred_gain > 1").withColumnRenamed("category", "cat")
+    rho = cut_lineage(stats.spearman(rows.where(~F.col("cat").isin("Other", "Naive")), ["estimator", "cat"], "pred_gain", "l1"))
+    return union_all([
+        stats.significant_categories(stats.fisher_z(rho, ["estimator"], "cat", "0.0", tail), "estimator", "cat").select(
+            "estimator", F.lit(tail).alias("tail"), "categories")
+        for tail in ("upper", "lower")
+    ])
 
 
 @query(

@@ -9,7 +9,7 @@ from exselect.plans import grid as grids
 from exselect.plans.queries_influence import ranked_sql
 from exselect.plans.registry import DIGITS, INFLUENCE_SQL, VECTORS_SQL, query, vectors
 from exselect.plans.select_and_score import (
-    explained_share, score_selections, select_all, stored_ground_sets,
+    explained_share, score_pending, score_selections, select_all, stored_ground_sets,
 )
 from exselect.sources.readers import read_table
 from exselect.sources.results import pending
@@ -332,6 +332,24 @@ SELECT test_id, linear_coder, round(t1, 7) + 0.0 AS t1, round(t2, 7) + 0.0 AS t2
 FROM r"""
 
 
+@query(
+    "scores_of_a_resumed_run",
+    f"""SELECT * FROM ({CODER_SQL}) JOIN (SELECT test_id, vec[1] > 0 AS stored FROM ({'WITH ' + VECTORS_SQL} SELECT * FROM te)) USING (test_id)
+WHERE linear_coder IN ({", ".join(f"'{c}'" for c in coders.ACTIVE_CODERS)}) AND NOT stored AND linear_coder <> 'KLTCoder'""".replace(
+        "SELECT * FROM (", "SELECT test_id, linear_coder, t1, t2, pred_gain, mse FROM (", 1),
+)
+def scores_of_a_resumed_run(spark, sf):
+    """Tests whose first coordinate is positive have all records already, the others that of one coder."""
+    test, train, top = _ground(spark, sf, "most_influential", 2)
+    chosen = top.select("test_id", "rank", "train_id", F.lit("top_k").alias("method"), F.lit("Top-2").alias("selection"))
+    coder = F.explode(F.array(*[F.lit(c) for c in coders.ACTIVE_CODERS])).alias("linear_coder")
+    done = test.select("test_id", F.lit("Top-2").alias("selection"), coder, (F.get("vec", F.lit(0)) > 0).alias("whole"))
+    found = score_pending(chosen, train, test, done.where("whole OR linear_coder = 'KLTCoder'"))
+    return found.select(
+        "test_id", "linear_coder", (F.round(F.get("t", F.lit(0)), 7) + 0.0).alias("t1"), (F.round(F.get("t", F.lit(1)), 7) + 0.0).alias("t2"),
+        F.round("pred_gain", 7).alias("pred_gain"), F.round("mse", 9).alias("mse"))
+
+
 @query("coder_scores_of_pairs", CODER_SQL)
 def coder_scores_of_pairs(spark, sf):
     """All coders on the two most influential vectors, against closed forms."""

@@ -77,16 +77,30 @@ def score_selections(
     selections: DataFrame, train: DataFrame, test: DataFrame, coder_names=coders.ACTIVE_CODERS
 ) -> DataFrame:
     """One record per (test, selection, coder); a selection of the test row itself reads the test side."""
-    keyed = selections.select("test_id", "selection", "rank", "train_id", (F.col("method") == "self").alias("own"))
-    both = train.select("train_id", "vec").unionByName(
-        test.select((-F.col("test_id") - 1).alias("train_id"), "vec")
+    # Ids of both sides are told apart by their last bit.
+    own = (F.col("method") == "self").cast("bigint")
+    keyed = selections.select("test_id", "selection", "rank", (F.col("train_id") * 2 + own).alias("train_id"))
+    both = train.select((F.col("train_id") * 2).alias("train_id"), "vec").unionByName(
+        test.select((F.col("test_id") * 2 + 1).alias("train_id"), "vec")
     )
-    keyed = keyed.withColumn(
-        "train_id", F.when(F.col("own"), -F.col("test_id") - 1).otherwise(F.col("train_id"))
-    ).drop("own")
     return coders.fit(coders.gram(keyed, both, test), coder_names)
 
 
+def score_pending(
+    selections: DataFrame, train: DataFrame, test: DataFrame, done: DataFrame, coder_names=coders.ACTIVE_CODERS
+) -> DataFrame:
+    """Records of a run that goes on from stored ones: `done(test_id, selection, linear_coder, ...)`.
+
+    A selection with a record of every coder is left out before any vector is read; one with some of them is scored
+    anew and only the missing records come back, so that appending the result never repeats a record.
+    """
+    names = list(coder_names)
+    stored = done.where(F.col("linear_coder").isin(*names)).select("test_id", "selection", "linear_coder").distinct()
+    whole = stored.groupBy("test_id", "selection").count().where(F.col("count") == len(names)).drop("count")
+    left = selections.join(whole, ["test_id", "selection"], "left_anti")
+    return score_selections(left, train, test, names).join(stored, ["test_id", "selection", "linear_coder"], "left_anti")
+
+
 def explained_share(test: DataFrame, train: DataFrame, k: int = 5, digits: int | None = None) -> DataFrame:
     """For each test vector: its k most influential train vectors and how much of it they explain."""
     top = top_influence(test, train, k, ["most_influential"], digits=digits)

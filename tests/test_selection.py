@@ -352,3 +352,22 @@ def test_lazy_greedy_picks_are_plain_greedy_picks(m, k, monkeypatch):
     for n, picks in zip(ks, got):
         f = 1.0 if n == 1 else 1 - 1 / (n * (n - 1))
         assert picks.tolist() == plain(lambda gain, f=f: 0.2 * fixed + 0.8 * fixed + 0.5 * f * gain)
+
+
+def test_resumed_scores_are_the_missing_ones(spark):
+    """Ids of both sides may meet, negative ones included; partly stored selections give what is missing."""
+    from exselect.plans.select_and_score import score_pending, score_selections
+    rng = np.random.default_rng(2)
+    ids = [-2, -1, 0, 1, 2, 3]
+    train = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in ids], "train_id bigint, vec array<double>")
+    test = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in ids[:4]], "test_id bigint, vec array<double>")
+    chosen = [(t, "Self", 1, t, "self") for t in ids[:4]] + [(t, "Top-2", r, i, "top_k") for t in ids[:4] for r, i in ((1, 3), (2, -t))]
+    chosen = spark.createDataFrame(chosen, "test_id bigint, selection string, rank int, train_id bigint, method string")
+    names = ["MSECoder", "MSECoderProjUSimp"]
+    every = score_selections(chosen, train, test, names)
+    rows = {(r.test_id, r.selection, r.linear_coder): [round(x, 9) for x in r.t] for r in every.collect()}
+    assert len(rows) == 16 and all(rows[t, "Self", c] == [1.0] for t in ids[:4] for c in names)
+    for stored in ("false", "true", "test_id < 0", "linear_coder = 'MSECoder'", "selection = 'Self' OR (linear_coder = 'MSECoder' AND test_id = 1)"):
+        left = {(r.test_id, r.selection, r.linear_coder): [round(x, 9) for x in r.t] for r in score_pending(chosen, train, test, every.where(stored), names).collect()}
+        done = {(r.test_id, r.selection, r.linear_coder) for r in every.where(stored).collect()}
+        assert left == {k: v for k, v in rows.items() if k not in done}
