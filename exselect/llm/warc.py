@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,7 @@ from exselect.llm.tables import parts, shared_folder
 from exselect.session import small_side
 
 CHUNK_BYTES = 256 << 10
+RECORDS_AT_ONCE = 64
 # Fixed values of the format.
 MARK = b"WARC/1.1\r\n"
 GAP = "\r\n\r\n"
@@ -144,6 +145,19 @@ def segments(chunks: Iterator[dict], date: str) -> Iterator[bytes]:
                 "Content-Length": len(piece)}) + piece
 
 
+def together(records: Iterator, size: Callable) -> Iterator[list]:
+    """Records in lists of at most RECORDS_AT_ONCE, that end when they have a chunk's bytes."""
+    found, held = [], 0
+    for record in records:
+        found.append(record)
+        held += size(record)
+        if len(found) >= RECORDS_AT_ONCE or held >= CHUNK_BYTES:
+            yield found
+            found, held = [], 0
+    if found:
+        yield found
+
+
 def write_archives(pages: DataFrame, path: str, compression: str = "gzip", chunk_bytes: int = CHUNK_BYTES,
                    date: str = "1970-01-01T00:00:00Z") -> None:
     """Write (page_id, url, html, record_type, refers_to) as WARC files below `path`, one per task.
@@ -154,33 +168,39 @@ def write_archives(pages: DataFrame, path: str, compression: str = "gzip", chunk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for k in range(0, batch.num_rows, 64) for row in batch.slice(k, 64).to_pylist())
-        for record in segments(rows, date):
-            yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["value"])
+        for found in together(segments(rows, date), len):
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["value"])
 
     records = chunks.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     records.write.option("lineSep", GAP).option("compression", compression).text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, segments_only: bool = False) -> DataFrame:
     """One row per WARC record: its header as a map with lower-case names, and `data` (binary), checked against its length.
 
     Archives whose payloads hold the opening mark of a record, which `write_archives` never makes, are refused.
+    `segments_only` leaves out records without the name of the segment number, before they are parsed.
     """
-    lines = spark.read.option("lineSep", MARK.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
+    lines = spark.read.option("lineSep", MARK.decode()).text(path)
+    if segments_only:
+        lines = lines.where(F.col("value").rlike("(?i)warc-segment-number"))
+    lines = lines.select(F.col("value").cast("binary").alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("header", pa.map_(pa.string(), pa.string())), ("data", pa.binary())])
-        for batch in batches:
-            for line in batch.column(0):
-                value = line.as_py()
-                if not value.strip():
-                    continue
+        for found in together(parsed(line.as_py() for batch in batches for line in batch.column(0)), lambda record: len(record[1])):
+            headers, data = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(headers, kinds.field(0).type), pa.array(data, pa.binary())], schema=kinds)
+
+    def parsed(lines: Iterator[bytes]) -> Iterator[tuple[list, bytes]]:
+        for value in lines:
+            if value and not value.isspace():
                 head, found, rest = value.partition(b"\r\n\r\n")
                 header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n"))}
                 length = int(header.get("content-length", -1))
                 if not found or length < 0 or len(rest) < length or rest[length:].strip(b"\r\n"):
                     raise ValueError(f"broken record {header.get('warc-record-id')}")
-                yield pa.RecordBatch.from_pylist([{"header": list(header.items()), "data": rest[:length]}], schema=kinds)
+                yield list(header.items()), rest[:length]
 
     return lines.mapInArrow(run, "header map<string,string>, data binary")
 
@@ -189,16 +209,17 @@ _READ = ("page_id long, url string, payload_bytes long, payload_digest string, r
          "segments int")
 
 
-def payloads(records: DataFrame) -> DataFrame:
+def payloads(records: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """One row per archived payload, from records of `read_archives`: digests are carried on over segments and checked.
 
     Whole payloads need no shuffle; segments of one payload meet in order in one task, which holds one at a time.
+    `candidates` are those of the records that may be segments, read with `segments_only`; all by default.
     """
     h = lambda name: F.col("header").getItem(name)
     origin = F.coalesce(h("warc-segment-origin-id"), h("warc-record-id"))
     number = F.coalesce(h("warc-segment-number").cast("int"), F.lit(1))
     split = h("warc-segment-number").isNotNull()
-    fields = records.where(h("warc-type").isin("response", "revisit", "continuation")).select(
+    columns = (
         origin.alias("record"), number.alias("number"), split.alias("split"), h("warc-type").alias("type"),
         h("warc-page-id").cast("long").alias("page_id"), h("warc-target-uri").alias("url"),
         F.substring_index(h("warc-payload-digest"), ":", -1).alias("digest"),
@@ -206,6 +227,9 @@ def payloads(records: DataFrame) -> DataFrame:
         F.coalesce(h("warc-segment-total-length"), h("warc-payload-length")).cast("long").alias("total"),
         h("warc-refers-to-page-id").cast("long").alias("refers_to"), "data")
 
+    def fields(records: DataFrame) -> DataFrame:
+        return records.where(h("warc-type").isin("response", "revisit", "continuation")).select(*columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running, first, expected = Running(), None, 0
         names = [c.split(" ")[0] for c in _READ.split(", ")]
@@ -234,8 +258,8 @@ def payloads(records: DataFrame) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32()))],
                     names=names)
 
-    whole = fields.where(~F.col("split")).mapInArrow(run, _READ)
-    pieces = fields.where("split").repartition(parts(records.sparkSession), "record").sortWithinPartitions("record", "number")
+    whole = fields(records).where(~F.col("split")).mapInArrow(run, _READ)
+    pieces = fields(records if candidates is None else candidates).where("split").repartition(parts(records.sparkSession), "record").sortWithinPartitions("record", "number")
     return whole.unionByName(pieces.mapInArrow(run, _READ))
 
 
@@ -243,7 +267,7 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0, **options) ->
     """Write pages (page_id, url, html) as archives with revisits and read them back: one row per page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     write_archives(with_revisits(pages, "page_id", "html", min_bytes), path, **options)
-    return payloads(read_archives(pages.sparkSession, path))
+    return payloads(read_archives(pages.sparkSession, path), read_archives(pages.sparkSession, path, segments_only=True))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,16 @@ def test_archives_round_trip(spark, tmp_path, compression, size):
         assert sorted(map(str, split)) == sorted(map(str, back))
 
 
+def test_segments_are_told_before_they_are_parsed(spark, tmp_path):
+    pages = spark.createDataFrame([*PAGES, (20, "u", "about warc-segment-number: 1")], "page_id long, url string, html string")
+    path = str(tmp_path / "archives")
+    whole = warc.archive_pages(pages, path, chunk_bytes=100).collect()
+    all_records, few = warc.read_archives(spark, path), warc.read_archives(spark, path, segments_only=True)
+    number = F.col("header").getItem("warc-segment-number")
+    assert few.count() < all_records.count() and few.where(number.isNotNull()).count() == all_records.where(number.isNotNull()).count() > 0
+    assert sorted(map(str, whole)) == sorted(map(str, warc.payloads(all_records).collect()))
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     back = warc.archive_pages(pages, str(tmp_path / "a"), min_bytes=4).collect()
