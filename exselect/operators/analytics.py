@@ -335,6 +335,7 @@ def alias_db(column: Column, value: str) -> Column:
 
 MERGED_AT_ONCE = 16
 MAP_ROUNDS = 500
+MAP_DIRECTIONS = 256  # up to this width all directions are taken at once; of wider rows so many are kept at most
 
 
 def _merged_factors(factors: DataFrame, parts: int, size: int) -> list[np.ndarray]:
@@ -361,14 +362,16 @@ def _merged_factors(factors: DataFrame, parts: int, size: int) -> list[np.ndarra
 def principal_axes(rows: DataFrame, centre: np.ndarray, components: int, oversampling: int = 10, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(width x components axes, variance along each) of rows(vec) around `centre`, by a randomised range finder.
 
-    A scan multiplies the rows with a few random directions, keeps the triangle of the products' QR factors, merged as a
-    tree, and what the rows give back through them. The singular vectors of that small matrix are the next directions, until they
-    hold the axes. The driver and each task hold width x (components + oversampling) numbers.
+    A scan multiplies the rows with some directions, keeps the triangle of the products' QR factors, merged as a tree, and
+    what the rows give back through them. Rows up to MAP_DIRECTIONS wide are multiplied with as many directions as they are
+    wide: one scan has the axes, however near their variances are. Wider rows start with a few random directions and each
+    scan adds those in which the rows give back something new (a block Krylov space), until the directions hold the axes;
+    at MAP_DIRECTIONS the best of them go on. The driver and each task hold width x MAP_DIRECTIONS numbers at most.
     """
     width = len(centre)
-    size = min(width, components + oversampling)
-    basis = np.linalg.qr(sign_tile(sign_columns(seed, "map", np.arange(size)), np.arange(width)))[0]
-    total = 0
+    most = min(width, max(MAP_DIRECTIONS, 4 * (components + oversampling)))
+    step = width if width <= most else components + oversampling
+    basis = np.linalg.qr(sign_tile(sign_columns(seed, "map", np.arange(step)), np.arange(width)))[0] if step < width else np.eye(width)
 
     def scan(around: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,15 +388,21 @@ def principal_axes(rows: DataFrame, centre: np.ndarray, components: int, oversam
 
     total, parts = rows.count(), rows.rdd.getNumPartitions()
     for _ in range(MAP_ROUNDS):
+        size = basis.shape[1]
         r, w = _merged_factors(rows.select("vec").mapInArrow(scan(basis), "part long, r binary, w binary"), parts, size)
         given = np.linalg.lstsq(r.T, w, rcond=1e-12)[0] if len(r) == size else np.linalg.pinv(r.T) @ w
-        _, values, axes = np.linalg.svd(given, full_matrices=False)
+        _, values, axes = np.linalg.svd(r @ basis.T if size == width else given, full_matrices=False)
         found = axes[:components].T
-        missed = np.abs(found - basis @ (basis.T @ found)).max(initial=0.0)
-        basis = np.linalg.qr(np.hstack([axes.T, basis]))[0][:, :size] if len(axes) < size else axes.T
-        if size == width or missed < 1e-10:
+        rest = axes.T - basis @ (basis.T @ axes.T)
+        if size == width or np.abs(rest[:, :components]).max(initial=0.0) < 1e-10:
             signs = np.where(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])] >= 0, 1.0, -1.0)
             return found * signs, values[:components] ** 2 / max(1, total - 1)
+        if size + step > most:
+            basis = np.linalg.qr(axes.T[:, :most // 2])[0]
+            continue
+        # What the leading axes have beyond the directions comes first; the others only fill up.
+        new = np.linalg.svd(rest * (values / max(values[0], 1e-300)), full_matrices=False)[0][:, :step]
+        basis = np.linalg.qr(np.hstack([basis, new]))[0]
     raise ArithmeticError("the axes do not settle: the variance along the last one is that along many others")
 
 

@@ -316,3 +316,21 @@ def test_linear_map_of_wide_vectors(spark, monkeypatch):
     want = centred @ np.array([w * np.sign(w[np.abs(w).argmax()]) for w in vh[:3]]).T
     np.testing.assert_allclose(got, want, atol=1e-6)
     np.testing.assert_allclose([r.variance for r in analytics.map_variance(df, "id", 3).collect()], s[:3] ** 2 / 119, rtol=1e-9)
+
+
+@pytest.mark.parametrize("directions", [256, 24])
+def test_linear_map_of_nearly_equal_variances(spark, monkeypatch, directions):
+    """Rows as wide as the directions that are taken at once, and wider ones."""
+    monkeypatch.setattr(analytics, "MAP_ROUNDS", 40)
+    monkeypatch.setattr(analytics, "MAP_DIRECTIONS", directions, raising=False)
+    rng = np.random.default_rng(8)
+    sizes = np.append([1.02, 1.01], np.linspace(1.0, 0.99, 58))
+    u = rng.normal(size=(150, 60))
+    rows = np.linalg.qr(u - u.mean(axis=0))[0] * sizes @ np.linalg.qr(rng.normal(size=(60, 60)))[0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "id bigint, vec array<double>").repartition(3)
+    got = np.array([r["coords"] for r in analytics.linear_map(df, "id", 2).orderBy("id").collect()])
+    np.testing.assert_allclose(np.abs(np.linalg.norm(got, axis=0)), sizes[:2], rtol=1e-9)
+    vh = np.linalg.svd(rows - rows.mean(axis=0), full_matrices=False)[2]
+    want = rows @ np.array([w * np.sign(w[np.abs(w).argmax()]) for w in vh[:2]]).T
+    np.testing.assert_allclose(got, want, atol=1e-7)
+    np.testing.assert_allclose([r.variance for r in analytics.map_variance(df, "id", 2).collect()], sizes[:2] ** 2 / 149, rtol=1e-9)
