@@ -371,3 +371,15 @@ def test_resumed_scores_are_the_missing_ones(spark):
         left = {(r.test_id, r.selection, r.linear_coder): [round(x, 9) for x in r.t] for r in score_pending(chosen, train, test, every.where(stored), names).collect()}
         done = {(r.test_id, r.selection, r.linear_coder) for r in every.where(stored).collect()}
         assert left == {k: v for k, v in rows.items() if k not in done}
+
+
+def test_random_costs_share_the_drawn_pairs_only(spark):
+    """The pair table is thinned out where it lies; a drawn pair without a score has no cost."""
+    drawn = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 1, 7), (None, 1, 7)], "test_id bigint, rank int, train_id bigint")
+    table = spark.createDataFrame([(1, 7, 0.5), (1, 9, 0.1), (2, 7, -1.0), (2, 7, -2.0), (None, 7, 3.0)], "test_id bigint, train_id bigint, score double")
+    found = ranking.random_costs(drawn, table)
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(map(tuple, found.select("test_id", "rank", "train_id", "cost").collect()), key=key) == sorted(
+        [(1, 1, 7, 0.5), (1, 2, 8, None), (2, 1, 7, -1.0), (2, 1, 7, -2.0), (None, 1, 7, None)], key=key)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "strategy=broadcast" in plan
