@@ -249,3 +249,60 @@ def test_signs_are_balanced_and_uncorrelated():
     assert not (curvature.sign_matrix(43, "w", 4000, 64) * 8 == signs).all()
     wide = curvature._signed(np.ones((1, 10**7)), 42, "w", 2)
     assert np.isfinite(wide).all()
+
+
+def test_stored_top_k_keeps_the_first_rows_in_the_tasks(spark, monkeypatch):
+    """Against a plain sort, with ties, NaN and nulls; the pairs are thinned out before the shuffle."""
+    monkeypatch.setattr(scoring, "ROWS_IN", 40)
+    rng = np.random.default_rng(3)
+    rows = [(int(t), int(i), float(s)) for t, i, s in zip(rng.integers(0, 5, 900), rng.integers(0, 400, 900), rng.integers(-9, 9, 900) / 4)]
+    rows += [(1, 1000, None), (1, None, -9.0), (None, 1, 0.5), (None, 2, 0.25), (2, 5, float("nan"))]
+    table = spark.createDataFrame(rows, "test_id bigint, train_id bigint, score double").repartition(3)
+    key = {"most_helpful": lambda s: s, "most_harmful": lambda s: -s, "least_influential": abs, "most_influential": lambda s: -abs(s)}
+    first = lambda x: (x is not None, x or 0)
+    for name, of in key.items():
+        want = {}
+        for t, i, s in sorted((r for r in rows if r[2] is None or r[2] == r[2]),
+                              key=lambda r: (first(r[0]), first(None if r[2] is None else of(r[2])), first(r[1]))):
+            want.setdefault(t, []).append((i, s))
+        found = scoring.top_k(table, 4, name)
+        got = sorted((first(r.test_id), r.rank, r.train_id, None if r.score is None else of(r.score)) for r in found.collect())
+        assert got == sorted((first(t), n, i, None if s is None else of(s)) for t, have in want.items() for n, (i, s) in enumerate(have[:4], 1))
+        assert "MapInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_candidates_leave_the_tasks_in_small_batches():
+    """Whatever the order of the pieces, with ties and NaN; no piece that leaves is as large as what is kept."""
+    rng = np.random.default_rng(5)
+    ids, train = np.arange(3000) * 2, rng.permutation(200)
+    scores = np.round(rng.normal(size=(200, 3000)), 1)
+    scores[rng.random(scores.shape) < 0.01] = np.nan
+    best = scoring.TopK(ids, 30, ["most_influential", "most_harmful"])
+    for at in range(0, 200, 23):
+        best.add(train[at:at + 23], scores[at:at + 23])
+    batches = list(best.batches())
+    assert max(b.num_rows for b in batches) <= scoring.ROWS_OUT
+    rows = [r for b in batches for r in b.to_pylist()]
+    for name, key in (("most_influential", -np.abs(scores)), ("most_harmful", -scores)):
+        for t in (0, 17, 2999):
+            order = np.lexsort((train, key[:, t]))[:30]
+            assert [r["train_id"] for r in rows if r["sort_type"] == name and r["test_id"] == ids[t]] == train[order].tolist()
+
+
+@pytest.mark.parametrize("limit", [None, 24])
+def test_zero_pairs_are_made_after_the_join(spark, small_broadcast, limit):
+    """Repeated and null ids keep their pairs, scores of other queries stay out; no pair is dealt by both ids."""
+    if limit:
+        small_broadcast(limit)
+    tests = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,), (None,), (5,)], "test_id bigint")
+    train = spark.createDataFrame([(10,), (11,), (11,), (None,)], "train_id bigint")
+    scores = spark.createDataFrame([(1, 10, 0.5), (2, 11, -1.0), (2, 11, 2.0), (None, 10, 3.0), (4, 10, 9.0), (3, None, 1.0), (3, 10, None)],
+                                   "test_id bigint, train_id bigint, score double")
+    want = tests.crossJoin(train).join(scores, ["test_id", "train_id"], "left").select("test_id", "train_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    found = bm25.densify(scores, tests, train)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert bm25.densify(scores, tests.where("test_id IS NULL"), train).count() == 8
+    queries = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "test_id bigint, terms array<string>")
+    corpus = spark.createDataFrame([(7, ["a", "a", "b"]), (7, ["a", "a", "b"]), (8, ["c"])], "train_id bigint, terms array<string>")
+    plan = bm25.bm25_join(queries, corpus)._jdf.queryExecution().executedPlan().toString()
+    assert limit or "hashpartitioning(test_id" not in plan
