@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 import random
 
@@ -216,3 +217,21 @@ def test_first_matches_take_linear_time():
     found = chat.first_matches(tokens, answers)
     assert found[:500].all() and not found[500:].any()
     assert Counted.looked_up <= 4096 + sum(map(len, answers))
+
+
+def test_batches_are_small_while_they_are_python_objects(spark, monkeypatch):
+    """Frames and chats come in pieces; nulls, empty frames and other types pass as before."""
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, F.repeat(F.lit("é"), F.col("id").cast("int") % 5)).alias("text")).coalesce(1)
+
+    def measure(frame):
+        return frame.assign(n=frame["text"].str.len(), size=len(frame))[["size", "id", "n"]]
+
+    got = {r.id: r for r in chat.map_batches(rows, measure, "id bigint, n bigint, size int").collect()}
+    assert len(got) == 1000 and all(r.n == (i % 5 if i % 3 else None) for i, r in got.items())
+    assert max(r.size for r in got.values()) <= chat.ROWS_PER_STEP
+    days = rows.select("id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    assert chat.map_batches(days, lambda f: f, "id bigint, day date").exceptAll(days).isEmpty()
+    seen = []
+    batch = pa.RecordBatch.from_pydict({"x": list(range(100))})
+    seen = [b.num_rows for b in chat.row_slices([batch], chat.CHATS_PER_STEP)]
+    assert sum(seen) == 100 and max(seen) <= 32
