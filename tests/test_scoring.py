@@ -271,8 +271,11 @@ def test_stored_top_k_keeps_the_first_rows_in_the_tasks(spark, monkeypatch):
         assert "MapInArrow" in found._jdf.queryExecution().toString()
 
 
-def test_candidates_leave_the_tasks_in_small_batches():
+@pytest.mark.parametrize("together", [1 << 18, 100])
+def test_candidates_leave_the_tasks_in_small_batches(monkeypatch, together):
     """Whatever the order of the pieces, with ties and NaN; no piece that leaves is as large as what is kept."""
+    monkeypatch.setattr(scoring, "ROWS_IN", together)
+    monkeypatch.setattr(scoring, "WAITING_PAIRS", together)
     rng = np.random.default_rng(5)
     ids, train = np.arange(3000) * 2, rng.permutation(200)
     scores = np.round(rng.normal(size=(200, 3000)), 1)
