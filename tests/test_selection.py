@@ -383,3 +383,24 @@ def test_random_costs_share_the_drawn_pairs_only(spark):
         [(1, 1, 7, 0.5), (1, 2, 8, None), (2, 1, 7, -1.0), (2, 1, 7, -2.0), (None, 1, 7, None)], key=key)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftSemi" in plan and "strategy=broadcast" in plan
+
+
+def test_equal_selections_are_fitted_once(spark, sides):
+    """Settings that pick the same rows in the same order share a fit; another order or test has its own."""
+    test, train = sides
+    rows = [(t, s, n, i) for t in (0, 1) for s, ids in (("a", [3, 5, 9]), ("b", [3, 5, 9]), ("c", [5, 3, 9]), ("d", [3])) for n, i in enumerate(ids, 1)]
+    chosen = spark.createDataFrame(rows, "test_id bigint, selection string, rank int, train_id bigint")
+    got = {(r.test_id, r.selection, r.linear_coder): r for r in coders.fit(coders.gram(chosen, train, test), coders.CODERS).collect()}
+    assert len(got) == 2 * 4 * len(coders.CODERS)
+    for (t, s, name), r in got.items():
+        a, g = TRAIN[{"a": [3, 5, 9], "b": [3, 5, 9], "c": [5, 3, 9], "d": [3]}[s]].T, TEST[t]
+        off = g - a @ np.array(r.t)
+        np.testing.assert_allclose([r.mse, r.l1, r.l2], [off @ off / 10, np.abs(r.t).sum(), np.square(r.t).sum()], rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(r.pred_gain, g.var() / (off.var() + 1e-8), rtol=1e-9)
+        whole = np.linalg.norm(g) * np.linalg.norm(a @ np.array(r.t))
+        assert r.cosine == pytest.approx(g @ a @ np.array(r.t) / whole if whole > 1e-12 else 0.0, abs=1e-9)
+        if name == "MSECoder":
+            np.testing.assert_allclose(r.t, np.linalg.lstsq(a, g, rcond=None)[0], rtol=1e-8)
+    p = coders.Problem(np.eye(2), np.ones(2), 4)
+    ts, marks = coders._fitted(("MSECoder", "KLTCoder"), p, np.ones(2), 2.0, 1.0, 0.0)
+    assert ts.shape == (2, 2) and marks.shape == (2, 5)
