@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +295,49 @@ def test_candidates_leave_the_tasks_in_small_batches(monkeypatch, together):
             assert [r["train_id"] for r in rows if r["sort_type"] == name and r["test_id"] == ids[t]] == train[order].tolist()
 
 
+def test_candidates_in_a_task_do_not_grow_with_the_tests(spark, monkeypatch):
+    """Four times the tests need no more memory in a task, and their candidates hold the first k of each."""
+    works = []
+    monkeypatch.setattr(scoring, "scan_against", lambda test, train, work, *rest, **named: works.append(work))
+    monkeypatch.setattr(scoring, "rank_candidates", lambda candidates, k: candidates)
+    scoring.top_influence(None, spark.range(0), 100, ["most_influential"], digits=9)
+    rng = np.random.default_rng(7)
+    test, train = rng.normal(size=(24000, 3)), rng.normal(size=(500, 3))
+    peaks = []
+    for n in (6000, 24000):
+        ids, found = np.arange(n) + 10, {}
+        tracemalloc.start()
+        for batch in works[0](ids, test[:n], ((np.arange(at, at + 20), train[at:at + 20]) for at in range(0, 500, 20))):
+            if n == 24000 and batch["test_id"][0].as_py() <= 13:
+                found.update({t: batch.filter(pc.equal(batch["test_id"], t))["train_id"].to_pylist() for t in (10, 11, 12, 13)})
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.3 * peaks[0]
+    scores = np.round(-(train @ test[:4].T), 9)
+    assert found == {10 + t: np.lexsort((np.arange(500), -np.abs(scores[:, t])))[:100].tolist() for t in range(4)}
+
+
+@pytest.mark.parametrize(("kept", "chunk"), [(1, 1), (3 * 4 * 6 * 32, 12 * 8 * 9), (1, 1 << 20)])
+def test_ranges_of_tests_and_chunks_of_vectors_change_nothing(spark, sides, monkeypatch, kept, chunk):
+    """Ties, NaN, an empty partition and sampled bounds, with several ranges of tests and chunks in a task."""
+    monkeypatch.setattr(scoring, "KEPT_BYTES", kept)
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = scoring.top_influence(*sides, 6, digits=9).cache()
+        for order, key in KEYS.items():
+            assert picks(found, order) == brute(-TEST @ TRAIN.T, key, 6)
+        bounded = scoring.top_influence(*sides, 6, digits=9, sample_fraction=0.4)
+        assert sorted(bounded.collect()) == sorted(found.collect())
+        bad = TRAIN.copy()
+        bad[5, 0] = np.nan
+        few = table(spark, bad, "train_id").repartition(3, F.lit(1))
+        want = brute(-TEST @ np.delete(TRAIN, 5, axis=0).T, KEYS["most_helpful"], 59)
+        assert picks(scoring.top_influence(sides[0], few, 60, ["most_helpful"], digits=9)) == [(t, r, j + (j >= 5)) for t, r, j in want]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("limit", [None, 24])
 def test_zero_pairs_are_made_after_the_join(spark, small_broadcast, limit):
     """Repeated ids and null train ids keep their pairs, null tests have none, scores of other queries stay out; no pair is dealt by both ids."""
