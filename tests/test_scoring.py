@@ -355,3 +355,39 @@ def test_zero_pairs_are_made_after_the_join(spark, small_broadcast, limit):
     corpus = spark.createDataFrame([(7, ["a", "a", "b"]), (7, ["a", "a", "b"]), (8, ["c"])], "train_id bigint, terms array<string>")
     plan = bm25.bm25_join(queries, corpus)._jdf.queryExecution().executedPlan().toString()
     assert limit or "hashpartitioning(test_id" not in plan
+
+
+@pytest.mark.parametrize("limit", [None, 300])
+def test_top_k_of_a_table_in_the_making_ranks_where_pairs_are_scored(spark, sides, small_broadcast, monkeypatch, limit):
+    """The same rows as from the stored table, with ties, repeated ids and NaN, but no pair leaves the task that scores it."""
+    monkeypatch.setattr(scoring, "RANGE_TESTS", 3)
+    bad = TRAIN.copy()
+    bad[5, 0] = np.nan
+    train = table(spark, bad, "train_id").union(sides[1].where("train_id in (3, 20)")).repartition(3)
+    test = sides[0].union(sides[0].where("test_id = 2"))
+    if limit:
+        small_broadcast(limit)
+    stored = scoring.dot_influence(test, train, digits=9).localCheckpoint()
+    for name in KEYS:
+        found = scoring.top_k(scoring.dot_influence(test, train, digits=9), 6, name)
+        assert sorted(found.collect()) == sorted(scoring.top_k(stored, 6, name).collect())
+        if not limit:
+            assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    part = scoring.dot_influence(test, train, digits=9).where("train_id > 30")
+    assert sorted(scoring.top_k(part, 4, "most_harmful").collect()) == sorted(scoring.top_k(stored.where("train_id > 30"), 4, "most_harmful").collect())
+
+
+def test_merges_of_candidates_keep_every_tie(monkeypatch):
+    """Bounds come from the first rows and from merges; equal keys on both sides of a merge go by the id."""
+    monkeypatch.setattr(scoring, "WAITING_PAIRS", 7)
+    rng = np.random.default_rng(11)
+    scores = rng.integers(-3, 4, size=(300, 5)).astype(float)
+    train = rng.permutation(300)
+    best = scoring.TopK(np.arange(5), 8, KEYS)
+    for at in range(0, 300, 31):
+        best.add(train[at:at + 31], scores[at:at + 31])
+    rows = [r for b in best.batches() for r in b.to_pylist()]
+    for name, key in KEYS.items():
+        for t in range(5):
+            want = sorted(range(300), key=lambda i: (key(scores[i, t]), train[i]))[:8]
+            assert [r["train_id"] for r in rows if r["sort_type"] == name and r["test_id"] == t] == train[want].tolist()
