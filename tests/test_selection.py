@@ -385,6 +385,19 @@ def test_random_costs_share_the_drawn_pairs_only(spark):
     assert "Join LeftSemi" in plan and "strategy=broadcast" in plan
 
 
+def test_random_costs_score_the_drawn_rows_only(spark, sides):
+    """Of a pair table in the making only drawn train rows are scored, with repeated ids on both sides; the costs are those of the whole table."""
+    test, train = sides
+    test, train = test.union(test.where("test_id = 1")), train.union(train.where("train_id in (4, 7)"))
+    drawn = spark.createDataFrame([(t, r, i) for t in (0, 1, 3, 9) for r, i in ((1, 7), (2, 30 + t), (3, 99))] + [(2, 1, None)], "test_id bigint, rank int, train_id bigint")
+    made = scoring.dot_influence(test, train, digits=9)
+    found = ranking.random_costs(drawn, made)
+    stored = ranking.random_costs(drawn, scoring.dot_influence(test, train, digits=9).localCheckpoint())
+    assert sorted(map(str, found.collect())) == sorted(map(str, stored.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2 and "Join LeftSemi" in plan[plan.index("MapInArrow"):]
+
+
 def test_equal_selections_are_fitted_once(spark, sides):
     """Settings that pick the same rows in the same order share a fit; another order or test has its own."""
     test, train = sides
