@@ -4,11 +4,13 @@ With A the k selected vectors, g the test vector and A' = Q R, every coder and e
 R (k x k), c = Q'g, the row sums of A and a few sums of g. `gram` builds that record per selection in
 one group per test row, so vectors shared by many selections of a test travel once. The solvers never
 see the width of the vectors. K = R'R and b = R'c; using R keeps the condition number unsquared.
+Records of one size are solved together as stacks; the few whose selection is not clearly of full rank
+are solved one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exselect.operators.scoring import as_matrix, doubles, gather_vectors, with_scalar
-from exselect.session import cut_lineage, spread
+from exselect.session import cut_lineage, is_cut, spread
 
 GRAM_FIELDS = (
     "width int, size int, r array<double>, c array<double>, s array<double>, "
@@ -26,6 +28,8 @@ GRAM_FIELDS = (
 )
 # Variance is guarded as in the published score.
 GAIN_EPS = 1e-8
+# Values of the matrices that are factored or solved together.
+STACK_VALUES = 1 << 18
 
 
 def gram(
@@ -35,7 +39,8 @@ def gram(
 
     The distinct (test, train) pairs pick up their vectors once; a group holds one test row's pairs.
     """
-    selections = cut_lineage(selections.select("test_id", key, "rank", "train_id"))
+    selections = selections.select("test_id", key, "rank", "train_id")
+    selections = selections if is_cut(selections) else cut_lineage(selections)
     vectors = gather_vectors(selections.select("test_id", "train_id").distinct(), train)
     own = test.select("test_id", F.lit(None).cast("bigint").alias("train_id"), doubles().alias("vec"))
     rows = vectors.select("test_id", "train_id", "vec").unionByName(own)
@@ -50,18 +55,9 @@ def gram(
         ids = right["train_id"].to_pylist()
         place = {i: at for at, i in enumerate(ids)}
         vectors = as_matrix(right["vec"])
-        g = vectors[place[None]]
-        parts, numbers, known = [], [], {}
-        for chosen in map(tuple, left["ids"].to_pylist()):
-            if chosen not in known:  # many settings pick the same rows in the same order
-                a = vectors[[place[i] for i in chosen]]
-                q, r = np.linalg.qr(a.T)
-                c = q.T @ g
-                off = g - q @ c
-                known[chosen] = (r.ravel(), c, a.sum(axis=1)), (len(g), len(chosen), g.sum(), g.var(), off @ off)
-            parts.append(known[chosen][0])
-            numbers.append(known[chosen][1])
-        return _gram_table(key, left, parts, numbers)
+        picks = list(map(tuple, left["ids"].to_pylist()))
+        known = _factored(vectors, vectors[place[None]], {chosen: [place[i] for i in chosen] for chosen in picks})
+        return _gram_table(key, left, *zip(*(known[chosen] for chosen in picks)))
 
     # Fresh columns: both sides stem from the same selections.
     rows = spread(rows.toDF(*rows.columns), "test_id")
@@ -70,7 +66,37 @@ def gram(
     )
 
 
-def _gram_table(key: str, left: pa.Table, parts: list, numbers: list) -> pa.Table:
+def _factored(vectors: np.ndarray, g: np.ndarray, picks: dict[tuple, list[int]]) -> dict[tuple, tuple[tuple, tuple]]:
+    """(R, c, row sums) and (width, size, sum, variance, rest) of the picked rows of `vectors`, by their ids.
+
+    Many settings pick the same rows in the same order, or the first of them: the factors of the first rows stand at the
+    start of those of all. With g as one more column, R holds c and what is left of g.
+    """
+    width, total, variance = len(g), g.sum(), g.var()
+    sums = vectors.sum(axis=1)
+    known, lengths = {}, sorted({len(chosen) for chosen in picks}, reverse=True)
+    for at, size in enumerate(lengths):
+        new = [chosen for chosen in picks if len(chosen) == size and chosen not in known]
+        stack = max(1, STACK_VALUES // (width * (size + 1)))
+        for low in range(0, len(new), stack):
+            part = new[low:low + stack]
+            columns = np.empty((len(part), width, size + 1))
+            columns[:, :, :size] = vectors[[picks[chosen] for chosen in part]].transpose(0, 2, 1)
+            columns[:, :, size] = g
+            for chosen, r in zip(part, np.linalg.qr(columns, mode="r")):
+                c = r[:, size]
+                for shorter in lengths[at:]:
+                    first = chosen[:shorter]
+                    if first in picks and first not in known:
+                        rows = min(width, shorter)
+                        known[first] = (
+                            (r[:rows, :shorter].ravel(), c[:rows], sums[picks[first]]),
+                            (width, shorter, total, variance, c[rows:] @ c[rows:]),
+                        )
+    return known
+
+
+def _gram_table(key: str, left: pa.Table, parts: Sequence, numbers: Sequence) -> pa.Table:
     width, size, sum_g, var_g, rest = np.array(numbers).T if numbers else np.empty((5, 0))
     r, c, s = zip(*parts) if parts else ((), (), ())
 
@@ -386,6 +412,109 @@ ACTIVE_CODERS = (
 )
 
 
+class Stack:
+    """Reduced problems of one size, each with a triangular R clearly of full rank."""
+
+    def __init__(self, r: np.ndarray, c: np.ndarray):
+        self.r, self.c = r, c
+        turned = r.transpose(0, 2, 1)
+        self.k = turned @ r
+        self.b = (turned @ c[:, :, None])[:, :, 0]
+        self.least = _back(r, c)
+
+
+def _back(r: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """R t = target for a stack of upper triangles."""
+    t = np.empty_like(target)
+    for i in reversed(range(target.shape[1])):
+        t[:, i] = (target[:, i] - np.einsum("nj,nj->n", r[:, i, i + 1:], t[:, i + 1:])) / r[:, i, i]
+    return t
+
+
+def _forward(r: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """R't = target for a stack of upper triangles."""
+    t = np.empty_like(target)
+    for i in range(target.shape[1]):
+        t[:, i] = (target[:, i] - np.einsum("nj,nj->n", r[:, :i, i], t[:, :i])) / r[:, i, i]
+    return t
+
+
+def _simplex_rows(t: np.ndarray) -> np.ndarray:
+    desc = np.sort(t, axis=1)[:, ::-1]
+    tau = ((np.cumsum(desc, axis=1) - 1.0) / np.arange(1, t.shape[1] + 1)).max(axis=1, keepdims=True)
+    return np.maximum(t - tau, 0.0)
+
+
+def _shrink_rows(t: np.ndarray, weight: float = 0.5) -> np.ndarray:
+    return np.sign(t) * np.maximum(np.abs(t) - weight * t.sum(axis=1, keepdims=True), 0.0)
+
+
+def _sparse_simplex_rows(t: np.ndarray, keep: float = 0.5) -> np.ndarray:
+    size, rows = max(1, int(keep * t.shape[1])), np.arange(len(t))
+    support = np.zeros(t.shape, bool)
+    best = t.argmax(axis=1)
+    total = np.zeros(len(t))
+    for count in range(1, size + 1):
+        support[rows, best] = True
+        total += t[rows, best]
+        away = np.abs(t - ((total - 1.0) / count)[:, None])
+        away[support] = -np.inf
+        best = away.argmax(axis=1)
+    return np.where(support, t - ((total - 1.0) / size)[:, None], 0.0)
+
+
+def _klt_rows(p: Stack) -> np.ndarray:
+    """As `klt`: n with R'n = 1 stands on all differences of the selection, so c loses its part along n."""
+    if p.c.shape[1] == 1:
+        return np.zeros(p.c.shape)
+    n = _forward(p.r, np.ones(p.c.shape))
+    share = (n * p.c).sum(axis=1) / (n * n).sum(axis=1)
+    return p.least - share[:, None] * _back(p.r, n)
+
+
+def _solved(matrices: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(matrices, targets[:, :, None])[:, :, 0]
+
+
+def _nonnegative_ridge_rows(p: Stack, lam: float = 0.7) -> np.ndarray:
+    """As `nonnegative_ridge`, the exchanges of all problems side by side; entries outside the support are held at 0."""
+    design = p.k + lam * np.eye(p.b.shape[1])
+    normal, right = design @ design, (design @ p.b[:, :, None])[:, :, 0]
+    free = _solved(design, p.b) > 0
+    tol = 1e-10 * np.maximum(np.abs(right).max(axis=1, keepdims=True), 1e-300)
+    out, left = np.empty(p.b.shape), np.arange(len(right))
+    for _ in range(20):
+        block = np.where(free[:, :, None] & free[:, None, :], normal[left], np.eye(p.b.shape[1]))
+        t = _solved(block, right[left] * free)
+        slope = (normal[left] @ t[:, :, None])[:, :, 0] - right[left]
+        wrong = (free & (t < 0)) | (~free & (slope < -tol[left]))
+        more = wrong.any(axis=1)
+        done = left[~more]
+        if len(done):
+            d, x = design[done], t[~more]
+            off = p.b[done] - (d @ x[:, :, None])[:, :, 0]
+            x = x + _solved(block[~more], (d @ off[:, :, None])[:, :, 0] * free[~more])
+            out[done] = np.maximum(x, 0.0)
+        left, free = left[more], (free ^ wrong)[more]
+        if not len(left):
+            return out
+    for i in left:
+        out[i] = _active_set(design[i], p.b[i])
+    return out
+
+
+# The coders that solve a stack at once; others go through its problems one by one.
+STACKED = {
+    "MSECoderProjUSimpSparse": lambda p: _sparse_simplex_rows(p.least),
+    "MSECoderProjUSimp": lambda p: _simplex_rows(p.least),
+    "KLTCoder": _klt_rows,
+    "MSECoder": lambda p: p.least,
+    "MSECoderNNLSL2": _nonnegative_ridge_rows,
+    "MSECoderProjUSimpSparseSoftThresh": lambda p: _simplex_rows(_shrink_rows(p.least)),
+    "CosineCoder": lambda p: p.least,
+}
+
+
 def _ragged(column: pa.ListArray):
     """Row accessor of a list column without leaving numpy."""
     flat = column.flatten().to_numpy()
@@ -405,6 +534,32 @@ def _fitted(names: tuple[str, ...], p: Problem, s: np.ndarray, sum_g: float, var
     return ts, np.stack([gain, mse, np.abs(ts).sum(axis=1), (ts * ts).sum(axis=1), cosine], axis=1)
 
 
+def _fitted_stack(
+    names: tuple[str, ...], r: np.ndarray, c: np.ndarray, s: np.ndarray, width: np.ndarray, sum_g: np.ndarray, var_g: np.ndarray, rest: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """`_fitted` of records of one size, one record after the other along the first axis."""
+    ts, marks = np.empty((len(r), len(names), r.shape[2])), np.empty((len(r), len(names), 5))
+    pivots = np.abs(np.diagonal(r, axis1=1, axis2=2))
+    clear = pivots.min(axis=1) > 1e-6 * pivots.max(axis=1) if r.shape[1] == r.shape[2] else np.zeros(len(r), bool)
+    for i in np.flatnonzero(~clear):
+        ts[i], marks[i] = _fitted(names, Problem(r[i], c[i], int(width[i])), s[i], sum_g[i], var_g[i], rest[i])
+    if not clear.any():
+        return ts, marks
+    r, c, s, width, sum_g, var_g, rest = (x[clear] for x in (r, c, s, width, sum_g, var_g, rest))
+    p = Stack(r, c)
+    t = np.stack([
+        STACKED[name](p) if name in STACKED else np.array([CODERS[name](Problem(*of)) for of in zip(r, c, width.tolist())]) for name in names
+    ], axis=1)
+    off = c[:, None] - t @ r.transpose(0, 2, 1)
+    mse = ((off * off).sum(axis=2) + rest[:, None]) / width[:, None]
+    mean = (sum_g[:, None] - (t @ s[:, :, None])[:, :, 0]) / width[:, None]
+    length = np.sqrt(((c * c).sum(axis=1) + rest)[:, None] * ((t @ p.k) * t).sum(axis=2))
+    gain = var_g[:, None] / (np.maximum(mse - mean * mean, 0.0) + GAIN_EPS)
+    cosine = np.divide((t @ p.b[:, :, None])[:, :, 0], length, out=np.zeros(length.shape), where=length != 0)
+    ts[clear], marks[clear] = t, np.stack([gain, mse, np.abs(t).sum(axis=2), (t * t).sum(axis=2), cosine], axis=2)
+    return ts, marks
+
+
 def fit(records: DataFrame, coders: Iterable[str] = ACTIVE_CODERS, key: str = "selection") -> DataFrame:
     """One row per (record, coder) with t, pred_gain, mse, l1, l2 and the cosine of the rebuilt vector."""
     names = tuple(coders)
@@ -417,25 +572,35 @@ def fit(records: DataFrame, coders: Iterable[str] = ACTIVE_CODERS, key: str = "s
             width, size = batch["width"].to_numpy(), batch["size"].to_numpy()
             sum_g, var_g, rest = (batch[name].to_numpy() for name in ("sum_g", "var_g", "rest"))
             test = batch["test_id"].to_pylist()
-            found, scores, known = [], [], {}
+            known, which, shapes = {}, np.empty(batch.num_rows, np.int64), {}
             for at in range(batch.num_rows):
                 if at and test[at] != test[at - 1]:
                     known.clear()
-                r, c, s = r_all(at), c_all(at), s_all(at)
-                record = (int(width[at]), int(size[at]), sum_g[at], var_g[at], rest[at], r.tobytes(), c.tobytes(), s.tobytes())
-                if record not in known:  # settings that pick the same rows have the same record
-                    known[record] = _fitted(names, Problem(r.reshape(-1, size[at]), c, int(width[at])), s, *record[2:5])
-                ts, marks = known[record]
-                found.extend(ts)
-                scores.append(marks)
+                r = r_all(at)
+                record = (int(width[at]), int(size[at]), sum_g[at], var_g[at], rest[at], r.tobytes(), c_all(at).tobytes(), s_all(at).tobytes())
+                which[at] = known.setdefault(record, at)  # settings that pick the same rows have the same record
+                if which[at] == at:
+                    shapes.setdefault((len(r) // int(size[at]), int(size[at])), []).append(at)
+            found, scores = [None] * batch.num_rows, np.empty((batch.num_rows, len(names), 5))
+            for (rows, columns), all_of in shapes.items():
+                stack = max(1, STACK_VALUES // (rows * columns))
+                for low in range(0, len(all_of), stack):
+                    part = all_of[low:low + stack]
+                    ts, scores[part] = _fitted_stack(
+                        names, np.array([r_all(at) for at in part]).reshape(-1, rows, columns), *(np.array([of(at) for at in part]) for of in (c_all, s_all)),
+                        width[part], sum_g[part], var_g[part], rest[part],
+                    )
+                    for at, t in zip(part, ts):
+                        found[at] = t
+            found, scores = [found[at] for at in which], scores[which].reshape(-1, 5)
             source = pa.array(np.repeat(np.arange(batch.num_rows), len(names)))
-            gain, mse, l1, l2, cosine = np.concatenate(scores).T
-            ends = np.concatenate([[0], np.cumsum([len(t) for t in found])]).astype(np.int32)
+            gain, mse, l1, l2, cosine = scores.T
+            ends = np.concatenate([[0], np.cumsum(np.repeat(size, len(names)))]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "test_id": batch["test_id"].take(source), key: batch[key].take(source),
                 "linear_coder": pa.array(names * batch.num_rows, pa.string()),
                 "pred_gain": gain, "mse": mse, "l1": l1, "l2": l2, "cosine": cosine,
-                "t": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
+                "t": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([t.ravel() for t in found]))),
             })
 
     return records.mapInArrow(

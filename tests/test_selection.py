@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from exselect import session
 from exselect.operators import coders, greedy, ranking, scoring
 from exselect.plans import grid
 from exselect.plans.select_and_score import score_selections, select_all
@@ -417,3 +418,75 @@ def test_equal_selections_are_fitted_once(spark, sides):
     p = coders.Problem(np.eye(2), np.ones(2), 4)
     ts, marks = coders._fitted(("MSECoder", "KLTCoder"), p, np.ones(2), 2.0, 1.0, 0.0)
     assert ts.shape == (2, 2) and marks.shape == (2, 5)
+
+
+def test_stacked_records_equal_single_solves(monkeypatch):
+    """Factors and solutions of many selections at once: prefixes, repeated and zero vectors, more rows than the width, a query that is picked."""
+    monkeypatch.setattr(coders, "STACK_VALUES", 600)
+    rng = np.random.default_rng(21)
+    names = tuple(coders.CODERS)
+    vectors = rng.normal(size=(60, 16)) + 0.5
+    vectors[3], vectors[8] = vectors[5], 0.0
+    for g in (rng.normal(size=16), vectors[9].copy()):
+        chosen = [tuple(rng.choice(np.arange(6, 60), size, replace=False).tolist()) for size in (1, 2, 5, 5, 9, 9, 20) for _ in range(4)] + [(3, 5, 7), (8, 1), (8,), (9, 4)]
+        chosen = list(dict.fromkeys(chosen + [ids[:size] for ids in chosen for size in (1, 2, 5) if len(ids) > size]))
+        known = coders._factored(vectors, g, {ids: list(ids) for ids in chosen})
+        assert list(known) != chosen and set(known) == set(chosen)
+        for size in {len(ids) for ids in chosen}:
+            some = [known[ids] for ids in chosen if len(ids) == size]
+            r, c, s = (np.array([record[0][at] for record in some]) for at in range(3))
+            width, _, sum_g, var_g, rest = np.array([record[1] for record in some]).T
+            rows = min(16, size)
+            ts, marks = coders._fitted_stack(names, r.reshape(-1, rows, size), c, s, width, sum_g, var_g, rest)
+            for at, ids in enumerate(ids for ids in chosen if len(ids) == size):
+                a = vectors[list(ids)].T
+                q, triangle = np.linalg.qr(a)
+                off = g - q @ (q.T @ g)
+                np.testing.assert_allclose(r[at].reshape(rows, size).T @ c[at], a.T @ g, atol=1e-10)
+                assert rest[at] == pytest.approx(off @ off, abs=1e-10)
+                t, mark = coders._fitted(names, coders.Problem(triangle, q.T @ g, 16), a.sum(axis=0), g.sum(), g.var(), off @ off)
+                if 3 not in ids:  # of equal vectors either may be taken
+                    np.testing.assert_allclose(ts[at], t, rtol=1e-6, atol=1e-8)
+                np.testing.assert_allclose(marks[at][:, 1:], mark[:, 1:], rtol=1e-6, atol=1e-7)
+
+
+def test_a_checkpoint_is_not_written_again(spark, sides, monkeypatch):
+    """Columns of a checkpoint are read as they are; anything else is cut from its plan."""
+    test, train = sides
+    rows = [(t, "a", n, i) for t in (0, 1) for n, i in enumerate((3, 5), 1)]
+    chosen = spark.createDataFrame(rows, "test_id bigint, selection string, rank int, train_id bigint")
+    cut = session.cut_lineage(chosen)
+    assert session.is_cut(cut) and session.is_cut(cut.select("test_id", (F.col("train_id") * 2).alias("x")))
+    assert not any(map(session.is_cut, (chosen, cut.where("rank = 1"), cut.withColumn("x", F.rand()), cut.unionByName(cut), cut.distinct())))
+    written = []
+    monkeypatch.setattr(coders, "cut_lineage", lambda df: written.append(df) or session.cut_lineage(df))
+    from_cut = coders.gram(cut, train, test).collect()
+    assert not written and sorted(from_cut) == sorted(coders.gram(chosen, train, test).collect()) and len(written) == 1
+
+
+def test_query_vectors_come_as_rows_of_the_ground_sets(spark, sides, ground):
+    """No join meets the vectors; a repeated query brings the first row again, a query without a ground set has no picks."""
+    test, _ = sides
+    more = test.where("test_id < 2").union(test.where("test_id = 1")).union(spark.createDataFrame([(77, [1.0] * 10)], "test_id bigint, vec array<double>"))
+    left = ground.where("test_id < 2 AND sort_type IN ('most_influential', 'most_harmful')")
+    found = greedy.all_methods(left, more, [1, 3], [0.5], 12, digits=9)
+    got = {}
+    for r in found.orderBy("rank").collect():
+        got.setdefault((r["method"], r["sort_type"], r["test_id"], r["k"]), []).append(r["train_id"])
+    assert len(got) == 2 * 2 * 2 * 2 + 2 * 2
+    joined = left.join(more.select("test_id", F.lit(1).alias("rank"), F.col("vec").alias("query")), ["test_id", "rank"], "left")
+    for (method, order, t, k), ids in got.items():
+        rows = sorted(joined.where((F.col("sort_type") == order) & (F.col("test_id") == t)).collect(), key=lambda r: r["rank"])
+        assert len(rows) == 12 + t
+        vec, score = np.array([r["vec"] for r in rows]), np.array([r["score"] for r in rows])
+        query, cosine = TEST[t], greedy.cosine_similarity(vec)
+        distance = greedy.cosine_distance(cosine)
+        if method == "facility_location":
+            picks = greedy.facility_picks(cosine, greedy.scaled(greedy.COSTS[order](score), 1.0, 12), 3, [0.5], 9)[0][:k]
+        elif method == "aide":
+            closeness = vec @ query / (np.linalg.norm(vec, axis=1) * np.linalg.norm(query) + 1e-10)
+            picks = greedy.aide_picks(distance.max() - distance, np.abs(score), closeness, [k], 0.2, 0.8, 0.5, 9)[0]
+        else:
+            continue
+        assert ids == [rows[at]["train_id"] for at in picks[:k]]
+    assert "Join" not in greedy.aide(spark.createDataFrame(left.rdd, left.schema), more, [1])._jdf.queryExecution().optimizedPlan().toString()
